@@ -121,8 +121,9 @@ def _let(value: Column, body) -> Column:
 
 def _classify(line: Column, model: Model) -> Column:
     """struct<family, p, similarity> of a line; family is an index."""
-    tables = [F.lit(row.tolist()) for row in model.weights]
-    compare = [[F.array(*[F.lit(g) for g in dict.fromkeys(pairs_of(re.findall(TOKEN, t.lower())))]) for t in TEMPLATES[f]] for f in model.families[:-1]]
+    # Split constants fold into array literals of the plan.
+    tables = [F.split(F.lit(",".join(f"{v:g}" for v in row)), ",").cast("array<double>") for row in model.weights]
+    compare = [[F.split(F.lit("\n".join(dict.fromkeys(pairs_of(re.findall(TOKEN, t.lower()))))), "\n") for t in TEMPLATES[f]] for f in model.families[:-1]]
 
     def scored(words: Column) -> Column:
         pairs = F.array_distinct(F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)))
