@@ -172,7 +172,7 @@ class Matcher:
             long = stops - heads >= self.shortest
             for a, b in zip(heads[long].tolist(), stops[long].tolist(), strict=True):
                 self.automaton.scan(code[a:b].tolist(), a, hit, found[doc[a]])
-        return hit, [sorted(self.names[k] for k in x) for x in found]
+        return hit, [sorted({self.names[k] for k in x}) for x in found]
 
 
 def _blocks(benchmark: DataFrame, item_column: str, most: int) -> list[list[tuple[str, bytes]]]:
@@ -199,9 +199,9 @@ def _runs(hit: np.ndarray) -> list[int]:
 def find_leaks(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with n_words, hit_runs (word offsets: start, end, start, ...) and items.
 
-    ``items`` holds the sorted ids of test items of which a window occurs. Null
-    texts have no words, items with a null id or no words no windows; repeated
-    items are one item each. Columns of ``docs`` with these names are replaced.
+    ``items`` holds the sorted distinct ids of test items of which a window occurs. Null
+    texts have no words; items with a null id or no words have no windows.
+    Columns of ``docs`` with these names are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
