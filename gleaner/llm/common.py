@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
+import gleaner
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +37,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once a session: they
+    need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_gleaner_shipped", False):
+        return
+    top = os.path.dirname(os.path.abspath(gleaner.__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="gleaner-"), "gleaner.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.join("gleaner", os.path.relpath(path, top)))
+    context.addPyFile(target)
+    context._gleaner_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python workers hold (texts can be long)."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

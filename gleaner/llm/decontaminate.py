@@ -196,23 +196,23 @@ def _runs(hit: np.ndarray) -> list[int]:
     return edge.tolist()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_id", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, prefix: str = "") -> DataFrame:
     """``docs`` with n_words, hit_runs (word offsets: start, end, start, ...) and items.
 
     ``items`` holds the sorted distinct ids of test items of which a window occurs. Null
     texts have no words; items with a null id or no words have no windows.
-    Columns of ``docs`` with these names are replaced.
+    Columns of ``docs`` with these names are replaced; ``prefix`` goes before them.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    added = ["n_words", "hit_runs", "items"]
+    added = [prefix + c for c in ("n_words", "hit_runs", "items")]
     docs = docs.drop(*added)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = f"{fields}, n_words bigint, hit_runs array<int>, items array<string>"
+    schema = f"{fields}, `{added[0]}` bigint, `{added[1]}` array<int>, `{added[2]}` array<string>"
     out = docs
     for k, items in enumerate(_blocks(benchmark, item_column, block_bytes)):
         shared = spark.sparkContext.broadcast(items)
-        out = out.mapInArrow(_finder(shared, window, k == 0, uuid.uuid4().hex), schema)
+        out = out.mapInArrow(_finder(shared, window, k == 0, uuid.uuid4().hex, added), schema)
     return out
 
 
@@ -227,7 +227,7 @@ def _matcher(key: str, shared, window: int) -> Matcher:
     return _built[key]
 
 
-def _finder(shared, window: int, first: bool, key: str):
+def _finder(shared, window: int, first: bool, key: str, added: list[str]):
     """Adds the words hit by one block to those of the blocks before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,15 +245,15 @@ def _finder(shared, window: int, first: bool, key: str):
             own_columns = batch.columns
             names = batch.schema.names
             if not first:
-                for i, runs in enumerate(batch.column("hit_runs").to_pylist()):
+                for i, runs in enumerate(batch.column(added[1]).to_pylist()):
                     for a, b in zip(runs[::2], runs[1::2], strict=True):
                         hit[bounds[i] + a : bounds[i] + b] = True
-                before = batch.column("items").to_pylist()
+                before = batch.column(added[2]).to_pylist()
                 items = [sorted({*x, *y}) for x, y in zip(items, before, strict=True)]
                 own_columns, names = own_columns[:-3], names[:-3]
             runs = [_runs(hit[a:b]) if hit[a:b].any() else [] for a, b in zip(bounds, bounds[1:], strict=False)]
             extra = [pa.array(np.array(sizes, np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(own_columns + extra, names=[*names, "n_words", "hit_runs", "items"])
+            yield pa.RecordBatch.from_arrays(own_columns + extra, names=[*names, *added])
 
     return run
 
@@ -271,7 +271,7 @@ def _cutter(columns: list[str], most_share: float):
 
         word = regex.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
         for batch in batches:
-            texts, all_runs, n = batch.column("text").to_pylist(), batch.column("hit_runs").to_pylist(), batch.column("n_words").to_pylist()
+            texts, all_runs, n = batch.column("text").to_pylist(), batch.column("__leak_hit_runs").to_pylist(), batch.column("__leak_n_words").to_pylist()
             keep, new = [], []
             for t, runs, words in zip(texts, all_runs, n, strict=True):
                 hits = sum(b - a for a, b in zip(runs[::2], runs[1::2], strict=True))
@@ -299,7 +299,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.3,
     n_chars, if there, follows the new text.
     """
     columns = docs.columns
-    out = find_leaks(docs, benchmark, **options)
+    out = find_leaks(docs, benchmark, prefix="__leak_", **options)
     out = out.mapInArrow(_cutter(columns, most_share), docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

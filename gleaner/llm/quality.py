@@ -167,20 +167,22 @@ def sample_texts(docs: DataFrame, rows: int = 256, most_bytes: int = 1 << 16) ->
     return [r["text"].encode() for r in got]
 
 
-def rate(docs: DataFrame, sample_rows: int = 256) -> DataFrame:
+def rate(docs: DataFrame, sample_rows: int = 256, prefix: str = "") -> DataFrame:
     """``docs`` with the five counts, base_failed, kept and rejected_by added.
 
     Null texts have no words. ``rejected_by`` names the first rule that rejected
     the text in the order taken, or is null; ``kept`` is false if base_failed
     (under 50 words or over half of them in repeated windows). All columns of
-    ``docs`` stay, but for those with these names, which are replaced.
+    ``docs`` stay, but for those with these names, which are replaced; ``prefix``
+    goes before the added names.
     """
     small_batches(docs.sparkSession)
     order = order_rules(sample_texts(docs, sample_rows))
-    added = [*COUNTS, "base_failed", "kept", "rejected_by"]
+    added = [prefix + c for c in (*COUNTS, "base_failed", "kept", "rejected_by")]
     docs = docs.drop(*added)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    schema = fields + "".join(f", {c} bigint" for c in COUNTS) + ", base_failed boolean, kept boolean, rejected_by string"
+    kinds = ["bigint"] * len(COUNTS) + ["boolean", "boolean", "string"]
+    schema = fields + "".join(f", `{c}` {kind}" for c, kind in zip(added, kinds, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
