@@ -3,7 +3,7 @@
 Records are made as one string each and end with two line ends, which is just
 the separator that the text sink writes between rows; so writing needs no
 Python, and any store that Spark writes to will do. The reader plans a partition
-for each group of files, takes filters on record type and headers, parses the
+for each group of files, takes predicates on record type and headers, parses the
 headers of a record first and skips payloads that nothing asks for.
 """
 
@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gleaner.llm.common import scratch
+from gleaner.llm.common import scratch, ship
 
 END = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -27,7 +28,7 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PARTITION_BYTES = 32 << 20
 READ_BYTES = 1 << 20
 
-#: Column -> header line. record_type and the URI can be pushed down.
+#: Column -> header line; predicates may name any of them.
 HEADERS = {
     "record_type": "WARC-Type",
     "record_id": "WARC-Record-ID",
@@ -88,9 +89,9 @@ def records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> str:
-    """Write ``records(pages)`` as WARC files and return their folder."""
+    """Write ``records(pages)`` as gzipped WARC files and return their folder."""
     path = path or scratch(pages.sparkSession, "warc")
-    records(pages, least_bytes).write.option("lineSep", END + END).text(path)
+    records(pages, least_bytes).write.option("lineSep", END + END).option("compression", "gzip").text(path)
     return path
 
 
@@ -139,10 +140,6 @@ class Archive:
             need -= len(have)
             if not need:
                 break
-            if not want and need > READ_BYTES:  # whole reads inside an unwanted payload
-                self.file.seek(need, 1) if self.file.seekable() else self.file.read(need)
-                self.held, self.at, need = b"", 0, 0
-                break
             if not self._more():
                 raise ValueError("a WARC file ends inside a payload")
         while len(self.held) - self.at < 4 and self._more():
@@ -159,22 +156,9 @@ class WarcReader(DataSourceReader):
         self.verify = options.get("verify", "false").lower() == "true"
         self.with_payload = options.get("payload", "true").lower() == "true"
         self.partition_bytes = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
-        self.tests: list[tuple[str, set[str] | None]] = []
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            name = f.attribute[0] if getattr(f, "attribute", None) and len(f.attribute) == 1 else None
-            if name in HEADERS and name != "payload_length":
-                if isinstance(f, EqualTo) and isinstance(f.value, str):
-                    self.tests.append((name, {f.value}))
-                    continue
-                if isinstance(f, In):
-                    self.tests.append((name, {v for v in f.value if v is not None}))
-                    continue
-                if isinstance(f, IsNotNull):
-                    self.tests.append((name, None))
-                    continue
-            yield f  # Spark filters by it
+        self.tests = [(c, set(v)) for c, v in json.loads(options.get("predicates", "{}")).items()]
+        if unknown := {c for c, _ in self.tests} - set(HEADERS):
+            raise ValueError(f"no header columns: {sorted(unknown)}")
 
     def partitions(self) -> list[InputPartition]:
         store, root = pafs.FileSystem.from_uri(self.listing)
@@ -196,14 +180,14 @@ class WarcReader(DataSourceReader):
         rows: list[list] = []
         held = 0
         for path in partition.paths:
-            with store.open_input_file(path) as f:
+            with store.open_input_stream(path, compression="detect") as f:
                 archive = Archive(f)
                 while (h := archive.headers()) is not None:
                     n = int(h.get("content-length", "0"))
                     own = {c: h.get(name.lower()) for c, name in HEADERS.items()}
                     if own["payload_digest"]:
                         own["payload_digest"] = own["payload_digest"].removeprefix("sha1:")
-                    if not all(own[c] is not None and (v is None or own[c] in v) for c, v in self.tests):
+                    if not all(own[c] in v for c, v in self.tests):
                         archive.payload(n, False)
                         continue
                     check = self.verify and own["record_type"] == "response"
@@ -225,9 +209,16 @@ class WarcReader(DataSourceReader):
 
 
 class WarcSource(DataSource):
-    """``spark.read.format("warc").load(folder)``; options: ``verify`` compares
-    response payloads with their digests, ``payload`` false leaves payloads out,
-    ``partitionBytes`` bounds the files of a partition."""
+    """``spark.read.format("warc").load(folder)``; options: ``predicates``, JSON
+    of column -> permitted values, tested on headers before the payload is
+    touched; ``verify`` compares response payloads with their digests;
+    ``payload`` false leaves payloads out; ``partitionBytes`` bounds the files of
+    a partition.
+
+    Predicates are options and not pushed by Catalyst: Spark 4.1 keeps the
+    filters pushed last in the source that all queries on one DataFrame share,
+    so that another filter on it would change results of the first.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -240,11 +231,17 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read_warc(spark: SparkSession, path: str, verify: bool = False, payload: bool = True) -> DataFrame:
-    """Records of all files below ``path`` (any store that pyarrow opens)."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_warc(spark: SparkSession, path: str, verify: bool = False, payload: bool = True, **predicates: str | list[str]) -> DataFrame:
+    """Records of all files below ``path`` (any store that pyarrow opens).
+
+    ``predicates`` name header columns with the value or values wanted, such as
+    ``record_type="response"``; they are tested inside the source.
+    """
+    ship(spark)
     spark.dataSource.register(WarcSource)
-    return spark.read.format("warc").option("verify", str(verify).lower()).option("payload", str(payload).lower()).load(path)
+    wanted = {c: [v] if isinstance(v, str) else list(v) for c, v in predicates.items()}
+    reader = spark.read.format("warc").option("verify", str(verify).lower()).option("payload", str(payload).lower())
+    return reader.option("predicates", json.dumps(wanted)).load(path)
 
 
 def page_id_of(record_id: Column) -> Column:
