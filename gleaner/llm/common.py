@@ -6,13 +6,20 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 
 import gleaner
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words in the contracts.
 SPACES = " \t\n\x0b\x0c\r"
+#: Bytes of text that a worker takes at once, and of an Arrow batch.
+SLICE_BYTES = 16 << 20
+BATCH_BYTES = 64 << 20
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -59,6 +66,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python workers hold (texts can be long)."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` with about ``most`` bytes of text each, a row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    groups = np.cumsum(sizes) // most
+    edges = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

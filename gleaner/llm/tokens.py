@@ -20,11 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, scratch, small_batches
+from gleaner.llm.common import cut, scratch, slices, small_batches
 
 MAGIC = b"GLTOK1\0\0"
 END_ID = 1
@@ -32,9 +33,10 @@ END_ID = 1
 SCALE = 20
 LOW = 1 << 31
 #: Lanes and ids of one block.
-LANES = 1024
-BLOCK_IDS = 1 << 19
-VOCABULARY = 49_408
+LANES = 4096
+BLOCK_IDS = 1 << 20
+#: Ids are held as uint16 between the stages.
+MOST_IDS = 1 << 16
 
 
 def scale_counts(counts: np.ndarray, bits: int = SCALE) -> np.ndarray:
@@ -138,30 +140,134 @@ def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
 class Tokens:
     """Ids of whole texts. White space splits tokens in this vocabulary, so a
     stretch without blanks has the same ids wherever it stands; each is encoded
-    once and then looked up."""
+    once and then looked up in a table of bounded size.
 
-    MOST = 400_000
+    A new stretch that is letters, then stops, has the ids of the letters in
+    lower case followed by those of the stops. Such letters are one word for the
+    model: they skip the normaliser and the regex, many in one call, and the
+    vocabulary's word-end mark tells their ids apart.
+    """
+
+    MOST = 900_000
+    STOPS = ".,;:!?"
+    #: Letters that NFC leaves alone and that have one lower case wherever they stand.
+    LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {"": []}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        new = list({w for p in parts for w in p if w not in known})
-        if new:
-            if len(known) + len(new) > self.MOST:  # bounds the table
-                known.clear()
-                new = list({w for p in parts for w in p})
-            for k in range(0, len(new), 10_000):
-                some = new[k : k + 10_000]
-                for w, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False), strict=True):
-                    known[w] = e.ids
-        chain = itertools.chain.from_iterable
-        return [np.fromiter(chain(map(known.__getitem__, p)), np.uint32) for p in parts]
+        if self.tokenizer.get_vocab_size() > MOST_IDS:
+            raise ValueError("ids do not fit 16 bits")
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(MOST_IDS, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+        self.marked = self.tokenizer.model.end_of_word_suffix == "</w>"
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: dict[str, int] = {"": 0}  # place in the table
+        self.entries = 1
+        self.sizes = np.zeros(1024, np.int64)
+        self.starts = np.zeros(1024, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint16)
+        self.filled = 0
+
+    def _append(self, sizes: np.ndarray, ids: np.ndarray) -> int:
+        """Add entries to the table and return the place of the first."""
+        first, n = self.entries, len(sizes)
+        self.entries += n
+        if first + n > len(self.sizes):
+            grow = max(len(self.sizes), n)
+            self.sizes, self.starts = np.append(self.sizes, np.zeros(grow, np.int64)), np.append(self.starts, np.zeros(grow, np.int64))
+        if self.filled + len(ids) > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint16))
+        self.sizes[first : first + n] = sizes
+        self.starts[first : first + n] = self.filled + np.cumsum(sizes) - sizes
+        self.flat[self.filled : self.filled + len(ids)] = ids
+        self.filled += len(ids)
+        return first
+
+    def _learn(self, words: list[str], encoded: list[list[int]]) -> None:
+        first = self._append(np.array([len(x) for x in encoded], np.int64), np.fromiter(itertools.chain.from_iterable(encoded), np.uint16))
+        self.at.update(zip(words, range(first, first + len(words)), strict=True))
+
+    def _plain(self, words: list[str]) -> None:
+        """Through the whole tokenizer."""
+        words = [w for w in dict.fromkeys(words) if w not in self.at]
+        for k in range(0, len(words), 10_000):
+            some = words[k : k + 10_000]
+            self._learn(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
+
+    def _words(self, words: list[str]) -> None:
+        """Letters in lower case, one word each for the model."""
+        words = [w for w in dict.fromkeys(words) if w not in self.at]
+        for k in range(0, len(words), 20_000):
+            some = words[k : k + 20_000]
+            lines = [" ".join(some[i : i + 200]) for i in range(0, len(some), 200)]
+            ids = np.concatenate([np.array(e.ids, np.uint16) for e in self.letters.encode_batch_fast(lines, add_special_tokens=False)])
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # not one end for each word: encode them as they are
+                self._plain(some)
+                continue
+            first = self._append(np.diff(ends, prepend=0), ids)
+            self.at.update(zip(some, range(first, first + len(some)), strict=True))
+
+    def _add(self, new: pa.Array) -> None:
+        cores = pc.utf8_rtrim(new, self.STOPS)
+        plain_letters = pc.match_substring_regex(cores, self.LETTERS).to_numpy(zero_copy_only=False) & self.marked
+        plain = new.filter(pa.array(~plain_letters)).to_pylist()
+        new, cores = new.filter(pa.array(plain_letters)), cores.filter(pa.array(plain_letters))
+        low = pc.utf8_lower(cores)
+        self._words(pc.unique(low).to_pylist())
+        changed = pc.not_equal(low, new)  # capitals or stops: built from two entries
+        new, cores, low = new.filter(changed), cores.filter(changed), low.filter(changed)
+        coded = pc.replace_substring_regex(new, "[^.,;:!?]+", "").dictionary_encode()
+        stops = coded.dictionary.to_pylist()
+        self._plain(plain + stops)
+        if len(new):
+            parts = np.empty(2 * len(new), np.int64)
+            parts[::2] = self._look_up(low.to_pylist())
+            parts[1::2] = self._look_up(stops)[coded.indices.to_numpy(zero_copy_only=False)]
+            sizes = self.sizes[parts]
+            first = self._append(sizes.reshape(-1, 2).sum(1), _ragged(self.flat, self.starts[parts], sizes))
+            self.at.update(zip(new.to_pylist(), range(first, first + len(new)), strict=True))
+
+    def _look_up(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int64, len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ids of each text).
+
+        Arrow splits the texts and numbers their distinct words; Python sees
+        each distinct word of a batch once.
+        """
+        lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        place = self._look_up(words)
+        missing = np.flatnonzero(place < 0).tolist()
+        if missing:
+            if len(self.at) + 2 * len(missing) > self.MOST:
+                self.clear()
+                missing = np.flatnonzero(self._look_up(words) < 0).tolist()
+            self._add(coded.dictionary.take(pa.array(missing)))
+            place = self._look_up(words)
+        place = place[coded.indices.to_numpy(zero_copy_only=False)]
+        sizes = self.sizes[place]
+        ids = _ragged(self.flat, self.starts[place], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
+        return ids, np.diff(ends)
+
+
+def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The stretches of ``flat`` one after the other."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -175,9 +281,9 @@ def tokens(path: str) -> Tokens:
 
 
 def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as packed little-endian uint16 or uint32,
-    ``end_id`` last. Null texts are empty."""
-    small_batches(docs.sparkSession, 500)
+    """(doc_id, n_tokens, ids): ids as packed little-endian uint16, ``end_id``
+    last. Null texts are empty."""
+    small_batches(docs.sparkSession, 4000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -185,18 +291,21 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
         for b in batches:
-            ids = [np.append(x, np.uint32(end_id)) for x in own.encode([t or "" for t in b.column("text").to_pylist()])]
-            packed = [x.astype("<u2" if VOCABULARY <= 1 << 16 else "<u4").tobytes() for x in ids]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+            for part in slices(b, "text"):
+                ids, sizes = own.encode(part.column("text"))
+                ends = np.cumsum(sizes)
+                data = np.insert(ids, ends, end_id).astype("<u2")
+                offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(ends) + 1))]).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1), packed], names=["doc_id", "n_tokens", "ids"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(MOST_IDS, np.int64)
     for b in batches:
-        for x in b.column("ids"):
-            counts += np.bincount(np.frombuffer(x.as_buffer(), "<u2"), minlength=1 << 16)
+        counts += np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u2"), minlength=MOST_IDS)
     seen = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["id", "n"])
 
@@ -269,7 +378,7 @@ def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: in
     store.create_dir(root, recursive=True)
     ids = cut(tokenize(docs, path, end_id), "token-ids")
     rows = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(MOST_IDS, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     freq = scale_counts(counts)
@@ -323,7 +432,7 @@ def read_tokens(spark: SparkSession, base: str, manifest: DataFrame, freq: np.nd
     plan = plan.withColumn("stop", F.col("next"))
     shared = spark.sparkContext.broadcast(freq)
     small_batches(spark, 8)
-    blocks = plan.repartition("part", "block")
+    blocks = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "block")
     return blocks.mapInArrow(_with_ends(_reader(shared, base), base), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
 
