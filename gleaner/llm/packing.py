@@ -22,6 +22,8 @@ from gleaner.llm.common import WORD, cut
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Cost of a bin beside its tokens: what one more sequence costs, in tokens.
 BIN_COST = 16
+#: Rows of the plan that may be broadcast, some 50 bytes each.
+MOST_BROADCAST = 200_000
 
 
 @dataclass(frozen=True)
@@ -150,8 +152,7 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: str
     )
     rows = rows.join(ranks, ["part", "length"]).join(F.broadcast(fulls), "part")
     rows = rows.withColumns({"rank": F.col("rank_before") + F.col("local"), "first_full": F.lit(planned) + F.col("full_before") + F.col("full_local")})
-    # The plan is bounded by the capacities, not by the rows.
-    rows = rows.join(F.broadcast(slot_rows), (rows["length"] == slot_rows["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")), "left").drop(slot_rows["length"])
+    rows = rows.join(_small(slot_rows, len(slots)), (rows["length"] == slot_rows["length"]) & (F.col("rank") >= F.col("rank_from")) & (F.col("rank") < F.col("rank_to")), "left").drop(slot_rows["length"])
     j = F.col("rank") - F.col("rank_from")
     rest_piece = F.struct(
         F.col("full").alias("piece"), (F.col("full") * top).alias("piece_start"), F.col("length").alias("n_tokens"),
@@ -165,15 +166,21 @@ def pack(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES, length: str
     none = F.expr("cast(array() as array<struct<piece:bigint,piece_start:bigint,n_tokens:int,bin_id:bigint,bin_offset:bigint>>)")
     pieces = F.concat(F.coalesce(fulls_of, none), F.when((F.col("length") > 0) | (F.col("full") == 0), F.array(rest_piece)).otherwise(none))
     out = rows.select("doc_id", F.explode(pieces).alias("p")).select("doc_id", "p.*")
-    return _with_capacity(out, run_rows, planned, top)
+    return _with_capacity(out, run_rows, len(runs), planned, top)
 
 
-def _with_capacity(pieces: DataFrame, runs: DataFrame, planned: int, top: int) -> DataFrame:
+def _small(plan_rows: DataFrame, n: int) -> DataFrame:
+    """The plan's size follows the capacities, not the rows; beyond this check
+    Spark picks another join."""
+    return F.broadcast(plan_rows) if n <= MOST_BROADCAST else plan_rows
+
+
+def _with_capacity(pieces: DataFrame, runs: DataFrame, n: int, planned: int, top: int) -> DataFrame:
     """Capacities by bin: runs are cut at equal steps so that a step and the few
     runs that touch it meet by an equal key."""
     step = max(1, planned // 4096)
     keyed = runs.select("*", F.explode(F.sequence(F.floor(F.col("bin_from") / step), F.floor((F.col("bin_to") - 1) / step))).alias("step"))
     own = pieces.withColumn("step", F.when(F.col("bin_id") < planned, F.floor(F.col("bin_id") / step)))
-    joined = own.join(F.broadcast(keyed), (own["step"] == keyed["step"]) & (F.col("bin_id") >= F.col("bin_from")) & (F.col("bin_id") < F.col("bin_to")), "left")
+    joined = own.join(_small(keyed, n), (own["step"] == keyed["step"]) & (F.col("bin_id") >= F.col("bin_from")) & (F.col("bin_id") < F.col("bin_to")), "left")
     capacity = F.when(F.col("bin_id") >= planned, F.lit(top)).otherwise(F.col("capacity"))
     return joined.select("doc_id", "piece", "piece_start", "n_tokens", "bin_id", "bin_offset", capacity.alias("bin_capacity"))
