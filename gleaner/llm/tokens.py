@@ -35,6 +35,7 @@ LOW = 1 << 31
 #: Lanes and ids of one block.
 LANES = 4096
 BLOCK_IDS = 1 << 20
+MANIFEST_FILES = 8
 #: Ids are held as uint16 between the stages.
 MOST_IDS = 1 << 16
 
@@ -142,13 +143,13 @@ class Tokens:
     stretch without blanks has the same ids wherever it stands; each is encoded
     once and then looked up in a table of bounded size.
 
-    A new stretch that is letters, then stops, has the ids of the letters in
-    lower case followed by those of the stops. Such letters are one word for the
-    model: they skip the normaliser and the regex, many in one call, and the
-    vocabulary's word-end mark tells their ids apart.
+    A stretch that is letters, then stops, has the ids of the letters in lower
+    case followed by those of the stops, and the table holds only these. Letters
+    are one word for the model: they skip the normaliser and the regex, many in
+    one call, and the vocabulary's word-end mark tells their ids apart.
     """
 
-    MOST = 900_000
+    MOST = 800_000
     STOPS = ".,;:!?"
     #: Letters that NFC leaves alone and that have one lower case wherever they stand.
     LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
@@ -196,15 +197,13 @@ class Tokens:
         self.at.update(zip(words, range(first, first + len(words)), strict=True))
 
     def _plain(self, words: list[str]) -> None:
-        """Through the whole tokenizer."""
-        words = [w for w in dict.fromkeys(words) if w not in self.at]
+        """Learn through the whole tokenizer."""
         for k in range(0, len(words), 10_000):
             some = words[k : k + 10_000]
             self._learn(some, [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)])
 
     def _words(self, words: list[str]) -> None:
-        """Letters in lower case, one word each for the model."""
-        words = [w for w in dict.fromkeys(words) if w not in self.at]
+        """Learn letters in lower case, one word each for the model."""
         for k in range(0, len(words), 20_000):
             some = words[k : k + 20_000]
             lines = [" ".join(some[i : i + 200]) for i in range(0, len(some), 200)]
@@ -216,25 +215,22 @@ class Tokens:
             first = self._append(np.diff(ends, prepend=0), ids)
             self.at.update(zip(some, range(first, first + len(some)), strict=True))
 
-    def _add(self, new: pa.Array) -> None:
-        cores = pc.utf8_rtrim(new, self.STOPS)
-        plain_letters = pc.match_substring_regex(cores, self.LETTERS).to_numpy(zero_copy_only=False) & self.marked
-        plain = new.filter(pa.array(~plain_letters)).to_pylist()
-        new, cores = new.filter(pa.array(plain_letters)), cores.filter(pa.array(plain_letters))
-        low = pc.utf8_lower(cores)
-        self._words(pc.unique(low).to_pylist())
-        changed = pc.not_equal(low, new)  # capitals or stops: built from two entries
-        new, cores, low = new.filter(changed), cores.filter(changed), low.filter(changed)
-        coded = pc.replace_substring_regex(new, "[^.,;:!?]+", "").dictionary_encode()
-        stops = coded.dictionary.to_pylist()
-        self._plain(plain + stops)
-        if len(new):
-            parts = np.empty(2 * len(new), np.int64)
-            parts[::2] = self._look_up(low.to_pylist())
-            parts[1::2] = self._look_up(stops)[coded.indices.to_numpy(zero_copy_only=False)]
-            sizes = self.sizes[parts]
-            first = self._append(sizes.reshape(-1, 2).sum(1), _ragged(self.flat, self.starts[parts], sizes))
-            self.at.update(zip(new.to_pylist(), range(first, first + len(new)), strict=True))
+    def _places(self, keys: pa.Array) -> np.ndarray:
+        """Places of distinct keys, learnt where they are new."""
+        words = keys.to_pylist()
+        place = self._look_up(words)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            if len(self.at) + len(missing) > self.MOST:
+                self.clear()
+                missing = np.flatnonzero(self._look_up(words) < 0)
+                place[:] = 0
+            new = keys.take(pa.array(missing))
+            letters = pc.match_substring_regex(new, self.LETTERS).to_numpy(zero_copy_only=False) & self.marked
+            self._words(new.filter(pa.array(letters)).to_pylist())
+            self._plain(new.filter(pa.array(~letters)).to_pylist())
+            place[missing] = self._look_up(new.to_pylist())
+        return place
 
     def _look_up(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int64, len(words))
@@ -242,23 +238,29 @@ class Tokens:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids of each text).
 
-        Arrow splits the texts and numbers their distinct words; Python sees
-        each distinct word of a batch once.
+        Arrow splits the texts, numbers their distinct words and takes these
+        apart; Python sees each distinct key of a batch once.
         """
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        place = self._look_up(words)
-        missing = np.flatnonzero(place < 0).tolist()
-        if missing:
-            if len(self.at) + 2 * len(missing) > self.MOST:
-                self.clear()
-                missing = np.flatnonzero(self._look_up(words) < 0).tolist()
-            self._add(coded.dictionary.take(pa.array(missing)))
-            place = self._look_up(words)
-        place = place[coded.indices.to_numpy(zero_copy_only=False)]
-        sizes = self.sizes[place]
-        ids = _ragged(self.flat, self.starts[place], sizes)
+        words = coded.dictionary
+        cores = pc.utf8_rtrim(words, self.STOPS)
+        letters = pc.and_(pc.match_substring_regex(cores, self.LETTERS), self.marked)
+        stops = pc.if_else(letters, pc.replace_substring_regex(words, "[^.,;:!?]+", ""), "").dictionary_encode()
+        keys = pc.if_else(letters, pc.utf8_lower(cores), words).dictionary_encode()
+        known = pa.concat_arrays([keys.dictionary, stops.dictionary]).dictionary_encode()
+        place = self._places(known.dictionary)[known.indices.to_numpy(zero_copy_only=False)]
+        parts = np.empty(2 * len(words), np.int64)
+        parts[::2] = place[keys.indices.to_numpy(zero_copy_only=False)]
+        parts[1::2] = place[len(keys.dictionary) :][stops.indices.to_numpy(zero_copy_only=False)]
+        # A table of the batch's distinct words, then the texts from it.
+        sizes = self.sizes[parts]
+        flat = _ragged(self.flat, self.starts[parts], sizes)
+        sizes = sizes.reshape(-1, 2).sum(1)
+        starts = np.cumsum(sizes) - sizes
+        order = coded.indices.to_numpy(zero_copy_only=False)
+        sizes = sizes[order]
+        ids = _ragged(flat, starts[order], sizes)
         ends = np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()]
         return ids, np.diff(ends)
 
@@ -267,7 +269,10 @@ def _ragged(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarr
     """The stretches of ``flat`` one after the other."""
     ends = np.cumsum(sizes)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts - (ends - sizes), sizes)]
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - sizes)).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return flat[at]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -291,7 +296,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
         for b in batches:
-            for part in slices(b, "text"):
+            for part in slices(b, "text", 8 << 20):
                 ids, sizes = own.encode(part.column("text"))
                 ends = np.cumsum(sizes)
                 data = np.insert(ids, ends, end_id).astype("<u2")
@@ -384,7 +389,8 @@ def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: in
     freq = scale_counts(counts)
     shared = spark.sparkContext.broadcast(freq)  # bounded by the vocabulary
     ordered = ids.repartitionByRange("doc_id", "n_tokens", F.crc32("ids")).sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
-    manifest = cut(ordered.select("doc_id", "ids").mapInArrow(_writer(shared, base), MANIFEST), "token-manifest")
+    written = ordered.select("doc_id", "ids").mapInArrow(_writer(shared, base), MANIFEST)
+    manifest = cut(written.repartition(MANIFEST_FILES), "token-manifest")  # narrow rows, few files
     return base, manifest, freq
 
 
