@@ -166,11 +166,11 @@ def anomaly(ctx: Context, m: Measure, time: TimeAxis, grain: str, s: Series) ->
 
 
 def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: list[Segment]) -> Insight | None:
+    if m.column == "*":  # the split at the middle row leaves as many rows before as after
+        return None
+
     def part(s: Segment, which: str) -> tuple[float, float]:
-        """(rows with a value, their mean); rows themselves count as 1 each."""
-        if m.column == "*":
-            n = s.rows_prior if which == "prior" else s.rows_recent
-            return float(n), 1.0
+        """(rows with a value, their mean)."""
         x = getattr(s, which)[m.name]
         return float(x.n), x.mean
 
@@ -199,8 +199,7 @@ def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: lis
     excess = abs(share) - volume
     if abs(share) < DRIVER_SHARE or excess < DRIVER_EXCESS:
         return None
-    test = stats.welch(s.recent[m.name], s.prior[m.name]) if m.column != "*" else None
-    p = test.p if test else None
+    p = stats.welch(s.recent[m.name], s.prior[m.name]).p
     against = [r[0].value for r in usable[1:] if r[7] * total < 0 and abs(r[7]) > OPPOSING * abs(total)]
     change = relative(c1 * m1, c0 * m0) if m.additive else relative(m1, m0)
     weight = abs(c1 * m1) / max(1e-9, abs(after)) if m.additive else volume
@@ -211,7 +210,7 @@ def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: lis
         impact_of(clamp(weight), change, volume), ctx.confidence(p, c0 + c1, SEGMENT_ROWS, (m.column, d.column, time.column), 1.0 if abs(share) > 0.5 else 0.85), [m.name, d.name, s.value],
         Evidence(delta, "Contribution", p, None, share, "Share of the change", int(c0 + c1), [("Before", number(before, m.unit)), ("After", number(after, m.unit)), ("Volume effect", number(mix, m.unit)), ("Level effect", number(rate, m.unit)), ("Rows before, after", f"{c0:.0f}, {c1:.0f}")]),
         [f"Rows were split at the middle of {time.name}.", f"{len(usable)} segments of '{d.name}' with {SEGMENT_ROWS} rows or more."],
-        ["Contribution is arithmetic, not cause.", "The segment's level itself does not differ significantly." if p is not None and p > 0.05 else ""],
+        ["Contribution is arithmetic, not cause.", "The segment's level itself does not differ significantly." if p > 0.05 else ""],
         [Step("act", f"Look into '{s.value}' first", "It moves the total more than its size explains.", Query([Metric(m.name)], [time.name], None)), Step("monitor", f"Track '{m.name}' for '{s.value}' by itself", "Totals show it late.")],
         Chart("hbar", d.name, "change", [("change", [(r[0].value, r[7]) for r in usable[:10]])]),
     )

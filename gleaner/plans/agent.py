@@ -51,7 +51,8 @@ def dimension_priority(n: int) -> float:
 
 
 def hypotheses(ds: Dataset, focus: str = "") -> list[Hypothesis]:
-    """All questions that the model allows, the most promising first."""
+    """All questions that the model allows, the most promising first. A column
+    is not compared with itself, which boolean and discrete ones would be."""
     model, out = ds.model, []
     terms = [t for t in re.split(r"[\s,;]+", focus.lower()) if len(t) > 2]
     groupable = [d for d in model.dimensions if d.groupable and d.cardinality >= 2]
@@ -69,11 +70,11 @@ def hypotheses(ds: Dataset, focus: str = "") -> list[Hypothesis]:
                 add("anomaly", f"Are there odd periods of '{m.name}' by {g} of '{t.name}'?", measure_priority(m), [m.name], measure=m.name, time=t.name, grain=g)
     for t in model.times[:1]:
         for m in model.measures:
-            for d in groupable:
+            for d in (d for d in groupable if d.column != m.column):
                 add("driver", f"Which values of '{d.name}' move '{m.name}'?", measure_priority(m) * dimension_priority(d.cardinality), [m.name, d.name], measure=m.name, dimension=d.name, time=t.name)
     for m in model.measures:
         if m.column != "*":
-            for d in groupable:
+            for d in (d for d in groupable if d.column != m.column):
                 add("comparison", f"Does '{m.name}' differ between values of '{d.name}'?", measure_priority(m) * dimension_priority(d.cardinality), [m.name, d.name], measure=m.name, dimension=d.name)
     for m in model.measures:
         if m.additive or m.column == "*":

@@ -15,7 +15,7 @@ REGIONS = (("Россия", 4), ("EMEA", 3), ("Азия", 2), ("Америка",
 PLANS = (("Enterprise", 1, 900), ("Business", 2, 420), ("Team", 4, 160), ("Starter", 5, 60))
 CHANNELS = (("Прямой", 4), ("Реклама", 3), ("Партнёры", 2), ("Рекомендации", 2))
 CITIES = (("Москва", 6), ("Петербург", 4), ("Казань", 2), ("Екатеринбург", 2), ("Новосибирск", 2), ("Самара", 1))
-CATEGORIES = (("Электроника", 3, 42000), ("Одежда", 4, 3200), ("Дом", 3, 4500), ("Книги", 4, 900), ("Спорт", 2, 5200), ("Игрушки", 3, 1500))
+CATEGORIES = (("Электроника", 3, 11000), ("Одежда", 4, 1200), ("Дом", 3, 1800), ("Книги", 4, 900), ("Спорт", 2, 2200), ("Игрушки", 3, 1300))
 DELIVERY = (("Курьер", 5), ("Пункт выдачи", 4), ("Почта", 2), ("Постамат", 2))
 
 
@@ -74,8 +74,10 @@ def retail(spark: SparkSession, days: int = 300, a_day: int = 14, seed: int = 19
     r = spark.range(days * a_day).withColumn("day", F.floor(F.col("id") / a_day).cast("int"))
     u = lambda n: uniform(seed, n)
     r = r.withColumns({"city": pick(u("city"), CITIES), "category": pick(u("category"), CATEGORIES), "delivery_method": pick(u("delivery"), DELIVERY), "items": F.greatest(F.lit(1), F.round(1.4 - 1.9 * F.log(u("items")))).cast("int")})
+    odd = F.col("id") == days * a_day // 2
+    r = r.withColumns({"category": F.when(odd, "Книги").otherwise(F.col("category")), "items": F.when(odd, 2).otherwise(F.col("items"))})
     mail, point = F.col("delivery_method") == "Почта", F.col("delivery_method") == "Пункт выдачи"
-    value = lookup(F.col("category"), CATEGORIES, 2) * F.col("items") * F.exp(0.25 * normal(seed, "value")) * F.when(F.col("id") == days * a_day // 2, 100).otherwise(1)
+    value = lookup(F.col("category"), CATEGORIES, 2) * F.col("items") * F.exp(0.25 * normal(seed, "value")) * F.when(odd, 100).otherwise(1)
     return r.select(
         F.format_string("ORD-%06d", F.col("id") + 1).alias("order_id"), F.date_add(F.lit("2025-06-01").cast("date"), F.col("day")).cast("string").alias("order_date"), "city", "category", "delivery_method",
         F.round(value).cast("long").cast("string").alias("order_value"), F.col("items").cast("string").alias("items_count"),
@@ -85,13 +87,13 @@ def retail(spark: SparkSession, days: int = 300, a_day: int = 14, seed: int = 19
     )
 
 
-def noise(spark: SparkSession, days: int = 400, a_day: int = 3, seed: int = 12345) -> DataFrame:
-    """Nothing but uniform noise on three dimensions and four measures."""
+def noise(spark: SparkSession, days: int = 399, a_day: int = 3, seed: int = 12345) -> DataFrame:
+    """Nothing but uniform noise on three dimensions and four measures, in whole weeks."""
     r = spark.range(days * a_day)
     u = lambda n: uniform(seed, n)
     part = lambda name, n: F.concat(F.lit(name), (F.floor(u(name) * n) + 1).cast("string")).alias(name)
     return r.select(
-        F.date_add(F.lit("2025-01-01").cast("date"), F.floor(F.col("id") / a_day).cast("int")).cast("string").alias("date"), part("segment", 4), part("region", 7), part("tier", 5),
+        F.date_add(F.lit("2025-01-06").cast("date"), F.floor(F.col("id") / a_day).cast("int")).cast("string").alias("date"), part("segment", 4), part("region", 7), part("tier", 5),
         *[F.round(100 * u(f"value_{k}"), 2).cast("string").alias(f"value_{k}") for k in "abcd"],
     )
 

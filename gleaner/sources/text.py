@@ -94,8 +94,8 @@ def header(names: list[str]) -> tuple[list[str], list[str]]:
     seen: dict[str, int] = {}
     for n in base:
         seen[n] = seen.get(n, 0) + 1
-        name, k = n, seen[n]
-        while name in used or (k > 1 and name == n):
+        name, k = n, max(2, seen[n])
+        while name in used or (seen[n] > 1 and name == n):
             name = f"{n}_{k}"
             k += 1
         if name != n:
