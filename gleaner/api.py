@@ -50,7 +50,10 @@ class Engine:
         if max_rows and len(parsed.rows) > max_rows:
             parsed.warnings.append(f"Only the first {max_rows} of {len(parsed.rows)} rows were kept.")
             parsed.rows = parsed.rows[:max_rows]
-        return self._register(Dataset(name, text.to_frame(self.spark, parsed), warnings=parsed.warnings, source="upload"))
+        key = self._register(Dataset(name, text.to_frame(self.spark, parsed), warnings=parsed.warnings, source="upload"))
+        if self.home:  # the text as it came
+            self._write(f"{self.home}/{key}.raw", content.encode())
+        return key
 
     def load_delimited(self, path: str, name: str | None = None, **options) -> str:
         df, warnings = text.read_delimited(self.spark, path, **options)
@@ -83,24 +86,26 @@ class Engine:
 
     # Persistence
 
-    def _file(self, key: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{key}.json")
-        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def _store(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _write(self, path: str, data: bytes) -> None:
+        p, store = self._store(path)
+        out = store.create(p, True)
+        out.write(bytearray(data))
+        out.close()
 
     def _save(self, key: str) -> None:
         if not self.home:
             return
         ds = self.datasets[key]
         meta = {"name": ds.name, "source": ds.source, "kinds": ds.kinds, "warnings": ds.warnings, "rows": ds.rows, "model": ds.model.to_dict(), "insights": [asdict(x) for x in self.insights.get(key, [])]}
-        path, store = self._file(key)
-        out = store.create(path, True)
-        out.write(bytearray(json.dumps(meta, ensure_ascii=False).encode()))
-        out.close()
+        self._write(f"{self.home}/{key}.json", json.dumps(meta, ensure_ascii=False).encode())
 
     def reload(self) -> list[str]:
         """Datasets saved under ``home``, with their models."""
-        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.home)
-        store = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        root, store = self._store(self.home)
         keys = [s.getPath().getName()[:-5] for s in store.listStatus(root) if s.getPath().getName().endswith(".json")] if store.exists(root) else []
         for key in keys:
             meta = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.home}/{key}.json").collect()))
@@ -114,9 +119,9 @@ class Engine:
         if found is not None:
             found.df.unpersist()
         if self.home:
-            path, store = self._file(key)
-            store.delete(path, False)
-            store.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{key}.parquet"), True)
+            for kind in ("json", "raw", "parquet"):
+                path, store = self._store(f"{self.home}/{key}.{kind}")
+                store.delete(path, True)
         return found is not None
 
     # Catalogue

@@ -11,6 +11,7 @@ from gleaner.functions import coerce, temporal
 from gleaner.functions.stats import MAD_SCALE
 from gleaner.model import NUMERIC, TEMPORAL, ColumnProfile, NumericStats, TemporalStats
 from gleaner.operators.dataset import Dataset
+from gleaner.operators.quantiles import quantiles
 
 THRESHOLD, INTEGRAL = 0.9, 0.99
 TOP_VALUES, SAMPLES = 12, 5
@@ -113,21 +114,22 @@ def _top(counts: DataFrame, most: int) -> DataFrame:
 def numeric_frame(ds: Dataset, columns: list[str]) -> DataFrame:
     """(c, count, min, ..., negative_count): a row for each numeric column.
 
-    Two passes: exact percentiles, then the deviation from the median; stdev is
-    0 for a single value.
+    One aggregate for the moments, and exact quantiles of the values and then of
+    their distance from the median; stdev is 0 for a single value.
     """
     cells = F.array(*[F.struct(F.lit(i).alias("c"), ds.number(c).alias("x")) for i, c in enumerate(columns)])
     long = ds.df.select(F.inline(cells)).where(F.col("x").isNotNull())
-    first = long.groupBy("c").agg(
+    moments = long.groupBy("c").agg(
         F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"),
         F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("stdev"), F.sum("x").alias("sum"),
-        F.percentile("x", F.array(*[F.lit(q) for q in (0.05, 0.25, 0.5, 0.75, 0.95)])).alias("q"),
         _count(F.col("x") == 0).alias("zero_count"), _count(F.col("x") < 0).alias("negative_count"),
     )
-    centre = first.select("c", F.col("q")[2].alias("med"))
-    spread = long.join(F.broadcast(centre), "c").groupBy("c").agg((F.percentile(F.abs(F.col("x") - F.col("med")), F.lit(0.5)) * MAD_SCALE).alias("mad"))
-    named = [F.col("q")[k].alias(n) for k, n in enumerate(("p05", "p25", "median", "p75", "p95"))]
-    return first.join(F.broadcast(spread), "c").select("c", "count", "min", "max", "mean", "stdev", "mad", "sum", *named, "zero_count", "negative_count")
+    names = ("p05", "p25", "median", "p75", "p95")
+    q = quantiles(long, [0.05, 0.25, 0.5, 0.75, 0.95]).select("c", *[F.col(f"q{k}").alias(n) for k, n in enumerate(names)])
+    away = long.join(F.broadcast(q.select("c", "median")), "c").select("c", F.abs(F.col("x") - F.col("median")).alias("x"))
+    mad = quantiles(away, [0.5]).select("c", (F.col("q0") * MAD_SCALE).alias("mad"))
+    out = moments.join(F.broadcast(q), "c").join(F.broadcast(mad), "c")  # a row for each column
+    return out.select("c", "count", "min", "max", "mean", "stdev", "mad", "sum", *names, "zero_count", "negative_count")
 
 
 def temporal_stats(ds: Dataset, column: str) -> TemporalStats | None:

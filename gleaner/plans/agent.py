@@ -133,6 +133,13 @@ def collect(ds: Dataset, chosen: list[Hypothesis]) -> Collected:
     return out
 
 
+def scatter(ds: Dataset, a: str, b: str, most: int = 400) -> list[tuple[float, float]]:
+    """A bounded sample of the pairs of two measures: those with the least hashes."""
+    columns = {m.name: m.column for m in ds.model.measures}
+    pairs = ds.df.select(ds.number(columns[a]).alias("a"), ds.number(columns[b]).alias("b")).dropna()
+    return [tuple(r) for r in pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(most).collect()]
+
+
 def test(ds: Dataset, h: Hypothesis, c: Collected, ctx: analyzers.Context) -> Insight | None:
     measures = {m.name: m for m in ds.model.measures}
     dimension = next((d for d in ds.model.dimensions if d.name == h.params.get("dimension")), None)
@@ -270,6 +277,9 @@ def run(ds: Dataset, focus: str = "", most_hypotheses: int = MAX_HYPOTHESES, mos
     kept = verify(found, reasons.append)
     yield Event("verify", f"{len(kept)} of {len(found)} hold", 0.82, reasons)
     best = rank(kept)[:most_insights]
+    for x in best:
+        if x.kind == "correlation":
+            x.chart.series = [("rows", scatter(ds, *x.subjects))]
     yield Event("rank", f"{len(best)} selected", 0.88, best)
     text = None
     if narrate is not None:

@@ -213,6 +213,22 @@ def test_moments_frame_against_collected_values(spark):
         assert (mine.n, mine.mean, mine.var) == (want.n, pytest.approx(want.mean), pytest.approx(want.var))
 
 
+def test_quantiles_match_percentile(spark):
+    import random
+
+    from gleaner.functions import stats
+    from gleaner.operators.quantiles import quantiles
+
+    rng = random.Random(4)
+    values = {0: [rng.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(301)], 1: [rng.random() for _ in range(1000)], 2: [5.0], 3: [1.0, 2.0]}
+    df = spark.createDataFrame([(c, x) for c, xs in values.items() for x in xs] + [(4, None)], "c int, x double").repartition(7)
+    qs = [0.0, 0.05, 0.5, 0.95, 1.0]
+    got = {r["c"]: list(r[1:]) for r in quantiles(df, qs).collect()}
+    assert set(got) == set(values)
+    for c, xs in values.items():
+        assert got[c] == pytest.approx([stats.percentile(xs, q) for q in qs])
+
+
 def test_stride_sample(spark):
     df = spark.range(1000)
     assert segments.stride_sample(df, "id", 400).count() == 400 and segments.stride_sample(spark.range(10), "id", 400).count() == 10
