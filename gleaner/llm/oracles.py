@@ -2,8 +2,8 @@
 
 Patterns are the plain ones of the contracts; windows and counts are taken one
 by one. Not expressible: XXH64 (op4), tokenizers (op6), packing plans (op7), a
-trained model (op1), CRC-32 (op3) and corpus co-occurrence at this length (op8);
-tests hold those against brute force.
+trained model (op1) and corpus co-occurrence at this length (op8); tests hold those
+against brute force.
 """
 
 from __future__ import annotations
@@ -47,6 +47,17 @@ def op2() -> str:
     SELECT doc_id, CAST(len(a) AS BIGINT) AS n_assign, CAST(len(b) AS BIGINT) AS n_access, CAST(len(c) AS BIGINT) AS n_hex, sha256({_joined(base, secrets.KINDS)}) AS base_sha256, {_joined(f'list_concat({base}, {apart})', secrets.KINDS)} AS spans FROM f"""
 
 
+def op3() -> str:
+    """The CRC-32 runs over the bytes by the usual table, made by eight shifts."""
+    return """WITH RECURSIVE k(i, n, c) AS (SELECT i, 0, CAST(i AS BIGINT) FROM range(256) r(i) UNION ALL SELECT i, n + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM k WHERE n < 8),
+    tab AS (SELECT list(c ORDER BY i) AS t FROM k WHERE n = 8), d AS (SELECT doc_id, coalesce(text, '') AS x, hex(encode(coalesce(text, ''))) AS hx FROM documents),
+    h AS (SELECT doc_id, strlen(x) + 1 AS size, list_prepend(4294967295, list_transform(range(0, strlen(x)), lambda i: (instr('0123456789ABCDEF', substring(hx, 2 * i + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substring(hx, 2 * i + 2, 1)) - 1)) AS b FROM d),
+    e AS (SELECT doc_id, size, xor(list_reduce(b, lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS crc FROM h, tab),
+    p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, crc, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) AS r FROM e),
+    q AS (SELECT *, least(7, CAST(((2 * before + size) * 8) // (2 * total) AS INTEGER)) AS shard FROM p)
+    SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'bytes' AS law, shard, CAST(r - min(r) OVER (PARTITION BY shard) AS BIGINT) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM q"""
+
+
 def op5() -> str:
     hexed = "upper(sha1(p))"
     bits = f"array_to_string(list_transform(range(1, 41), lambda i: bin(instr('0123456789ABCDEF', substring({hexed}, i, 1)) + 15)[2:5]), '')"
@@ -82,4 +93,4 @@ def op10() -> str:
       OR (n_lines > 3 AND 2 * n_dup_lines > n_lines AND n_dup_lines > {lim['dup_lines_per_word']} * n_words) OR letters < {lim['letters_share']}) AS kept FROM b"""
 
 
-ORACLE_SQL = {"op2_secret_scan": op2(), "op5_warc": op5(), "op9_decontamination": op9(), "op10_quality_rules": op10()}
+ORACLE_SQL = {"op2_secret_scan": op2(), "op3_sharding": op3(), "op5_warc": op5(), "op9_decontamination": op9(), "op10_quality_rules": op10()}
