@@ -1,14 +1,13 @@
 """The same results in DuckDB's SQL, for queries that SQL can express.
 
 Patterns are the plain ones of the contracts; windows and counts are taken one
-by one. Not expressible: XXH64 (op4), tokenizers (op6), packing plans (op7), a
-trained model (op1) and corpus co-occurrence at this length (op8); tests hold those
-against brute force.
+by one. Not expressible: XXH64 (op4), tokenizers (op6), packing plans (op7) and a
+trained model (op1); tests hold those against brute force.
 """
 
 from __future__ import annotations
 
-from gleaner.llm import quality, secrets
+from gleaner.llm import pii, quality, secrets
 
 SPACES = r"[^\x20\x09-\x0D]+"
 
@@ -66,6 +65,35 @@ def op5() -> str:
     SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {digest} AS payload_digest, CASE WHEN k > 1 AND page_id IS DISTINCT FROM best THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN k > 1 AND page_id IS DISTINCT FROM best THEN best END AS refers_to FROM d"""
 
 
+def op8() -> str:
+    term, c = r"\p{L}{4,40}", pii.CONTEXT
+    part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+    digits = "regexp_replace($m, '[^0-9]', '', 'g')"
+    each = f"CAST(substring(reverse({digits}), i, 1) AS INTEGER)"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {each} ELSE {each} * 2 % 10 + {each} // 5 END)) % 10 = 0"
+    base = [
+        _spans("x", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", 0), _spans("x", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", 1, rf"regexp_full_match($m, '{part}(?:\.{part}){{3}}')"),
+        _spans("x", r"[0-9](?:[\x20-]?[0-9])+", 2, f"length({digits}) BETWEEN 14 AND 19 AND {luhn}"), _spans("x", r"\+[0-9][\x20().0-9-]+[0-9]", 3, f"length({digits}) BETWEEN 10 AND 15"),
+    ]
+    joined = base[0]
+    for b in base[1:]:
+        joined = f"list_concat({joined}, {b})"
+    moved = lambda xs, by: f"list_transform({xs}, lambda y: {{'s': y.s + {by}, 'e': y.e + {by}, 'm': lower(y.m)}})"
+    left = f"list_filter({_spans('lx', term, 4)}, lambda y: y.s > 0 OR la = 0)"
+    right = f"list_filter({_spans('rx', term, 4)}, lambda y: y.e < {c})"
+    count = lambda k: f"CAST(len(list_filter(b, lambda y: y.k = {k})) AS BIGINT)"
+    return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents), f AS (SELECT r, doc_id, x, list_sort({joined}) AS b FROM t),
+    o AS (SELECT r, x, b, unnest(b) AS p FROM f), v AS (SELECT r, b, p, concat(p.k, ':', lower(p.m)) AS entity, greatest(p.s - {c}, 0) AS la, substring(x, greatest(p.s - {c}, 0) + 1, p.s - greatest(p.s - {c}, 0)) AS lx, substring(x, p.e + 1, {c}) AS rx FROM o),
+    w AS (SELECT r, b, entity, list_concat({moved(left, 'la')}, {moved(right, 'p.e')}) AS near FROM v), u AS (SELECT r, b, entity, array_to_string(list_transform(near, lambda y: y.m), ' ') AS context, unnest(near) AS y FROM w),
+    z AS (SELECT r, entity, context, y.m AS term, y.s AS s, y.e AS e FROM u WHERE len(list_filter(b, lambda q: q.s < y.e AND y.s < q.e)) = 0),
+    pair AS (SELECT entity, term, count(*) AS n_pair FROM z GROUP BY 1, 2 HAVING count(DISTINCT context) >= {pii.SUPPORT}), terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(regexp_extract_all(lower(x), '{term}')) AS term FROM t) GROUP BY 1),
+    entities AS (SELECT entity, count(*) AS n_entity FROM w GROUP BY 1), flagged AS (SELECT entity, term FROM pair JOIN terms USING (term) JOIN entities USING (entity)
+      WHERE round(1 - log2(least(1.0, n_pair / n_term::DOUBLE)) / log2(least(0.5, n_entity / (SELECT greatest(1, sum(n_term)) FROM terms)::DOUBLE)), 9) >= {pii.GENERALISE}),
+    marked AS (SELECT r, list(DISTINCT {{'s': s, 'k': 4, 'e': e, 'm': ''}}) AS more FROM z JOIN flagged USING (entity, term) GROUP BY r)
+    SELECT doc_id, {count(0)} AS n_email, {count(1)} AS n_ip, {count(2)} AS n_card, {count(3)} AS n_phone, sha256({_joined('b', pii.KINDS)}) AS base_sha256,
+    {_joined("list_concat(b, coalesce(more, []))", pii.KINDS)} AS spans FROM f LEFT JOIN marked USING (r)"""
+
+
 def op9() -> str:
     rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{rx}')"
@@ -93,4 +121,4 @@ def op10() -> str:
       OR (n_lines > 3 AND 2 * n_dup_lines > n_lines AND n_dup_lines > {lim['dup_lines_per_word']} * n_words) OR letters < {lim['letters_share']}) AS kept FROM b"""
 
 
-ORACLE_SQL = {"op2_secret_scan": op2(), "op3_sharding": op3(), "op5_warc": op5(), "op9_decontamination": op9(), "op10_quality_rules": op10()}
+ORACLE_SQL = {"op2_secret_scan": op2(), "op3_sharding": op3(), "op5_warc": op5(), "op8_pii": op8(), "op9_decontamination": op9(), "op10_quality_rules": op10()}
