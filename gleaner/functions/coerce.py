@@ -35,11 +35,12 @@ def without_null_tokens(raw: Column) -> Column:
     return F.when(~t.isin(NULL_TOKENS), t)
 
 
-def number_of(raw: Column) -> Column:
+def number_of(raw: Column, ready: bool = False) -> Column:
     """Double, or null: parentheses and minus negate, a percent sign scales,
     currency signs and blanks go, and of comma and point the last is decimal.
-    Commas alone separate thousands if all groups have three digits."""
-    s = trimmed(raw)
+    Commas alone separate thousands if all groups have three digits. ``ready``
+    text is trimmed already."""
+    s = raw if ready else trimmed(raw)
     body = trimmed(F.regexp_replace(s, r"(?s)^\((.*)\)$", "$1"))
     plain = F.regexp_replace(F.regexp_replace(body, r"%$", ""), f"[{re.escape(CURRENCY)}{BLANKS}]", "")
     digits = F.regexp_replace(plain, r"^[+-]", "")
@@ -94,6 +95,20 @@ def date_of(raw: Column, day_first: bool = False) -> Column:
     return F.timestamp_micros(micros)
 
 
+_MONTH, _DAY = "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+_YEAR, _ANY_CLOCK = "(?!0000)[0-9]{4}", "(?:[T ][0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
+#: Texts that ``date_of`` reads, epoch stamps aside, as one pattern each.
+_OTHER_DATES = rf"{_YEAR}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:[T ](?:[01][0-9]|2[0-3]):[0-5][0-9](?::[0-5][0-9](?:\.[0-9]+)?)?)?(?:Z|[+-][0-9]{{2}}:?[0-9]{{2}})?|{_YEAR}[./][0-9]{{1,2}}[./][0-9]{{1,2}}|{_YEAR}-[0-9]{{1,2}}"
+
+
+def is_date(s: Column, day_first: bool = False) -> Column:
+    """Whether ``date_of`` reads the trimmed text ``s``, without reading it."""
+    a, b = (_DAY, _MONTH) if day_first else (_MONTH, _DAY)
+    stamp = F.when(s.rlike("^(?:[0-9]{10}|[0-9]{13})$"), s.try_cast("long"))
+    seconds = F.when(F.length(s) == 13, stamp / 1000).otherwise(stamp)
+    return s.rlike(rf"^(?:{a}[./]{b}[./]{_YEAR}{_ANY_CLOCK}|{_OTHER_DATES})$") | F.coalesce((seconds > EPOCH[0]) & (seconds < EPOCH[1]), F.lit(False))
+
+
 def has_clock(raw: Column) -> Column:
     """Whether a date's text has a time of day or is an epoch stamp."""
     return raw.rlike(r"[T ]\d{1,2}:\d{2}") | trimmed(raw).rlike(r"^\d{10,13}$")

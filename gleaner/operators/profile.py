@@ -24,31 +24,35 @@ def _count(c: Column) -> Column:
 def infer(df: DataFrame) -> dict[str, tuple[str, int, bool]]:
     """column -> (logical type, values that do not fit it, day first).
 
-    One aggregate over the cells of all columns, so that the expressions are
-    compiled once: both readings of slashed dates are counted in the same pass.
     A type needs nine tenths of the known values; dates come before booleans,
     those before numbers.
     """
-    if not df.columns:
-        return {}
-    raw = F.col("value")
-    cells = stacked(df).where(raw.isNotNull())
-    cells = cells.select("c", raw, coerce.number_of(raw).alias("number"), coerce.date_of(raw, False).isNotNull().alias("m"), coerce.date_of(raw, True).isNotNull().alias("d"))
+    return _infer(value_counts(df), df.columns)
+
+
+def _infer(counts: DataFrame, columns: list[str]) -> dict[str, tuple[str, int, bool]]:
+    """From (c, value, n): every distinct value is read once, whatever its
+    frequency, by expressions that are compiled once for all columns. Both
+    readings of slashed dates are counted in the same pass, and values without a
+    digit are neither dates nor numbers."""
+    raw, n = F.col("value"), F.col("n")
+    counts = counts.select("c", coerce.trimmed(raw).alias("value"), "n")
+    digit = raw.rlike(r"\d")
+    read = counts.select("c", raw, n, F.when(digit, coerce.number_of(raw, True)).alias("number"), coerce.is_date(raw, False).alias("m"), coerce.is_date(raw, True).alias("d"))
     clock = coerce.has_clock(raw)
-    found = cells.groupBy("c").agg(
-        F.count(raw).alias("n"), _count(coerce.boolean_of(raw).isNotNull()).alias("bool"), F.count("number").alias("num"), _count(F.col("number") == F.floor("number")).alias("int"),
-        _count(F.col("m")).alias("m"), _count(F.col("d")).alias("d"), _count(F.col("m") & clock).alias("mc"), _count(F.col("d") & clock).alias("dc"),
-        _count(coerce.over_twelve(raw, 1)).alias("a"), _count(coerce.over_twelve(raw, 2)).alias("b"),
-    )
-    counts = {r["c"]: r.asDict() for r in found.collect()}
-    distinct = distinct_counts(df)
-    return {c: _decide(c, counts.get(i), distinct[c]) for i, c in enumerate(df.columns)}
+    tests = {
+        "bool": coerce.boolean_of(raw).isNotNull(), "num": F.col("number").isNotNull(), "int": F.col("number") == F.floor("number"), "m": F.col("m"), "d": F.col("d"),
+        "mc": F.col("m") & clock, "dc": F.col("d") & clock, "a": coerce.over_twelve(raw, 1), "b": coerce.over_twelve(raw, 2),
+    }
+    sums = [F.sum(F.when(t, n).otherwise(0)).alias(k) for k, t in tests.items()]
+    found = {r["c"]: r.asDict() for r in read.groupBy("c").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("distinct"), *sums).collect()}
+    return {c: _decide(c, found.get(i)) for i, c in enumerate(columns)}
 
 
-def _decide(name: str, x: dict | None, distinct: int) -> tuple[str, int, bool]:
+def _decide(name: str, x: dict | None) -> tuple[str, int, bool]:
     if x is None:
         return "unknown", 0, False
-    n = x["n"]
+    n, distinct = x["n"], x["distinct"]
     day_first = x["a"] > 0 and x["b"] == 0
     dates, clock = (x["d"], x["dc"]) if day_first else (x["m"], x["mc"])
     unique = distinct == n and n >= 3 and coerce.looks_like_id(name)
@@ -66,15 +70,9 @@ def _decide(name: str, x: dict | None, distinct: int) -> tuple[str, int, bool]:
 
 
 def distinct_counts(df: DataFrame) -> dict[str, int]:
-    """Exact distinct non-null values of every column.
-
-    The columns are stacked into (column, value) pairs, counted by hash
-    aggregation with partial sums, so that no column expands the others.
-    """
-    if not df.columns:
-        return {}
-    pairs = stacked(df).distinct().where(F.col("value").isNotNull())
-    found = {r["c"]: r["n"] for r in pairs.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """Exact distinct non-null values of every column, by hash aggregation with
+    partial sums over stacked cells, so that no column expands the others."""
+    found = {r["c"]: r["d"] for r in value_counts(df).groupBy("c").agg(F.count(F.lit(1)).alias("d")).collect()}
     return {c: found.get(i, 0) for i, c in enumerate(df.columns)}
 
 
@@ -90,14 +88,12 @@ def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return stacked(df, columns).where(F.col("value").isNotNull()).groupBy("c", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_values(df: DataFrame, columns: list[str] | None = None, most: int = TOP_VALUES) -> dict[str, list[tuple[str, int]]]:
-    """The most frequent values, ties by value. Partial top lists in each
-    partition come first, so ranks never need a column's values in one task."""
-    counts = value_counts(df, columns)
-    best = _top(counts, most)
-    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns or df.columns}
-    for r in best.collect():
-        out[df.columns[r["c"]]].append((r["value"], r["n"]))
+def top_values(counts: DataFrame, columns: list[str], most: int = TOP_VALUES) -> dict[str, list[tuple[str, int]]]:
+    """The most frequent values of (c, value, n), ties by value. Top lists of
+    hashed parts come first, so ranks never need a column's values in one task."""
+    out: dict[str, list[tuple[str, int]]] = {c: [] for c in columns}
+    for r in _top(counts, most).collect():
+        out[columns[r["c"]]].append((r["value"], r["n"]))
     return {c: sorted(v, key=lambda x: (-x[1], x[0])) for c, v in out.items()}
 
 
@@ -148,21 +144,26 @@ def _iso(t: datetime) -> str:
 
 
 def profile(ds: Dataset, columns: list[str] | None = None) -> list[ColumnProfile]:
-    """Profiles of all or some columns; text columns are typed first."""
+    """Profiles of all or some columns. One exchange counts the values of all
+    columns; types, distinct counts and top values come from it."""
     names = columns or ds.columns
-    text = [c for c in names if ds.is_text(c) and c not in ds.kinds]
+    frame = ds.df.select(*[ds.raw(c).alias(c) for c in names])
+    counts = value_counts(frame).persist()
+    ds.rows = frame.count()
+    per_column = {r["c"]: (r["known"], r["distinct"]) for r in counts.groupBy("c").agg(F.sum("n").alias("known"), F.count(F.lit(1)).alias("distinct")).collect()}
+    known = {c: per_column.get(i, (0, 0))[0] for i, c in enumerate(names)}
+    distinct = {c: per_column.get(i, (0, 0))[1] for i, c in enumerate(names)}
     invalid: dict[str, int] = {}
+    text = [i for i, c in enumerate(names) if ds.is_text(c) and c not in ds.kinds]
     if text:
-        for c, (kind, bad, day_first) in infer(ds.df.select(*[ds.native(c) for c in text])).items():
-            ds.kinds[c], ds.day_first[c], invalid[c] = kind, day_first, bad
-    frame = ds.df.select(*[ds.raw(c).alias(c) for c in names])
-    known = frame.agg(F.count(F.lit(1)).alias("rows"), *[F.count(frame["`" + c.replace("`", "``") + "`"]).alias(f"n{i}") for i, c in enumerate(names)]).first()
-    ds.rows = known["rows"]
-    distinct = distinct_counts(frame)
+        found = _infer(counts.where(F.col("c").isin(text)), names)
+        for i in text:
+            ds.kinds[names[i]], invalid[names[i]], ds.day_first[names[i]] = found[names[i]]
     for c in names:  # native integers that are keys
         if not ds.is_text(c) and ds.kind(c) == "integer" and ds.rows >= 3 and distinct[c] == ds.rows and coerce.looks_like_id(c):
             ds.kinds[c] = "identifier"
-    top = top_values(frame)
+    top = top_values(counts, names)
+    counts.unpersist()
     numbers = [c for c in names if ds.kind(c) in NUMERIC]
     stats: dict[str, NumericStats] = {}
     if numbers:
@@ -171,10 +172,10 @@ def profile(ds: Dataset, columns: list[str] | None = None) -> list[ColumnProfile
             column = numbers[d.pop("c")]
             stats[column] = NumericStats(**d)
     out = []
-    for i, c in enumerate(names):
+    for c in names:
         kind = ds.kind(c)
         out.append(ColumnProfile(
-            c, kind, ds.rows, ds.rows - known[f"n{i}"], distinct[c], invalid.get(c, 0), ds.day_first.get(c, False), top[c], [v for v, _ in top[c][:SAMPLES]],
+            c, kind, ds.rows, ds.rows - known[c], distinct[c], invalid.get(c, 0), ds.day_first.get(c, False), top[c], [v for v, _ in top[c][:SAMPLES]],
             stats.get(c), temporal_stats(ds, c) if kind in TEMPORAL else None,
         ))
     return out

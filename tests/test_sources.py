@@ -52,6 +52,15 @@ def test_dates(spark):
     assert values(spark, xs[2:4], f(False)) == [None, "2025-01-03 00:00"]
 
 
+@pytest.mark.parametrize("day_first", [False, True])
+def test_date_test_agrees_with_reading(spark, day_first):
+    xs = ["2025-03-15", "2025-02-31", "2025-13-01", "2025-00-10", "0000-01-01", "2025-03-15T23:59:59.123Z", "2025-03-15T24:00", "2025-03-15 10:61", "2025-03-15T10:30+0330", "2025-03-15Z", "1/2/2025", "13/2/2025", "2/13/2025", "0/1/2025", "32.1.2025",
+          "1.2.0000", "1/2/2025 99:99", "1/2/25", "2025/99/99", "2025.1.2", "2025-7", "2025-99", "0999999999", "1000000000", "4102444800", "631152000000", "1700000000000", "17000000000", "20250315", "x", ""]
+    df = spark.createDataFrame([(x,) for x in xs], "s string")
+    for r in df.select("s", coerce.date_of(F.col("s"), day_first).isNotNull().alias("read"), coerce.is_date(F.col("s"), day_first).alias("test")).collect():
+        assert r["read"] == r["test"], r
+
+
 def test_booleans_and_names(spark):
     assert values(spark, ["Да", "нет", "Y", "0", "maybe", None], coerce.boolean_of) == [True, False, True, False, None, None]
     assert [coerce.looks_like_id(n) for n in ("id", "order_id", "o_orderkey", "user key", "valid")] == [True, True, False, True, False]
