@@ -304,16 +304,18 @@ def test_allow_list(spark):
 
 def test_revealing_terms(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, f"note {i} contact zarathustra via zed@corp.example please " + " ".join(f"filler{rng.integers(40)}" for _ in range(20))) for i in range(6)]
-    rows += [(100 + i, "please contact the office " * 5 + f"tail{i}") for i in range(300)]
+    common = ["amber", "basil", "cedar", "delta", "ember", "fable", "grove", "haven"]
+    some = lambda n: " ".join(common[rng.integers(8)] for _ in range(n))
+    rows = [(i, f"{some(2)} note contact zarathustra via zed@corp.example please {some(6)} {i}") for i in range(8)]
+    rows += [(100 + i, f"please contact the office {some(8)} " * 3 + f"tail{i}") for i in range(300)]
     docs = spark.createDataFrame([(d, t, 9) for d, t in rows], "doc_id long, text string, n_chars long")
     terms = {r[0]: [(x["s"], x["e"]) for x in r[1]] for r in pii.scan(docs).select("doc_id", "terms").collect()}
-    for i in range(6):
+    for i in range(8):
         assert {rows[i][1][s:e] for s, e in terms[i]} == {"note", "zarathustra"}
     assert not any(terms[d] for d in terms if d >= 100)
     clean = {r[0]: r for r in pii.sanitise(docs).collect()}
     assert "zarathustra" not in clean[0][1] and "[EMAIL]" in clean[0][1] and clean[0][2] == len(clean[0][1])
-    assert clean[100][1] == rows[6][1] and len(clean) == len(rows)
+    assert clean[100][1] == rows[8][1] and len(clean) == len(rows)
 
 
 # Quality
