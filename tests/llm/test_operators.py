@@ -302,6 +302,20 @@ def test_allow_list(spark):
     assert [(x["s"], x["k"], x["e"]) for x in secrets.scan(key).first()["hits"]] == [(4, 3, 35)]
 
 
+@pytest.mark.parametrize("size", [20, 24, 32])
+def test_random_keys_are_found(spark, size):
+    """Of random keys of each alphabet at most 4 % are missed."""
+    rng = np.random.default_rng(size)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = {"hex": "ABCDEF" + digits, "upper": upper + digits, "lower": lower + digits, "base62": lower + upper + digits}
+    for name, symbols in alphabets.items():
+        keys = ["".join(rng.choice(list(symbols), size)) for _ in range(400)]
+        keys = [k for k in keys if re.search("[0-9]", k) and re.search("[A-Za-z]", k)]
+        rows = secrets.scan(spark.createDataFrame([(i, f"key {k} end") for i, k in enumerate(keys)], "doc_id long, text string")).collect()
+        found = sum(any(x["s"] <= 4 and x["e"] >= 4 + size for x in r["hits"]) for r in rows)
+        assert found >= 0.96 * len(keys), (name, found, len(keys))
+
+
 def test_revealing_terms(spark):
     rng = np.random.default_rng(2)
     common = ["amber", "basil", "cedar", "delta", "ember", "fable", "grove", "haven"]
