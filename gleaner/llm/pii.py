@@ -26,8 +26,8 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ["email", "ip", "card", "phone", "term"]
 
-#: Code points of context on either side, words taken from it, the mentions in
-#: different contexts that a pair needs, and the two disclosure thresholds.
+#: Code points of context on either side, and the two disclosure thresholds.
+#: SUPPORT is no gate here any more; only the SQL in oracles.py still reads it.
 CONTEXT, SUPPORT = 48, 3
 GENERALISE, REMOVE = 0.9, 0.97
 TERM = r"\p{L}{4,40}"
@@ -85,13 +85,13 @@ def _term_counts(docs: DataFrame) -> DataFrame:
 
 def _revealing(pairs: DataFrame, mentions: DataFrame, terms: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of the pairs over the first threshold."""
-    near = pairs.groupBy("entity", "term", "context").agg(F.count(F.lit(1)).alias("n"))
-    near = near.groupBy("entity", "term").agg(F.sum("n").alias("n_pair"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= SUPPORT)
+    near = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_pair"))
     entities = mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
     total = terms.agg(F.sum("n_term")).first()[0] or 1
     known = near.join(terms, "term").join(entities, "entity")
-    given_term = F.least(F.lit(1.0), F.col("n_pair") / F.col("n_term"))
     prior = F.least(F.lit(0.5), F.col("n_entity") / F.lit(float(total)))
+    # One occurrence more that knows nothing: few mentions disclose less, and none are left out.
+    given_term = F.least(F.lit(1.0), (F.col("n_pair") + prior) / (F.col("n_term") + 1))
     score = F.lit(1.0) - F.log2(given_term) / F.log2(prior)
     return known.select("entity", "term", F.round(score, 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
@@ -109,11 +109,10 @@ def scan(docs: DataFrame) -> DataFrame:
     one = found.where(F.size("base") > 0).select("doc_id", "text_hash", "base", F.explode(F.arrays_zip("base", "near")).alias("z"))
     entity = F.concat_ws(":", F.col("z.base.k").cast("string"), F.lower("z.base.m"))
     one = one.select("doc_id", "text_hash", "base", F.xxhash64(entity).alias("entity"), F.col("z.near").alias("near"))
-    context = F.xxhash64(F.array_join(F.transform("near", lambda y: y["m"]), " "))
-    each = one.select("doc_id", "text_hash", "base", "entity", context.alias("context"), F.explode("near").alias("y"))
+    each = one.select("doc_id", "text_hash", "base", "entity", F.explode("near").alias("y"))
     each = each.where(~F.exists("base", lambda b: (b["s"] < F.col("y.e")) & (F.col("y.s") < b["e"]))).withColumn("term", F.col("y.m"))
     terms = cut(_term_counts(docs), "pii-terms")
-    flagged = cut(_revealing(each.select("entity", "term", "context"), one.select("entity"), terms), "pii-revealing")
+    flagged = cut(_revealing(each.select("entity", "term"), one.select("entity"), terms), "pii-revealing")
     act = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
     marked = each.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_hash", F.col("y.s").alias("s"), F.col("y.e").alias("e")).agg(act.alias("m"))
     spans = marked.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "m"))).alias("terms"))

@@ -332,6 +332,18 @@ def test_revealing_terms(spark):
     assert clean[100][1] == rows[8][1] and len(clean) == len(rows)
 
 
+@pytest.mark.parametrize("contexts", [1, 2])
+def test_terms_of_rare_entities(spark, contexts):
+    """An entity in one or two contexts, and copies of one, give their terms away."""
+    filler = [f"please contact the office {'amber basil cedar delta ' * 9} tail" for _ in range(300)]
+    rare = [f"{'amber basil ' * (k + 1)} zarathustra at zed@corp.example please" for k in range(contexts)]
+    docs = spark.createDataFrame(list(enumerate(rare + [rare[0]] * 3 + filler)), "doc_id long, text string")
+    terms = {r[0]: [(x["s"], x["e"]) for x in r[1]] for r in pii.scan(docs).select("doc_id", "terms").collect()}
+    for i, t in enumerate(rare + [rare[0]] * 3):
+        assert [t[s:e] for s, e in terms[i]] == ["zarathustra"]
+    assert not any(terms[d] for d in terms if d >= contexts + 3)
+
+
 # Quality
 
 
