@@ -7,9 +7,10 @@ all. Both give the share of the entity's information that the term discloses:
     1 - log P(entity | term) / log P(entity)
 
 which is 1 if the term occurs near that entity only and 0 if it says nothing.
-Terms above a first threshold are generalised, above a second removed, where
-they stand near the entity. Context windows hold a bounded number of words, so
-the pairs grow with the mentions, and all counts are sums that pre-aggregate.
+Terms above a first threshold are generalised, above a second removed, wherever
+they stand as whole words in any text. Context windows hold a bounded number of
+words, so the pairs grow with the mentions, and all counts are sums that
+pre-aggregate.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ KINDS = ["email", "ip", "card", "phone", "term"]
 #: SUPPORT is no gate here any more; only the SQL in oracles.py still reads it.
 CONTEXT, SUPPORT = 48, 3
 GENERALISE, REMOVE = 0.9, 0.97
+#: Flagged terms that are sent to every task at most; more are joined by a shuffle.
+BROADCAST = 1_000_000
 TERM = r"\p{L}{4,40}"
 
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -96,13 +99,34 @@ def _revealing(pairs: DataFrame, mentions: DataFrame, terms: DataFrame) -> DataF
     return known.select("entity", "term", F.round(score, 9).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
+def _occurrences(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, terms) of the texts with a flagged term: the spans of all its
+    whole words. One row for each doc_id and text.
+
+    Distinct terms of each text meet the flagged ones, which are broadcast up to
+    BROADCAST terms; only texts with hits are searched for offsets.
+    """
+    act = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
+    listed = cut(flagged.groupBy("term").agg(act.alias("act")), "pii-flagged")
+    text = text_of(docs)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
+    one = rows.select("doc_id", "text_hash", F.explode(words).alias("term"))
+    own = one.join(F.broadcast(listed) if listed.count() <= BROADCAST else listed, "term")
+    own = cut(own.groupBy(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).agg(F.collect_set(F.struct("term", "act")).alias("own")), "pii-own")
+    hit = rows.join(own, rows["doc_id"].eqNullSafe(own["__d"]) & (rows["text_hash"] == own["__t"]))
+    acts = F.map_from_entries("own")
+    found = F.transform(find_spans(F.col("text"), TERM, 4, lambda m: F.map_contains_key(acts, F.lower(m))), lambda y: F.struct(y["s"].alias("s"), y["k"].alias("k"), y["e"].alias("e"), F.element_at(acts, F.lower(y["m"])).alias("m")))
+    return hit.select("doc_id", "text_hash", found.alias("terms")).dropDuplicates(["doc_id", "text_hash"])
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, base, terms) of each row of ``docs``.
 
     ``base`` holds the spans of the fixed patterns, sorted, as struct<s,k,e,m>
-    with ``k`` an index of KINDS. ``terms`` holds the revealing terms near them,
-    with ``m`` either 'generalise' or 'remove'; terms inside a base span are left
-    out. Null texts are empty. Every row gives one row, repeated ones too; an
+    with ``k`` an index of KINDS. ``terms`` holds every occurrence of the
+    revealing terms, in this text or found through others, with ``m`` either
+    'generalise' or 'remove'; those inside a base span are left out. Null texts are empty. Every row gives one row, repeated ones too; an
     empty table gives none. Statistics cover all rows.
     """
     found = cut(_mentions(docs), "pii-mentions")
@@ -113,12 +137,11 @@ def scan(docs: DataFrame) -> DataFrame:
     each = each.where(~F.exists("base", lambda b: (b["s"] < F.col("y.e")) & (F.col("y.s") < b["e"]))).withColumn("term", F.col("y.m"))
     terms = cut(_term_counts(docs), "pii-terms")
     flagged = cut(_revealing(each.select("entity", "term"), one.select("entity"), terms), "pii-revealing")
-    act = F.when(F.max("disclosure") >= REMOVE, "remove").otherwise("generalise")
-    marked = each.join(flagged, ["entity", "term"]).groupBy("doc_id", "text_hash", F.col("y.s").alias("s"), F.col("y.e").alias("e")).agg(act.alias("m"))
-    spans = marked.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", F.lit(4).alias("k"), "e", "m"))).alias("terms"))
+    spans = _occurrences(docs, flagged)
     spans = spans.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "terms")
     out = found.join(spans, found["doc_id"].eqNullSafe(spans["__d"]) & (found["text_hash"] == spans["__t"]), "left")
-    return out.select("doc_id", "text_hash", "base", F.coalesce("terms", F.expr(f"cast(array() as array<{_SPAN}>)")).alias("terms"))
+    apart = F.filter("terms", lambda y: ~F.exists("base", lambda b: (b["s"] < y["e"]) & (y["s"] < b["e"])))
+    return out.select("doc_id", "text_hash", "base", F.coalesce(apart, F.expr(f"cast(array() as array<{_SPAN}>)")).alias("terms"))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:

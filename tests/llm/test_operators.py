@@ -344,6 +344,23 @@ def test_terms_of_rare_entities(spark, contexts):
     assert not any(terms[d] for d in terms if d >= contexts + 3)
 
 
+def test_flagged_terms_go_everywhere(spark):
+    """A flagged term is marked far from its entity and in texts without one."""
+    filler = [f"please contact the office {'amber basil cedar delta ' * 9} tail" for _ in range(300)]
+    near = "amber zarathustra at zed@corp.example please " + "basil cedar " * 20
+    rows = list(enumerate([near + "Zarathustra zarathustrian", near, "office of ZARATHUSTRA, basil", *[near] * 4, *filler]))
+    rows += [(None, "zarathustra"), (2, rows[2][1]), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.scan(docs).select("doc_id", "base", "terms").collect()
+    assert len(found) == len(rows)
+    texts = dict(rows)
+    got = {r[0]: [texts[r[0]][x["s"] : x["e"]] for x in r[2]] for r in found}
+    assert got[0] == ["zarathustra", "Zarathustra"] and all(got[i] == ["zarathustra"] for i in (1, 3, 4, 5, 6)) and got[2] == ["ZARATHUSTRA"] and got[None] == ["zarathustra"]
+    assert not any(t for d, t in got.items() if d is not None and d > 6)
+    clean = pii.sanitise(docs)
+    assert clean.count() == len(rows) and not clean.where("lower(text) rlike '\\\\bzarathustra\\\\b'").count()
+
+
 # Quality
 
 
