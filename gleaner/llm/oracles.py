@@ -66,7 +66,7 @@ def op5() -> str:
 
 
 def op8() -> str:
-    term, c = r"\p{L}{4,40}", pii.CONTEXT
+    run, c, (low, high) = pii.RUN, pii.CONTEXT, pii.LETTERS
     part = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
     digits = "regexp_replace($m, '[^0-9]', '', 'g')"
     each = f"CAST(substring(reverse({digits}), i, 1) AS INTEGER)"
@@ -78,20 +78,23 @@ def op8() -> str:
     joined = base[0]
     for b in base[1:]:
         joined = f"list_concat({joined}, {b})"
-    moved = lambda xs, by: f"list_transform({xs}, lambda y: {{'s': y.s + {by}, 'e': y.e + {by}, 'm': lower(y.m)}})"
-    left = f"list_filter({_spans('lx', term, 4)}, lambda y: y.s > 0 OR la = 0)"
-    right = f"list_filter({_spans('rx', term, 4)}, lambda y: y.e < {c})"
+    # Words of the context that are not cut by its edge and touch no base span, by their place in the whole text.
     count = lambda k: f"CAST(len(list_filter(b, lambda y: y.k = {k})) AS BIGINT)"
     return f"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents), f AS (SELECT r, doc_id, x, list_sort({joined}) AS b FROM t),
-    o AS (SELECT r, x, b, unnest(b) AS p FROM f), v AS (SELECT r, b, p, concat(p.k, ':', lower(p.m)) AS entity, greatest(p.s - {c}, 0) AS la, substring(x, greatest(p.s - {c}, 0) + 1, p.s - greatest(p.s - {c}, 0)) AS lx, substring(x, p.e + 1, {c}) AS rx FROM o),
-    w AS (SELECT r, b, entity, list_concat({moved(left, 'la')}, {moved(right, 'p.e')}) AS near FROM v), u AS (SELECT r, b, entity, array_to_string(list_transform(near, lambda y: y.m), ' ') AS context, unnest(near) AS y FROM w),
-    z AS (SELECT r, entity, context, y.m AS term, y.s AS s, y.e AS e FROM u WHERE len(list_filter(b, lambda q: q.s < y.e AND y.s < q.e)) = 0),
-    pair AS (SELECT entity, term, count(*) AS n_pair FROM z GROUP BY 1, 2 HAVING count(DISTINCT context) >= {pii.SUPPORT}), terms AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(regexp_extract_all(lower(x), '{term}')) AS term FROM t) GROUP BY 1),
-    entities AS (SELECT entity, count(*) AS n_entity FROM w GROUP BY 1), flagged AS (SELECT entity, term FROM pair JOIN terms USING (term) JOIN entities USING (entity)
-      WHERE round(1 - log2(least(1.0, n_pair / n_term::DOUBLE)) / log2(least(0.5, n_entity / (SELECT greatest(1, sum(n_term)) FROM terms)::DOUBLE)), 9) >= {pii.GENERALISE}),
-    marked AS (SELECT r, list(DISTINCT {{'s': s, 'k': 4, 'e': e, 'm': ''}}) AS more FROM z JOIN flagged USING (entity, term) GROUP BY r)
+    cuts AS (SELECT r, unnest(string_split_regex(x, '{run}')) AS g, unnest(list_concat(regexp_extract_all(x, '{run}'), [''])) AS m, unnest(range(1, len(regexp_extract_all(x, '{run}')) + 2)) AS i FROM f),
+    placed AS (SELECT r, m, sum(length(g) + length(m)) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS e FROM cuts),
+    words AS (SELECT r, lower(m) AS term, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM placed WHERE length(lower(m)) BETWEEN {low} AND {high}),
+    terms AS (SELECT term, count(*) AS n_term FROM words GROUP BY 1),
+    o AS (SELECT r, length(x) AS n, unnest(b) AS p FROM f), ent AS (SELECT r, n, p.s AS ps, p.e AS pe, concat(p.k, ':', lower(p.m)) AS entity FROM o),
+    hidden AS (SELECT DISTINCT w.r, w.s FROM words w JOIN ent ON w.r = ent.r AND w.s < ent.pe AND ent.ps < w.e),
+    free AS (SELECT w.* FROM words w ANTI JOIN hidden h ON w.r = h.r AND w.s = h.s),
+    near AS (SELECT entity, term FROM ent JOIN free w ON w.r = ent.r AND ((w.e <= ps AND (w.s > ps - {c} OR (w.s = 0 AND ps <= {c}))) OR (w.s >= pe AND (w.e < pe + {c} OR (w.e = n AND n <= pe + {c}))))),
+    pair AS (SELECT entity, term, count(*) AS n_pair FROM near GROUP BY 1, 2), entities AS (SELECT entity, count(*) AS n_entity FROM ent GROUP BY 1),
+    scored AS (SELECT term, n_pair, n_term, least(0.5, n_entity / (SELECT greatest(1, sum(n_term)) FROM terms)::DOUBLE) AS prior FROM pair JOIN terms USING (term) JOIN entities USING (entity)),
+    flagged AS (SELECT term, max(round(1 - log2(least(1.0, (n_pair + prior) / (n_term + 1))) / log2(prior), 9)) AS disclosure FROM scored GROUP BY 1 HAVING disclosure >= {pii.GENERALISE}),
+    marked AS (SELECT r, list({{'s': s, 'k': 4, 'e': e, 'm': CASE WHEN disclosure >= {pii.REMOVE} THEN 'remove' ELSE 'generalise' END}}) AS more FROM free JOIN flagged USING (term) GROUP BY r)
     SELECT doc_id, {count(0)} AS n_email, {count(1)} AS n_ip, {count(2)} AS n_card, {count(3)} AS n_phone, sha256({_joined('b', pii.KINDS)}) AS base_sha256,
-    {_joined("list_concat(b, coalesce(more, []))", pii.KINDS)} AS spans FROM f LEFT JOIN marked USING (r)"""
+    {_joined("list_concat(b, coalesce(more, []))", pii.KINDS)} AS spans, array_to_string(list_transform(list_sort(coalesce(more, [])), lambda y: concat(y.s, ':', y.e, ':', y.m)), ',') AS actions FROM f LEFT JOIN marked USING (r)"""
 
 
 def op9() -> str:

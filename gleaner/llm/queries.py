@@ -66,11 +66,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, then ``actions``: start:end:act of each term."""
     found = pii.scan(_table(spark, sf_dir, "documents"))
     spans = F.concat("base", F.transform("terms", lambda x: F.struct(x["s"].alias("s"), x["k"].alias("k"), x["e"].alias("e"), x["m"].alias("m"))))
+    actions = F.array_join(F.transform("terms", lambda x: F.concat_ws(":", x["s"].cast("string"), x["e"].cast("string"), x["act"])), ",")
     return found.select(
         "doc_id", *[_of_kind("base", k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS[:4])],
-        F.sha2(join_spans(F.col("base"), pii.KINDS), 256).alias("base_sha256"), join_spans(spans, pii.KINDS).alias("spans"),
+        F.sha2(join_spans(F.col("base"), pii.KINDS), 256).alias("base_sha256"), join_spans(spans, pii.KINDS).alias("spans"), actions.alias("actions"),
     )
 
 

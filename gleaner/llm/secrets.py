@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import find_spans, replace_spans, text_of
+from gleaner.llm.common import apart, find_spans, let, replace_spans, text_of
 
 #: Fixed values of the contract.
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -28,6 +28,8 @@ KINDS = ["assign", "access", "hex", "entropy"]
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 WINDOW = 20
 CLASSES = (("hex", r"^[0-9A-Fa-f]+$", 2.9), ("upper", r"^[A-Z0-9]+$", 3.4), ("lower", r"^[a-z0-9]+$", 3.4), ("mixed", r"^[A-Za-z0-9+/_=-]+$", 3.65))
+#: Characters that candidates have.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Never secrets: UUIDs, paths and slugs of words, placeholders, counting runs.
 ALLOW = (
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
@@ -42,33 +44,38 @@ def _plogp(n: Column) -> Column:
     return F.element_at(table, n + 1)
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value taken once, not at every use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def most_entropy(word: Column, window: int = WINDOW) -> Column:
-    """The highest Shannon entropy, in bits, of a window over an ASCII string of
-    at least ``window`` characters."""
-    return let(F.split(word, ""), lambda chars: _most_entropy(chars, window))
+    """The highest Shannon entropy, in bits, of a window over a string of at least
+    ``window`` token characters.
 
+    The window's counts by character are kept: a step lowers the count of the
+    character that leaves and raises that of the one that comes.
+    """
+    codes = F.transform(F.split(word, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    return let(codes, lambda own: _most_entropy(own, window))
 
-def _most_entropy(chars: Column, window: int) -> Column:
-    def count(at: Column, c: Column) -> Column:
-        """Of ``c`` in the window that starts at ``at`` (from 1)."""
-        return F.size(F.filter(F.slice(chars, at, window), lambda x: x == c))
 
-    def step(acc: Column, i: Column) -> Column:
-        old, new = F.element_at(chars, i - 1), F.element_at(chars, i + window - 1)
-        gone, come = count(i - 1, old), count(i, new)  # before the one leaves, after the other has come
-        s = F.when(old == new, acc["s"]).otherwise(acc["s"] - _plogp(gone) + _plogp(gone - 1) - _plogp(come - 1) + _plogp(come))
-        return F.struct(s.alias("s"), F.least(acc["low"], s).alias("low"))
+def _most_entropy(codes: Column, window: int) -> Column:
+    of = lambda counts, c: F.element_at(counts, c)
+    symbols = F.array(*[F.lit(k + 1) for k in range(len(ALPHABET))])
 
-    first = F.aggregate(F.array_distinct(F.slice(chars, 1, window)), F.lit(0.0), lambda a, c: a + _plogp(count(F.lit(1), c)))
-    last = F.size(chars) - window + 1
+    def step(acc: Column, i: Column) -> Column:
+        move = F.struct(F.element_at(codes, i - 1).alias("old"), F.element_at(codes, i + window - 1).alias("new"), acc.alias("a"))
+        return let(move, moved)
+
+    def moved(m: Column) -> Column:
+        a, old, new = m["a"], m["old"], m["new"]
+        gone, come = of(a["n"], old), of(a["n"], new) + 1  # before the one leaves, after the other has come
+        s = a["s"] - _plogp(gone) + _plogp(gone - 1) - _plogp(come - 1) + _plogp(come)
+        counts = F.zip_with(a["n"], symbols, lambda v, k: v - (k == old).cast("int") + (k == new).cast("int"))
+        after = F.struct(counts.alias("n"), s.alias("s"), F.least(a["low"], s).alias("low"))
+        return F.when(old == new, a).otherwise(after)
+
+    counts = let(F.slice(codes, 1, window), lambda own: F.transform(symbols, lambda k: F.size(F.filter(own, lambda x: x == k))))
+    start = let(counts, lambda n: let(F.aggregate(n, F.lit(0.0), lambda a, v: a + _plogp(v)), lambda s: F.struct(n.alias("n"), s.alias("s"), s.alias("low"))))
+    last = F.size(codes) - window + 1
     steps = F.when(last > 1, F.sequence(F.lit(2), F.greatest(last, F.lit(2)))).otherwise(F.array().cast("array<int>"))
-    low = F.aggregate(steps, let(first, lambda s: F.struct(s.alias("s"), s.alias("low"))), step, lambda a: a["low"])
-    return F.lit(math.log2(window)) - low / window
+    return F.lit(math.log2(window)) - F.aggregate(steps, start, step, lambda a: a["low"]) / window
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -99,8 +106,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     base, more = secret_spans(text_of(docs))
     out = docs.select(docs["doc_id"].cast("long").alias("doc_id"), base.alias("base"), more.alias("more"))
-    apart = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", apart)).alias("hits"))
+    return out.select("doc_id", F.array_sort("base").alias("base"), F.array_sort(F.concat("base", apart(F.col("base"), F.col("more")))).alias("hits"))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
