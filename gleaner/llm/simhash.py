@@ -2,22 +2,28 @@
 and connected components.
 
 All work after the fingerprints is on distinct fingerprints, so copies cost
-nothing. Two fingerprints within ``radius`` bits agree in one of ``radius + 1``
-bit blocks at least: the distance restricted to a block is 0 there. Each block
-deals the fingerprints to shards of distance 0 on it, which no linked pair can
-straddle; a fingerprint visits one shard for each block. Within a shard a
-vantage-point tree splits by the distance to a vantage point and a search
-leaves out every branch that the triangle bound rules out. A shard with too
-many fingerprints is dealt again by the bits in which its members can still
-differ, until by counting it cannot be large any more.
-
-A tree over the whole set would split at distances near 32 of 64 bits, where a
-radius of 2 leaves 47 % of the fingerprints on both sides of each boundary: its
-copies grow as N ** 0.55, which the blocks avoid.
+nothing. A vantage-point tree partitions them by their Hamming distance to
+vantage points: those within a cut go to the near side, the others to the far
+side, and those at the boundary, within ``radius`` inside the cut, to both. By
+the triangle inequality no linked pair is parted, as a partner on the far side
+is at most ``radius`` further from the vantage point; all other branches are
+pruned. The upper levels of the tree, built on samples, deal the fingerprints
+to shards that overlap at their boundaries; inside a shard the tree goes on
+down to leaves, which are compared directly.
+
+Distances to a vantage point lie near 32 of 64 bits with a deviation of 4, so a
+level copies about a fifth of the fingerprints for a radius of 2, and halves the
+rest: shards of 1/64 of all take eight levels and four copies of each.
+
+Fingerprints of texts that share four fifths of their shingles differ in some 4
+to 14 bits, where no tree can prune. ``keep_first`` with a ``similarity`` thus
+adds links between texts that share three min-wise shingles, confirmed on the
+shingle sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,32 +31,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, small_batches
+from gleaner.llm.common import cut, made, remove, small_batches
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 3, 2
-#: Fingerprints of one shard that a task searches at once.
-SHARD = 2048
-LEAF = 128
+#: Fingerprints of a shard: a 64th of all, within these bounds (8 bytes each).
+SHARD, MOST_SHARD = 2048, 1 << 20
+#: Fingerprints of a leaf; levels of the tree that one round of dealing takes, and
+#: sampled fingerprints for each shard to be that its vantage points and cuts come from.
+LEAF, LEVELS, SAMPLE = 64, 10, 32
+#: What is left of a shard on one side of a balanced cut, about.
+SHRINK = 0.6
+#: Min-wise shingles of a band, bands, and texts that a task compares at once.
+MINS, BANDS, MOST_TEXTS = 3, 6, 1024
+#: Smallest shingle hashes kept of a text that is compared: similarities are exact up
+#: to so many distinct shingles, beyond with a standard error of 0.002 at 0.8.
+SKETCH = 1 << 15
 _UPPER = bytes(range(0x41, 0x5B))
 _TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """Majority bits of the XXH64 of the word shingles, repeats included."""
+def shingle_hashes(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of the word shingles, repeats included; fewer words are one shingle."""
     from xxhash import xxh64_intdigest
 
     words = text.translate(_TABLE).split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     if n <= shingle:
-        return xxh64_intdigest(line, SEED)
+        return np.array([xxh64_intdigest(line, SEED)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     spans = zip(starts[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    h = np.array([xxh64_intdigest(line[a:b], SEED) for a, b in spans], "<u8")
+    return np.array([xxh64_intdigest(line[a:b], SEED) for a, b in spans], "<u8")
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; 0 for none."""
+    if len(h) < 2:
+        return int(h[0]) if len(h) else 0
     counts = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 1 << 16):  # bounds the unpacked bits of long texts
         part = np.unpackbits(h[k : k + (1 << 16)].view(np.uint8), bitorder="little").reshape(-1, BITS)
@@ -58,6 +79,11 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    """Majority bits of the XXH64 of the word shingles, repeats included."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp) of each row: fp as signed long. Null texts have no words and
     the fingerprint 0; texts of fewer words are one shingle as a whole."""
@@ -72,123 +98,239 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _blocks(bits: list[int], parts: int) -> list[list[int]]:
-    """``bits`` in ``parts`` runs of nearly equal length."""
-    edges = [len(bits) * k // parts for k in range(parts + 1)]
-    return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
-
-
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << BITS) if m >> (BITS - 1) else m
+def best_cut(d: np.ndarray, radius: int) -> tuple[int, float]:
+    """The cut of distances ``d`` whose larger side is smallest, and that side's share."""
+    upto = np.concatenate([np.zeros(radius + 1, np.int64), np.cumsum(np.bincount(d, minlength=BITS + 1))])
+    near, far = upto[radius + 1 :], len(d) - upto[1 : BITS + 2]  # d <= cut, d > cut - radius
+    larger = np.maximum(near, far)
+    cut_at = int(larger.argmin())
+    return cut_at, larger[cut_at] / max(1, len(d))
 
 
 class VantageTree:
-    """Over unsigned fingerprints in the Hamming metric; leaves are scanned."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.root = self._build(np.arange(len(points)))
-
-    def _build(self, at: np.ndarray):
-        if len(at) <= self.leaf:
-            return at
-        vantage = self.points[at[0]]
-        d = np.bitwise_count(self.points[at] ^ vantage)
-        cut_at = int(np.median(d))
-        near = d <= cut_at
-        if near.all():
-            near = d < cut_at
-            cut_at -= 1
-        if not near.any() or near.all():
-            return at
-        return vantage, cut_at, self._build(at[near]), self._build(at[~near])
-
-    def pairs(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All (i, j), in either order, within ``radius``; each query set goes
-        down only the branches that the triangle bound leaves."""
-        stack = [(self.root, np.arange(len(self.points)))]
+    """Upper levels of a tree: vantage points and cuts in heap order; a cut of -1
+    ends a branch. Any points and cuts are right; a sample only balances them."""
+
+    def __init__(self, vantages: np.ndarray, cuts: np.ndarray):
+        self.vantages, self.cuts = vantages, cuts
+
+    @classmethod
+    def build(cls, sample: np.ndarray, levels: int, radius: int) -> VantageTree:
+        size = (1 << levels) - 1
+        vantages, cuts = np.zeros(size, np.uint64), np.full(size, -1, np.int64)
+        held = {0: sample}
+        for k in range(size):
+            own = held.pop(k, None)
+            if own is None or len(own) < 4:
+                continue
+            d = np.bitwise_count(own ^ own[0])
+            c, share = best_cut(d, radius)
+            if share > 0.95:
+                continue
+            vantages[k], cuts[k] = own[0], c
+            held[2 * k + 1], held[2 * k + 2] = own[d <= c], own[d > c - radius]
+        return cls(vantages, cuts)
+
+    def deal(self, points: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the point, branch that it ends in); points at a boundary more than once."""
+        at, branch = [], []
+        stack = [(0, np.arange(len(points)))]
+        while stack:
+            k, own = stack.pop()
+            if not len(own):
+                continue
+            if k >= len(self.cuts) or self.cuts[k] < 0:
+                at.append(own)
+                branch.append(np.full(len(own), k, np.int64))
+                continue
+            d = np.bitwise_count(points[own] ^ self.vantages[k]).astype(np.int64)
+            stack += [(2 * k + 1, own[d <= self.cuts[k]]), (2 * k + 2, own[d > self.cuts[k] - radius])]
+        return (np.concatenate(at), np.concatenate(branch)) if at else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+class Search:
+    """All pairs of a shard within ``radius``. Counts the nodes that it splits, the
+    branches of points that the triangle bound prunes, and the pairs compared."""
+
+    def __init__(self, points: np.ndarray, radius: int, leaf: int = LEAF):
+        self.points, self.radius, self.leaf = points, radius, leaf
+        self.nodes = self.pruned = self.compared = 0
+
+    def _compare(self, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own, step = self.points[at], max(1, (1 << 22) // len(at))
+        self.compared += len(at) * (len(at) - 1) // 2
+        for k in range(0, len(at), step):
+            d = np.bitwise_count(own[k : k + step, None] ^ own[None, k + 1 :])
+            a, b = np.nonzero(d <= self.radius)
+            later = b >= a  # column b is point k + 1 + b
+            if later.any():
+                yield at[k + a[later]], at[k + 1 + b[later]]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(i, j) of different points; a pair at a boundary may come twice."""
+        stack = [np.arange(len(self.points))]
         while stack:
-            node, queries = stack.pop()
-            if not len(queries):
+            at = stack.pop()
+            if len(at) < 2:
                 continue
-            if not isinstance(node, tuple):
-                for k in range(0, len(queries), 1024):
-                    q = queries[k : k + 1024]
-                    d = np.bitwise_count(self.points[q][:, None] ^ self.points[node][None, :])
-                    a, b = np.nonzero(d <= radius)
-                    yield q[a], node[b]
+            if len(at) > self.leaf:
+                d = np.bitwise_count(self.points[at] ^ self.points[at[0]])
+                c, share = best_cut(d, self.radius)
+                if share <= 0.95:  # else points too close to each other for a bound
+                    near, far = at[d <= c], at[d.astype(np.int64) > c - self.radius]
+                    self.nodes += 1
+                    self.pruned += 2 * len(at) - len(near) - len(far)
+                    stack += [near, far]
+                    continue
+            yield from self._compare(at)
+
+    def forest(self) -> np.ndarray:
+        """For each point the least index that it reaches by links within the shard."""
+        root = np.arange(len(self.points))
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def join() -> None:
+            if not held:
+                return
+            a, b = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held.clear()
+            while True:
+                ra, rb = root[a], root[b]
+                if (ra == rb).all():
+                    return
+                low = np.minimum(ra, rb)
+                np.minimum.at(root, ra, low)
+                np.minimum.at(root, rb, low)
+                while (root[root] != root).any():
+                    root[:] = root[root]
+
+        n = 0
+        for pair in self.pairs():
+            held.append(pair)
+            n += len(pair[0])
+            if n > 1 << 21:
+                join()
+                n = 0
+        join()
+        return root
+
+
+def _groups(batches: Iterator[pa.RecordBatch], key: str, value: str) -> Iterator[tuple[int, pa.Array]]:
+    """Runs of equal keys over batches that are sorted by the key."""
+    last, held = None, []
+    for b in batches:
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+        for a, z in zip(edges, edges[1:], strict=False):
+            if z == a:
                 continue
-            vantage, cut_at, near, far = node
-            d = np.bitwise_count(self.points[queries] ^ vantage).astype(np.int16)
-            stack.append((near, queries[d <= cut_at + radius]))
-            stack.append((far, queries[d > cut_at - radius]))
-
-
-def forest(points: np.ndarray, radius: int) -> np.ndarray:
-    """For each point the least index that it reaches by links within ``points``."""
-    root = np.arange(len(points))
-    for a, b in VantageTree(points).pairs(radius):
-        while True:
-            ra, rb = root[a], root[b]
-            low = np.minimum(ra, rb)
-            if (ra == rb).all():
-                break
-            np.minimum.at(root, ra, low)
-            np.minimum.at(root, rb, low)
-            while (root[root] != root).any():
-                root = root[root]
-    return root
-
-
-def _search(radius: int):
-    """One row for each shard in, its links as a spanning forest out."""
+            if held and keys[a] != last:
+                yield last, pa.concat_arrays(held)
+                held = []
+            last = keys[a]
+            held.append(b.column(value).slice(a, z - a))
+    if held:
+        yield last, pa.concat_arrays(held)
+
+
+def _searcher(radius: int, report: bool):
+    """Links of each shard as a spanning forest, or what the search took."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for fps in batch.column("fps"):
-                points = np.sort(fps.values.to_numpy(zero_copy_only=False).view(np.uint64))
-                root = forest(points, radius)
-                moved = np.flatnonzero(root != np.arange(len(points)))
-                if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(points[root[moved]].view(np.int64)), pa.array(points[moved].view(np.int64))], names=["a", "b"])
+        for shard, fps in _groups(batches, "shard", "fp"):
+            points = np.sort(fps.to_numpy(zero_copy_only=False).view(np.uint64))
+            search = Search(points, radius)
+            root = search.forest()
+            moved = np.flatnonzero(root != np.arange(len(points)))
+            if report:
+                rows = [[int(shard)], [len(points)], [search.nodes], [search.pruned], [search.compared], [len(moved)]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=_REPORT)
+            elif len(moved):
+                yield pa.RecordBatch.from_arrays([pa.array(points[root[moved]].view(np.int64)), pa.array(points[moved].view(np.int64))], names=["a", "b"])
 
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Edges (a, b) that join all distinct ``fps.fp`` within ``radius`` bits:
-    a spanning forest of each shard, so no more than a row for each fingerprint
-    and shard, and no link lost. Fingerprints must be distinct.
+_REPORT = ["shard", "points", "nodes", "pruned", "compared", "links"]
+
+
+def _levels(n: int, shard: int) -> int:
+    return max(1, min(LEVELS, math.ceil(math.log(max(1.0, n / shard)) / -math.log(SHRINK))))
+
+
+def deal(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """(shard, fp): each distinct ``fps.fp`` in every shard that a linked one may be in.
+
+    Each round samples the shards that are still too large, SAMPLE fingerprints for
+    every shard to be, builds upper levels of a vantage-point tree for each on an
+    executor, and deals their fingerprints by these. Only vantage points and cuts
+    reach the driver. Points too close to each other for a tree stay one shard.
     """
     spark = fps.sparkSession
-    # Rows to deal, and the bits in which members of a shard may differ.
-    todo = [(fps.select("fp", F.lit("").alias("shard")), list(range(BITS)))]
-    found = []
-    while todo:
-        dealt, left = None, []
-        for rows, free in todo:
-            for own in _blocks(free, radius + 1):
-                left.append([b for b in free if b not in own])
-                key = F.concat_ws("/", "shard", F.lit(str(len(left))), F.hex(F.col("fp").bitwiseAND(F.lit(_mask(own)))))
-                part = rows.select("fp", key.alias("shard"), F.lit(len(left) - 1).alias("path"))
-                dealt = part if dealt is None else dealt.unionAll(part)
-        todo = []
-        if max(1 << len(rest) for rest in left) > shard:  # else by counting no shard can be larger
-            sizes = dealt.groupBy("shard", "path").agg(F.count(F.lit(1)).alias("n"))
-            large = cut(sizes.where(F.col("n") > shard).select("shard", "path"), "simhash-large")
-            paths = sorted(r["path"] for r in large.select("path").distinct().collect())  # one for each block
-            if paths:
-                hot = cut(dealt.join(large.select("shard"), "shard", "left_semi"), "simhash-hot")
-                todo = [(hot.where(F.col("path") == p).select("fp", "shard"), left[p]) for p in paths]
-                dealt = dealt.join(large.select("shard"), "shard", "left_anti")
-        groups = dealt.groupBy("shard").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps")
-        small_batches(spark, 256)
-        found.append(cut(groups.mapInArrow(_search(radius), "a long, b long").distinct(), "simhash-links"))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionAll(more)
-    return out
+    small_batches(spark)
+    n = fps.count()
+    shard = shard or min(MOST_SHARD, max(SHARD, n // 64))
+    rows, large, done = fps.select(F.lit(0).cast("long").alias("shard"), "fp"), {0: n} if n > shard else {}, []
+    while large:
+        share = spark.createDataFrame([(k, SAMPLE * 2 ** _levels(m, shard) / m, _levels(m, shard)) for k, m in large.items()], "shard long, share double, levels int")
+        seed = F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)) / float(1 << 30)
+        sample = rows.join(F.broadcast(share), "shard").where(seed < F.col("share")).groupBy("shard", "levels").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+        trees = {r["shard"]: (np.array(r["vantages"], np.int64).view(np.uint64), np.array(r["cuts"], np.int64)) for r in sample.mapInArrow(_builder(radius), "shard long, vantages array<long>, cuts array<long>").collect()}
+        shared = spark.sparkContext.broadcast(trees)  # at most 2 ** LEVELS nodes for each large shard
+        dealt = cut(rows.mapInArrow(_dealer(shared, radius), "parent long, shard long, fp long"), "simhash-shards")
+        sizes = dealt.groupBy("parent", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * shard).collect()  # a row for each shard still too large
+        large = {r["shard"]: r["n"] for r in sizes if r["n"] < 0.9 * large.get(r["parent"], 0)}
+        rows = dealt.select("shard", "fp")
+        if large:
+            listed = spark.createDataFrame([(k,) for k in large], "shard long")
+            done.append(rows.join(F.broadcast(listed), "shard", "left_anti"))
+            rows = rows.join(F.broadcast(listed), "shard", "left_semi")
+    for more in done:
+        rows = rows.unionAll(more)
+    return rows
+
+
+def _builder(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, levels, fps in zip(b.column("shard").to_pylist(), b.column("levels").to_pylist(), b.column("fps"), strict=True):
+                points = fps.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                mixed = points[np.random.default_rng(SEED).permutation(len(points))]
+                tree = VantageTree.build(mixed, levels, radius)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([tree.vantages.view(np.int64)], pa.list_(pa.int64())), pa.array([tree.cuts], pa.list_(pa.int64()))], names=["shard", "vantages", "cuts"])
+
+    return run
+
+
+def _dealer(shared, radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trees = {k: VantageTree(*v) for k, v in shared.value.items()}
+        for b in batches:
+            shards, points = b.column("shard").to_numpy(zero_copy_only=False), b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in np.unique(shards).tolist():
+                own = points[shards == k]
+                at, branch = trees[k].deal(own, radius) if k in trees else (np.arange(len(own)), np.zeros(len(own), np.int64))
+                # Branches have numbers of their own below each shard.
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), k)), pa.array((k << (LEVELS + 1)) + branch + 1), pa.array(own[at].view(np.int64))], names=["parent", "shard", "fp"])
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """Edges (a, b) that join all distinct ``fps.fp`` within ``radius`` bits: a spanning
+    forest of each shard, so no more than a row for each fingerprint and shard, and
+    no link lost. Fingerprints must be distinct.
+    """
+    rows = deal(fps, radius, shard)
+    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_searcher(radius, False), "a long, b long")
+    return cut(found.distinct(), "simhash-links")
+
+
+def report(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> DataFrame:
+    """What the search of each shard takes: its points, the nodes split, the branches
+    that the triangle bound pruned, pairs compared, and links of its forest."""
+    rows = deal(fps, radius, shard)
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_searcher(radius, True), ", ".join(f"{c} long" for c in _REPORT))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +365,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     component_id is the least doc_id that the row reaches over fingerprints
     within ``radius`` bits; ``copies`` counts the rows with its fingerprint.
     Rows with a null doc_id take part; a component of such rows only has a null
-    id. Repeated rows stay repeated. An empty table gives no rows.
+    id. Null and empty texts have the fingerprint 0; very long ones are taken
+    whole. Repeated rows stay repeated. An empty table gives no rows.
     """
     rows = cut(fingerprints(docs, shingle), "simhash-fp")
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "simhash-classes")
@@ -234,15 +377,190 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return rows.join(rooted, "fp").select("doc_id", "fp", "component_id", "copies")
 
 
-def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one document of each component: that with the least doc_id.
+# Links by similarity
+
+
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    return rng.integers(0, 1 << 63, (BANDS * MINS, 1), np.uint64), rng.integers(0, 1 << 63, (BANDS * MINS, 1), np.uint64) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band, of the MINS shingles that are least in its own orders; texts
+    of similarity J share one with a chance of about J ** MINS."""
+    from xxhash import xxh64_intdigest
+
+    if not len(h):
+        return np.zeros(BANDS, np.int64)
+    flip, by = _permutations()
+    least = np.full(BANDS * MINS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(h), 1 << 14):
+        x = (h[None, k : k + (1 << 14)] ^ flip) * by
+        x ^= x >> np.uint64(29)
+        least = np.minimum(least, (x * by).min(1))
+    return np.array([xxh64_intdigest(least[MINS * g : MINS * (g + 1)].tobytes(), g) for g in range(BANDS)], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp, keys) of each row: its fingerprint and band keys."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = [shingle_hashes(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
+            keys = pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp), keys], names=["doc_id", "text_hash", "fp", "keys"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, keys array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def sketch_of(h: np.ndarray) -> np.ndarray:
+    """The SKETCH smallest distinct shingle hashes, as 32 bits each, sorted."""
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
+
+
+def similar_pairs(sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
+    sizes = np.array([len(x) for x in sketches])
+    own = np.repeat(np.arange(len(sketches)), sizes)
+    values, column, df = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
+    shared = df[column] > 1
+    rank = np.cumsum(df > 1) - 1
+    own, column = own[shared], rank[column[shared]]
+    common = np.zeros((len(sketches), len(sketches)), np.float32)
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    width = 4096
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, z = np.searchsorted(column, [k, k + width])
+        part = np.zeros((len(sketches), width), np.float32)
+        part[own[a:z], column[a:z] - k] = 1
+        common += part @ part.T
+    most = np.minimum(sizes[:, None], sizes[None, :])
+    out = []
+    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu((common >= 0.4 * similarity * most) & (common > 0), 1))), strict=True):
+        ends = [int(sketches[x][-1]) for x in (i, j) if sizes[x] == SKETCH]  # beyond, a kept hash says nothing of the other text
+        n = sum(int(np.searchsorted(sketches[x], min(ends), "right")) if ends else int(sizes[x]) for x in (i, j))
+        if common[i, j] >= similarity * (n - common[i, j]):
+            out.append((i, j))
+    return out
+
+
+def _confirmer(similarity: float):
+    """Of texts with one key, a spanning forest of those that are similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _groups(batches, "key", "x"):
+            names = rows.field("text_hash").to_numpy(zero_copy_only=False)
+            names, first = np.unique(names, return_index=True)
+            if len(names) < 2:
+                continue
+            data = rows.field("sketch")
+            sketches = [np.frombuffer(data[int(i)].as_buffer(), "<u4") for i in first]
+            root, edges = list(range(len(names))), []
+
+            def find(i: int, root: list[int] = root) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i, j in similar_pairs(sketches, similarity):
+                a, b = find(i), find(j)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    edges.append((int(names[i]), int(names[j])))
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, most: int = MOST_TEXTS) -> DataFrame:
+    """Edges (a, b) of text_hash between different texts of ``similarity`` or more.
+
+    ``classes`` has a row (text_hash, keys, least) for each distinct text, ``least`` a
+    doc_id that has it. Texts that share a band's key meet in one task, which
+    compares all of them. The texts of a key that more than ``most`` share meet in
+    runs of that many, each with the key's first text, which joins groups of like
+    texts; and once more by the key extended by the next bands' keys, one after the
+    other, which brings like texts together that only share a frequent passage with
+    the others.
+    """
+    spark = docs.sparkSession
+    rows = classes.select("text_hash", "least", "keys", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
+    found = []
+    for depth in range(1, BANDS + 1):
+        key = F.xxhash64("band", *[F.element_at("keys", F.pmod(F.col("band") + F.lit(k), F.lit(BANDS)) + 1) for k in range(depth)])
+        keyed = rows.select("text_hash", "least", "keys", "band", key.alias("key"))
+        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("head")).where("n > 1")
+        members = cut(keyed.join(sizes, "key"), "simhash-members")
+        found.append(members.where(F.col("n") <= most).select("key", "text_hash", "least"))
+        alike = members.where(F.col("n") > most)
+        rows = alike.drop("key", "n", "head")
+        if rows.isEmpty():
+            break
+        runs = F.ceil(F.col("n") / most)
+        found.append(alike.select(F.xxhash64("key", F.pmod(F.xxhash64("text_hash", "key"), runs)).alias("key"), "text_hash", "least"))
+        heads = alike.where(F.col("text_hash") == F.col("head")).select(F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), "key", "text_hash", "least")
+        found.append(heads.select(F.xxhash64("key", "run").alias("key"), "text_hash", "least"))
+    members = found[0]
+    for more in found[1:]:
+        members = members.unionAll(more)
+    members = cut(members, "simhash-meet")
+    wanted = members.select(F.col("text_hash").alias("__t"), F.col("least").alias("__d")).distinct()
+    texts = _texts(docs)
+    texts = texts.join(wanted, (texts["text_hash"] == wanted["__t"]) & texts["doc_id"].eqNullSafe(wanted["__d"]), "left_semi").select("text_hash", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [sketch_of(shingle_hashes(t, shingle)).astype("<u4").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(data, pa.binary())], names=["text_hash", "sketch"])
+
+    sketches = cut(texts.mapInArrow(run, "text_hash long, sketch binary"), "simhash-sketches")
+    met = members.select("key", "text_hash").join(sketches, "text_hash").select("key", F.struct("text_hash", "sketch").alias("x"))
+    return cut(met.repartition("key").sortWithinPartitions("key").mapInArrow(_confirmer(similarity), "a long, b long").distinct(), "simhash-similar")
+
+
+def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each component: that with the least doc_id.
 
-    A doc_id names one document: of its rows with equal texts one stays, and
-    rows with other texts stay or go together with it.
+    Rows are linked if their fingerprints are within ``radius`` bits or, with
+    ``similarity``, if their shingle sets have that Jaccard similarity or more (found
+    with a chance of 1 - (1 - J ** MINS) ** BANDS, 0.986 at J = 0.8). Among rows
+    with the least doc_id, that with the least hash of its text stays; of rows that
+    repeat id and text, one. A null id counts as largest. Null and empty texts are
+    copies of each other; very long ones are taken whole. All columns stay, whatever
+    their names; an empty table gives an empty one.
     """
-    found = cut(near_duplicates(docs, shingle, radius), "simhash-found")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__first"]), "left_semi")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    spark, began = docs.sparkSession, made()
+    rows = cut(signatures(docs, shingle), "simhash-signatures")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    classes = rows.groupBy("text_hash").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), order.alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = cut(classes, "simhash-classes")
+    # Nodes are texts: equal fingerprints hang on the least text that has them.
+    heads = cut(classes.groupBy("fp").agg(F.min("text_hash").alias("head")), "simhash-heads")
+    near = links(heads.select("fp"), radius)
+    a, b = heads.select(F.col("fp").alias("a"), F.col("head").alias("u")), heads.select(F.col("fp").alias("b"), F.col("head").alias("v"))
+    edges = near.join(a, "a").join(b, "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    edges = edges.unionAll(classes.join(heads, "fp").where(F.col("head") != F.col("text_hash")).select(F.col("head").alias("a"), F.col("text_hash").alias("b")))
+    if similarity is not None:
+        edges = edges.unionAll(similar_links(docs, classes.select("text_hash", F.col("least.doc_id").alias("least"), "keys"), shingle, similarity))
+    roots = components(edges)
+    rooted = classes.join(roots, classes["text_hash"] == roots["node"], "left").select("least", "copies", F.coalesce("root", "text_hash").alias("root"))
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.max("copies").alias("copies")), "simhash-kept")
+    first = best.select(F.col("least.doc_id").alias("__d"), F.col("least.text_hash").alias("__t"))
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__d"]) & (text == first["__t"]), "left_semi")
+    twice = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = twice.isEmpty()
+    remove(spark, [p for p in made() if p not in began and "simhash-kept" not in p])
+    if alone:
         return kept
-    return kept.withColumn("__text", F.sha2(F.coalesce(kept["text"].cast("string"), F.lit("")), 256)).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    return kept.withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")

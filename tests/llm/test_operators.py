@@ -1,12 +1,15 @@
 """Operators beyond their queries: general interfaces, limits and the pipeline."""
 
+import itertools
 import os
 import re
+import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
-from gleaner.llm import decontaminate, licenses, packing, pii, quality, secrets, simhash, tokens, warc
+from gleaner.llm import common, decontaminate, licenses, packing, pii, quality, secrets, simhash, tokens, warc
 from gleaner.llm.license_texts import TEMPLATES
 from gleaner.llm.queries import QUERIES
 from pyspark.sql import functions as F
@@ -255,14 +258,113 @@ def test_components_of_chains_and_stars(spark):
     assert all(got[i] == 0 for i in range(61)) and all(got[1000 + i] == 1000 for i in range(40)) and got[-5] == got[-9] == -9
 
 
-def test_vantage_tree_finds_all_pairs():
+def all_pairs(points, radius):
+    d = np.bitwise_count(points[:, None] ^ points[None, :])
+    return {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d <= radius)), strict=True) if i < j}
+
+
+@pytest.mark.parametrize("kind", ["dense", "random", "clusters"])
+def test_search_finds_all_pairs(kind):
     rng = np.random.default_rng(5)
-    points = rng.integers(0, 1 << 12, 900).astype(np.uint64)
+    points = {"dense": rng.integers(0, 1 << 12, 900).astype(np.uint64), "random": rng.integers(0, 1 << 63, 900).astype(np.uint64)}.get(kind)
+    if points is None:
+        centres = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+        points = np.concatenate([centres ^ np.uint64(1 << int(b)) for b in rng.integers(0, 63, 10)])
     points = np.unique(points)
-    for leaf in (1, 8, 128):
-        found = {(min(i, j), max(i, j)) for a, b in simhash.VantageTree(points, leaf).pairs(2) for i, j in zip(a.tolist(), b.tolist(), strict=True)}
-        d = np.bitwise_count(points[:, None] ^ points[None, :])
-        assert found == {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(d <= 2)), strict=True) if i <= j}
+    for radius in (0, 2, 5):
+        for leaf in (2, 8, 128):
+            search = simhash.Search(points, radius, leaf)
+            assert {(min(i, j), max(i, j)) for a, b in search.pairs() for i, j in zip(a.tolist(), b.tolist(), strict=True)} == all_pairs(points, radius)
+            assert kind == "dense" or radius > 2 or (search.nodes and search.pruned and search.compared < len(points) ** 2 / 2)
+
+
+def test_dealing_parts_no_pair():
+    """Every linked pair meets in a branch of the upper levels, whatever sample they come from."""
+    rng = np.random.default_rng(6)
+    points = np.unique(rng.integers(0, 1 << 20, 3000).astype(np.uint64))
+    for sample in (points, points[:40], rng.integers(0, 1 << 63, 64).astype(np.uint64)):
+        tree = simhash.VantageTree.build(sample, 5, 2)
+        at, branch = tree.deal(points, 2)
+        met = set()
+        for k in np.unique(branch):
+            own = at[branch == k]
+            met |= {(min(own[i], own[j]), max(own[i], own[j])) for i, j in all_pairs(points[own], 2)}
+        assert met == all_pairs(points, 2)
+    assert len(np.unique(branch)) > 1
+
+
+def test_tree_at_work_on_documents(spark):
+    """Shards by distance that overlap, nodes and prunings on real fingerprints."""
+    fps = simhash.fingerprints(spark.read.parquet(f"{SF}/documents.parquet")).select("fp").distinct()
+    n = fps.count()
+    rows = simhash.report(fps, shard=256).collect()
+    assert len(rows) > 4 and n < sum(r["points"] for r in rows) < 4 * n and max(r["points"] for r in rows) < n / 2
+    assert sum(r["nodes"] for r in rows) > 0 and sum(r["pruned"] for r in rows) > 0
+    assert sum(r["compared"] for r in rows) < n * (n - 1) / 4
+
+
+def test_similar_pairs_are_exact():
+    rng = np.random.default_rng(7)
+    base = [rng.integers(0, 1 << 32, n).astype(np.uint32) for n in (1, 5, 60, 300, 500)]
+    sets = [np.unique(np.concatenate([b[: len(b) - k], rng.integers(0, 1 << 32, k).astype(np.uint32)])) for b in base for k in (0, 0, 1, 3, 20, 40) if k <= len(b)]
+    sets = [s for s in sets if len(s) < simhash.SKETCH]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert set(simhash.similar_pairs(sets, 0.8)) == want and len(want) > 10
+
+
+def shingle_set(text, n=5):
+    w = words((text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_similar_texts_are_found(spark):
+    """Of pairs of different texts with similarity 0.8 or more at least 0.9 lose one text; nothing else goes but copies."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    kept = {r[0] for r in simhash.keep_first(docs, shingle=5, similarity=0.8).select("doc_id").collect()}
+    least = {}
+    for d, t in docs.collect():
+        least[t] = min(d, least.get(t, d))
+    sets = {d: shingle_set(t) for t, d in least.items()}
+    owners = {}
+    for d, s in sets.items():
+        for g in s:
+            owners.setdefault(g, []).append(d)
+    common = Counter(p for o in owners.values() if 1 < len(o) < 300 for p in itertools.combinations(sorted(o), 2))
+    pairs = [(a, b) for (a, b), n in common.items() if n >= 0.2 * len(sets[a]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 30 and sum(not (a in kept and b in kept) for a, b in pairs) >= 0.9 * len(pairs)
+    near = {x for p in pairs for x in p}
+    assert all(d in kept for d in sets if d not in near)
+    assert kept <= set(sets)
+
+
+def test_groups_too_large_for_a_task(spark):
+    """Keys of more texts than a task compares are extended or split; no text is left out."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in rng.integers(0, 10_000, 300)]
+    rows = []
+    for i in range(120):
+        own = list(base)
+        own[int(rng.integers(300))] = f"x{i}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join(f"y{j}" for j in rng.integers(0, 10_000, 80))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    sig = simhash.signatures(docs, 5)
+    classes = sig.select("text_hash", F.col("doc_id").alias("least"), "keys")
+    for most in (8, 1024):
+        edges = simhash.similar_links(docs, classes, 5, 0.8, most)
+        nodes = {r[0]: r[1] for r in simhash.components(edges).collect()}
+        assert len(nodes) >= 115 and len(set(nodes.values())) <= 3
+    assert simhash.keep_first(docs, 5, similarity=0.8).count() == 21
+
+
+def test_keep_first_keeps_a_row_of_each_group(spark):
+    rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 3), (3, "q r s t u v", 4), (None, "a b c d e f", 5), (None, "only null", 6), (None, "only null", 7), (9, None, 8), (8, "", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    for similarity in (None, 0.8):
+        got = simhash.keep_first(docs, 5, similarity=similarity)
+        assert got.columns == docs.columns
+        assert sorted((str(r[0]), r[1]) for r in got.collect()) == [("3", "a b c d e f"), ("3", "q r s t u v"), ("8", ""), ("None", "only null")]
+        assert simhash.keep_first(docs.limit(0), 5, similarity=similarity).count() == 0
 
 
 # Decontamination
@@ -361,6 +463,61 @@ def test_flagged_terms_go_everywhere(spark):
     assert clean.count() == len(rows) and not clean.where("lower(text) rlike '\\\\bzarathustra\\\\b'").count()
 
 
+def dense_text(n):
+    """Many mentions and secrets, and their places: (kind, start, end)."""
+    parts, want, at = [], [], 0
+    for i in range(n):
+        for kind, piece in (("email", f"user{i}@ex{i}.org"), ("", " met Namebearer, "), ("assign", f"token=abcdefgh{i}"), ("", "\U0001f600 ")):
+            if kind:
+                want.append((kind, at, at + len(piece)))
+            parts.append(piece)
+            at += len(piece)
+    return "".join(parts), want
+
+
+def test_texts_with_very_many_spans(spark):
+    """One text with 50,000 addresses and 50,000 secrets, in time that grows in proportion."""
+    took = {}
+    for n in (5_000, 50_000):
+        text, want = dense_text(n)
+        docs = spark.createDataFrame([(1, text, 0), (2, "plain", 0)], "doc_id long, text string, n_chars long")
+        began = time.perf_counter()
+        found = {r["doc_id"]: r for r in secrets.scan(docs).collect()}
+        assert [("assign", x["s"], x["e"]) for x in found[1]["base"]] == [x for x in want if x[0] == "assign"] and not found[2]["hits"]
+        found = {r["doc_id"]: r for r in pii.scan(docs).collect()}
+        assert [("email", x["s"], x["e"]) for x in found[1]["base"]] == [x for x in want if x[0] == "email"]
+        out = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+        assert out[1] == re.sub(r"token=[a-h0-9]+", "[SECRET]", text) and out[2] == "plain"
+        out = {r["doc_id"]: r["text"] for r in pii.sanitise(docs).collect()}
+        assert "@" not in out[1] and out[1].count("[EMAIL]") == n
+        took[n] = time.perf_counter() - began
+    assert took[50_000] < 10 * took[5_000]
+
+
+def test_pieces_of_texts(spark):
+    text = "".join(chr(0x4E00 + i % 500) if i % 7 else "\U0001f600" for i in range(3000))
+    spans = [(0, 1), (3, 600), (500, 1200), (1200, 1201), (2999, 3000)]
+    df = spark.createDataFrame([(text, [{"s": a, "e": b} for a, b in spans])], "t string, x array<struct<s:int,e:int>>")
+    got = df.select(common.replace_spans(F.col("t"), F.col("x"), lambda x: F.lit("|")), common.blank_spans(F.col("t"), F.col("x"))).first()
+    assert got[0] == "|" + text[1:3] + "|" + "|" + text[1201:2999] + "|" and got[1] == " " + text[1:3] + " " * 1198 + text[1201:2999] + " "
+
+
+def test_actions_and_classes(spark):
+    filler = [f"please contact the office {'amber basil cedar delta ' * 9} tail" for _ in range(300)]
+    rows = list(enumerate(["Zarathustra at zed@corp.example please", *filler]))
+    found = pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("size(terms) > 0").first()
+    assert [(x["m"], x["act"]) for x in found["terms"]] == [("Zarathustra", "generalise")] and pii.GENERALISE <= found["terms"][0]["disclosure"] < pii.REMOVE
+    assert pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 0").first()["text"] == "[NAME] at [EMAIL] please"
+    words = spark.createDataFrame([("March",), ("BERLIN",), ("berlin",), ("Berlin",)], "w string")
+    assert [r[0] for r in words.select(pii.class_of(F.col("w"))).collect()] == ["MONTH", "CODE", "WORD", "NAME"]
+
+
+def test_more_terms_than_a_broadcast_takes(spark, odd_dir):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    as_rows = lambda df: sorted(str(r) for r in df.collect())
+    assert as_rows(pii.scan(docs)) == as_rows(pii.scan(docs, most_broadcast=0))
+
+
 # Quality
 
 
@@ -384,6 +541,31 @@ def test_counts_do_not_depend_on_chunks(monkeypatch):
 # Pipeline
 
 
+def assert_one_of_each_group(before, after):
+    """Brute force: links are fingerprints of five words within 2 bits, and similar shingle sets."""
+    rows = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in before})
+    fps = np.array([brute_fingerprint(t, 5) for _, _, t in rows], np.uint64)
+    sets, root = [shingle_set(t) for _, _, t in rows], list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    owners = {}
+    for i, s in enumerate(sets):
+        for g in s:
+            owners.setdefault(g, []).append(i)
+    common = Counter(p for o in owners.values() for p in itertools.combinations(o, 2))
+    linked = [p for p, n in common.items() if n >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - n)]
+    linked += [(int(j), i) for i in range(len(rows)) for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 2)]
+    for a, b in linked:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = Counter((rows[i][1], rows[i][2]) for i in range(len(rows)) if find(i) == i)
+    assert Counter((r[0] or 0, r[1] or "") for r in after) == want
+
+
 @pytest.mark.parametrize("top", ["odd", "data"])
 def test_pipeline(spark, odd_dir, top):
     """Stage by stage on the rows that a brute-force version keeps."""
@@ -399,12 +581,7 @@ def test_pipeline(spark, odd_dir, top):
     kept = {r[0] for r in QUERIES["op10_quality_rules"](spark, sf_dir).where("kept").select("doc_id").collect()}
     assert {r[0] for r in one.select("doc_id").collect()} == kept
     two = spark.createDataFrame(stages["simhash_near_dedup"](spark, one, sf_dir).collect(), docs.schema)
-    fps = [(r[0], brute_fingerprint(r[1])) for r in one.select("doc_id", "text").collect()]
-    part = brute_components([f for _, f in fps], 2)
-    least = {}
-    for d, f in fps:
-        least[part[f]] = min(least.get(part[f], d), d)
-    assert sorted(r[0] for r in two.select("doc_id").collect()) == sorted(least.values())
+    assert_one_of_each_group(one.select("doc_id", "text").collect(), two.select("doc_id", "text").collect())
     three = spark.createDataFrame(stages["benchmark_decontamination"](spark, two, sf_dir).collect(), docs.schema)
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     leaks = {r["doc_id"] for r in decontaminate.find_leaks(two.select("doc_id", "text"), bench).where(F.size("items") > 0).collect()}
