@@ -12,6 +12,7 @@ import gleaner
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SLICE_BYTES = 16 << 20
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 4000
+#: Names that Spark and Arrow give to the same kinds of stores.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 WORD = r"[^\x20\x09-\x0D]+"
 #: Spans of a text, with the index of their kind and the match.
 SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
@@ -111,6 +114,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
             yield batch.slice(a, b - a)
 
 
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """A store that the executors share, with the path in it, by the URI that Spark uses."""
+    uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")
+    scheme, rest = uri.split("://", 1)
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+def publish(store: pafs.FileSystem, temporary: str, path: str) -> None:
+    """Give a whole file its name. Another attempt of a task writes the same bytes, so
+    where a store refuses to replace the file, the one that is there stands."""
+    try:
+        store.move(temporary, path)
+    except OSError:
+        if store.get_file_info(path).type != pafs.FileType.File:
+            raise
+        store.delete_file(temporary)
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

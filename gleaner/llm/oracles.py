@@ -100,11 +100,11 @@ def op8() -> str:
 def op9() -> str:
     rx = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = f"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{rx}')"
-    return f"""WITH i AS (SELECT item_id, {words} AS w FROM benchmark WHERE item_id IS NOT NULL), win AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(0, len(w) - least(10, len(w)) + 1) + 1), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
+    return f"""WITH i AS (SELECT item_id, {words} AS w FROM benchmark), win AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(range(1, greatest(0, len(w) - least(10, len(w)) + 1) + 1), lambda k: array_to_string(w[k:k + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
     d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents), sizes AS (SELECT DISTINCT n FROM win),
     p AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS k, w FROM d, sizes), q AS (SELECT r, k, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM p),
     h AS (SELECT r, k, q.n, item_id FROM q JOIN win ON q.g = win.g AND q.n = win.n), c AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS j FROM h) GROUP BY r),
-    s AS (SELECT r, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY r)
+    s AS (SELECT r, count(DISTINCT CAST(item_id AS VARCHAR)) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids FROM h GROUP BY r)
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN c USING (r) LEFT JOIN s USING (r)"""
 

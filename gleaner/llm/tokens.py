@@ -21,11 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, scratch, slices, small_batches
+from gleaner.llm.common import cut, file_system, publish, scratch, slices, small_batches
 
 MAGIC = b"GLTOK1\0\0"
 END_ID = 1
@@ -133,11 +132,6 @@ def unpack_block(coder: Coder, data: bytes) -> tuple[list[int | None], np.ndarra
     return [int(d) if k else None for d, k in zip(names, known, strict=True)], sizes, ids
 
 
-def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    """A store that Spark's executors share, by its URI."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
-
-
 class Tokens:
     """Ids of whole texts. White space splits tokens in this vocabulary, so a
     stretch without blanks has the same ids wherever it stands; each is encoded
@@ -235,12 +229,9 @@ class Tokens:
     def _look_up(self, words: list[str]) -> np.ndarray:
         return np.fromiter(map(self.at.get, words, itertools.repeat(-1)), np.int64, len(words))
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, ids of each text).
-
-        Arrow splits the texts, numbers their distinct words and takes these
-        apart; Python sees each distinct key of a batch once.
-        """
+    def _parts(self, texts: pa.Array) -> tuple[pa.ListArray, pa.DictionaryArray, np.ndarray]:
+        """The stretches of each text, their numbers, and the two table places of each
+        distinct one (letters, then stops)."""
         lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary
@@ -253,6 +244,21 @@ class Tokens:
         parts = np.empty(2 * len(words), np.int64)
         parts[::2] = place[keys.indices.to_numpy(zero_copy_only=False)]
         parts[1::2] = place[len(keys.dictionary) :][stops.indices.to_numpy(zero_copy_only=False)]
+        return lists, coded, parts
+
+    def count(self, texts: pa.Array) -> np.ndarray:
+        """Ids of each text, without making them."""
+        lists, coded, parts = self._parts(texts)
+        sizes = self.sizes[parts].reshape(-1, 2).sum(1)[coded.indices.to_numpy(zero_copy_only=False)]
+        return np.diff(np.concatenate([[0], np.cumsum(sizes)])[lists.offsets.to_numpy()])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, ids of each text).
+
+        Arrow splits the texts, numbers their distinct words and takes these
+        apart; Python sees each distinct key of a batch once.
+        """
+        lists, coded, parts = self._parts(texts)
         # A table of the batch's distinct words, then the texts from it.
         sizes = self.sizes[parts]
         flat = _ragged(self.flat, self.starts[parts], sizes)
@@ -307,6 +313,23 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
 
 
+def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
+    """(doc_id, n_tokens) of each row: the ids of its text and ``end_ids`` more. Null
+    texts are empty; repeated rows stay."""
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        own = tokens(path)
+        for b in batches:
+            for part in slices(b, "text", 8 << 20):
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(MOST_IDS, np.int64)
     for b in batches:
