@@ -62,7 +62,11 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"))
+    """doc_id, piece, piece_start, n_tokens, bin_id, bin_offset, bin_capacity; lengths are
+    tokens of the vocabulary that op6 takes, with one end mark for each document."""
+    import public_tokenizers
+
+    return packing.pack(tokens.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")), length="n_tokens")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
