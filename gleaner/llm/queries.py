@@ -57,8 +57,8 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    base, manifest, freq = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return tokens.read_tokens(spark, base, manifest, freq, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
+    base = tokens.write_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return tokens.read_tokens(spark, base, with_ids=False).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

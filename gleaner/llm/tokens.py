@@ -1,14 +1,17 @@
 """Token ids in binary files, coded by a static range asymmetric numeral system.
 
-One frequency table, counted over all documents, is shared by all blocks. A
-block holds whole documents: their ids, in order, are dealt to interleaved
-lanes, each an rANS state of its own, which numpy steps together. Every block
-can be decoded alone: its header has sizes, a checksum and checkpoints (the
-lane states at its end, where decoding starts), and the file's footer has the
-offsets of all blocks.
-
-File: magic, blocks, footer (uint64 offset, docs, ids of each block), uint64
-number of blocks, uint64 offset of the footer, magic. All little-endian.
+One frequency table, counted over all documents, is shared by all blocks and
+stands in every file, so that a file can be read with nothing but itself. The ids
+of a block are dealt to interleaved lanes, each an rANS state of its own, which
+numpy steps together. Every block can be decoded alone, and so can its parts: its
+header has sizes, checksums and checkpoints, which are all lane states before
+every PART_IDS ids and the place in the coded words where decoding goes on. A
+document longer than a block goes on in the next.
+
+File: magic; uint32 bytes and CRC-32 of the table, the table (zlib, little-endian
+uint32 for each id); blocks; footer (uint64 offset, documents that start, ids of
+each block), uint64 number of blocks, uint64 offset of the footer, magic.
+Block: see ``pack_block``. All numbers are little-endian.
 """
 
 from __future__ import annotations
@@ -17,23 +20,25 @@ import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import cut, file_system, publish, scratch, slices, small_batches
 
-MAGIC = b"GLTOK1\0\0"
+MAGIC = b"GLTOK2\0\0"
 END_ID = 1
 #: Bits of the frequency table's total; states lie in [2**31, 2**63).
 SCALE = 20
 LOW = 1 << 31
-#: Lanes and ids of one block.
+#: Lanes, ids of one block at most, and ids between its checkpoints.
 LANES = 4096
-BLOCK_IDS = 1 << 20
+BLOCK_IDS, PART_IDS = 1 << 20, 1 << 18
 MANIFEST_FILES = 8
 #: Ids are held as uint16 between the stages.
 MOST_IDS = 1 << 16
@@ -65,11 +70,12 @@ class Coder:
         self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
-    def encode(self, ids: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
-        """(lane states, 32-bit words in the order in which decoding takes them)."""
+    def encode(self, ids: np.ndarray, lanes: int = LANES, part: int = PART_IDS) -> tuple[list[tuple[int, int, np.ndarray]], np.ndarray]:
+        """(checkpoints, 32-bit words in the order in which decoding takes them). A
+        checkpoint: the id that decoding goes on with, the word, the lane states."""
         k, s32 = np.uint64(self.bits), np.uint64(32)
         x = np.full(lanes, LOW, np.uint64)
-        words = []
+        words, made, points = [], 0, []
         room = np.uint64(63 - self.bits)
         for at in range((len(ids) - 1) // lanes * lanes if len(ids) else -1, -1, -lanes):
             sym = ids[at : at + lanes]
@@ -78,13 +84,18 @@ class Coder:
             full = (y >> room) >= f  # the state would leave its range
             if full.any():
                 words.append((y[full] & np.uint64(0xFFFFFFFF)).astype("<u4"))
+                made += len(words[-1])
                 y = np.where(full, y >> s32, y)
             q = y // f
             x[:m] = (q << k) + (y - q * f) + c
+            if at % part == 0:
+                points.append((at, made, x.copy()))
         words.reverse()
-        return x, np.concatenate(words) if words else np.zeros(0, "<u4")
+        points.reverse()
+        return [(at, made - before, states) for at, before, states in points], np.concatenate(words) if words else np.zeros(0, "<u4")
 
-    def decode(self, n: int, states: np.ndarray, words: np.ndarray) -> np.ndarray:
+    def decode(self, n: int, states: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(ids, lane states after them, words taken) of ``n`` ids from a checkpoint on."""
         k, s32, mask = np.uint64(self.bits), np.uint64(32), np.uint64((1 << self.bits) - 1)
         out = np.empty(n, np.uint32)
         x = states.astype(np.uint64)
@@ -101,35 +112,102 @@ class Coder:
                 at += c
             x[:m] = y
             out[i : i + m] = sym
-        if at != len(words) or (x != np.uint64(LOW)).any():
-            raise ValueError("a block does not end at its first state")
-        return out
+        return out, x, at
 
 
-def pack_block(coder: Coder, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, lanes: int = LANES) -> bytes:
-    states, words = coder.encode(ids, lanes)
-    known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
-    names = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
-    body = known + names + np.array(sizes, "<u8").tobytes() + states.astype("<u8").tobytes() + words.tobytes()
-    head = struct.pack("<QQQQI", len(doc_ids), len(ids), lanes, len(words), zlib.crc32(ids.astype("<u4").tobytes()))
-    return head + struct.pack("<I", zlib.crc32(body)) + body
+_HEAD = "<QQQQQBBII"
 
 
-def unpack_block(coder: Coder, data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
-    """(doc_ids, sizes, ids); checks the body's and the ids' checksums."""
-    n_docs, n_ids, lanes, n_words, ids_crc, body_crc = struct.unpack_from("<QQQQII", data)
-    at = struct.calcsize("<QQQQII")
+def pack_block(coder: Coder, doc_ids: list[int | None], sizes: list[int], ids: np.ndarray, goes_on: bool = False, open_end: bool = False, lanes: int = LANES, part: int = PART_IDS) -> bytes:
+    """Header (pieces, ids, lanes, words, checkpoints as uint64; whether the first piece
+    goes on with a document of the block before, and the last in the next one, as
+    bytes; CRC-32 of the ids as uint32 and of the body); body: a byte for each
+    piece, 1 if its doc_id is known; doc_ids; sizes; ids and words before each
+    checkpoint; lane states of each; coded words as uint32."""
+    points, words = coder.encode(ids, lanes, part)
+    known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
+    names = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
+    places = np.array([p[:2] for p in points], "<u8").reshape(-1, 2).tobytes()
+    states = np.array([p[2] for p in points], "<u8").tobytes()
+    body = known + names + np.array(sizes, "<u8").tobytes() + places + states + words.tobytes()
+    ids_crc = zlib.crc32(ids.astype("<u4").tobytes())
+    return struct.pack(_HEAD, len(doc_ids), len(ids), lanes, len(words), len(points), goes_on, open_end, ids_crc, zlib.crc32(body)) + body
+
+
+@dataclass
+class Pieces:
+    """What a block holds: pieces of documents with their sizes, and the ids."""
+
+    doc_ids: list[int | None]
+    sizes: np.ndarray
+    ids: np.ndarray
+    goes_on: bool
+    open_end: bool
+
+
+def unpack_block(coder: Coder, data: bytes, most_ids: int | None = None) -> Pieces:
+    """Decodes from each checkpoint on its own, those of the first ``most_ids`` ids only
+    if given. Checks the body's checksum, the states between checkpoints, and the
+    checksum of the ids if all are decoded."""
+    n_docs, n_ids, lanes, n_words, n_points, goes_on, open_end, ids_crc, body_crc = struct.unpack_from(_HEAD, data)
+    at = struct.calcsize(_HEAD)
     if zlib.crc32(data[at:]) != body_crc:
         raise ValueError("a block's checksum is wrong")
     known = np.frombuffer(data, np.uint8, n_docs, at)
     names = np.frombuffer(data, "<i8", n_docs, at + n_docs)
     sizes = np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs).astype(np.int64)
-    states = np.frombuffer(data, "<u8", lanes, at + 17 * n_docs)
-    words = np.frombuffer(data, "<u4", n_words, at + 17 * n_docs + 8 * lanes)
-    ids = coder.decode(n_ids, states, words)
-    if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
+    at += 17 * n_docs
+    places = np.frombuffer(data, "<u8", 2 * n_points, at).reshape(-1, 2).astype(np.int64)
+    states = np.frombuffer(data, "<u8", n_points * lanes, at + 16 * n_points).reshape(-1, lanes)
+    words = np.frombuffer(data, "<u4", n_words, at + 16 * n_points + 8 * n_points * lanes)
+    ends = np.append(places[1:, 0], n_ids)
+    parts = []
+    for k in range(n_points):
+        if most_ids is not None and places[k, 0] >= most_ids:
+            break
+        ids, left, taken = coder.decode(int(ends[k] - places[k, 0]), states[k], words[places[k, 1] :])
+        last = k + 1 == n_points
+        if places[k, 1] + taken != (n_words if last else places[k + 1, 1]) or (left != (np.uint64(LOW) if last else states[k + 1])).any():
+            raise ValueError("a block does not end at its first state" if last else "a part does not end at the next checkpoint")
+        parts.append(ids)
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+    if len(ids) == n_ids and zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("decoded ids have another checksum")
-    return [int(d) if k else None for d, k in zip(names, known, strict=True)], sizes, ids
+    return Pieces([int(d) if k else None for d, k in zip(names, known, strict=True)], sizes, ids, bool(goes_on), bool(open_end))
+
+
+def pack_table(freq: np.ndarray) -> bytes:
+    data = zlib.compress(freq.astype("<u4").tobytes(), 6)
+    return struct.pack("<II", len(data), zlib.crc32(data)) + data
+
+
+#: Coders by the checksum of their table, for each Python worker.
+_coders: dict[int, Coder] = {}
+
+
+def read_coder(f) -> Coder:
+    """The coder of a file by the table at its start."""
+    head = f.read_at(len(MAGIC) + 8, 0)
+    if head[: len(MAGIC)] != MAGIC:
+        raise ValueError("no token file")
+    size, crc = struct.unpack_from("<II", head, len(MAGIC))
+    if crc not in _coders:
+        data = f.read_at(size, len(head))
+        if zlib.crc32(data) != crc:
+            raise ValueError("a frequency table's checksum is wrong")
+        _coders.clear()
+        _coders[crc] = Coder(np.frombuffer(zlib.decompress(data), "<u4").astype(np.int64))
+    return _coders[crc]
+
+
+def read_footer(f) -> np.ndarray:
+    """(offset, end, documents that start, ids) of each block."""
+    tail = f.read_at(16 + len(MAGIC), f.size() - 16 - len(MAGIC)) if f.size() >= 16 + 2 * len(MAGIC) else b""
+    if tail[16:] != MAGIC:
+        raise ValueError("a token file is not whole")
+    n, at = struct.unpack_from("<QQ", tail)
+    index = np.frombuffer(f.read_at(24 * n, at), "<u8").reshape(-1, 3).astype(np.int64)
+    return np.column_stack([index[:, 0], np.append(index[1:, 0], at), index[:, 1:]])
 
 
 class Tokens:
@@ -342,23 +420,25 @@ def _writer(shared, base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = Coder(shared.value)
+        freq = shared.value
+        coder = Coder(freq)
         part, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         name = f"part-{part:06d}.gltok"
-        out, index, at = None, [], len(MAGIC)
+        table = MAGIC + pack_table(freq)
+        out, index, at = None, [], len(table)
         docs: list[int | None] = []
         held: list[np.ndarray] = []
         sizes: list[int] = []
-        total = 0
+        total, goes_on = 0, False
 
-        def flush():
-            nonlocal at, total
-            block = pack_block(coder, docs, sizes, np.concatenate(held))
+        def flush(open_end: bool) -> None:
+            nonlocal at, total, goes_on
+            block = pack_block(coder, docs, sizes, np.concatenate(held), goes_on, open_end)
             out.write(block)
-            index.append((at, len(docs), total))
+            index.append((at, len(docs) - goes_on, total))
             at += len(block)
             docs.clear(), held.clear(), sizes.clear()
-            total = 0
+            total, goes_on = 0, open_end
 
         for b in batches:
             for d, x in zip(b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
@@ -366,39 +446,37 @@ def _writer(shared, base: str):
                     store, root = file_system(base)
                     temporary = f"{root}/.{name}-{attempt}"
                     out = store.open_output_stream(temporary)
-                    out.write(MAGIC)
+                    out.write(table)
                 ids = np.frombuffer(x.as_buffer(), "<u2")
                 if total and total + len(ids) > BLOCK_IDS:
-                    flush()
-                docs.append(d)
-                held.append(ids)
-                sizes.append(len(ids))
-                total += len(ids)
+                    flush(False)
+                for k in range(0, len(ids), BLOCK_IDS):
+                    piece = ids[k : k + BLOCK_IDS]
+                    docs.append(d)
+                    held.append(piece)
+                    sizes.append(len(piece))
+                    total += len(piece)
+                    if k + BLOCK_IDS < len(ids):
+                        flush(True)
         if out is None:
             return
-        flush()
+        flush(False)
         out.write(np.array(index, "<u8").tobytes() + struct.pack("<QQ", len(index), at) + MAGIC)
         out.close()
-        # Complete files only, under one name: another attempt writes the same bytes.
-        store.move(temporary, f"{root}/{name}")
-        n = len(index)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part] * n), pa.array(range(n), pa.int64()), pa.array([name] * n), *(pa.array([int(i[k]) for i in index], pa.int64()) for k in range(3))],
-            names=["part", "block", "file", "offset", "docs", "ids"],
-        )
+        publish(store, temporary, f"{root}/{name}")  # complete files only, under one name
+        yield pa.RecordBatch.from_arrays([pa.array([name])], names=["file"])
 
     return run
 
 
-MANIFEST = "part bigint, block bigint, file string, offset bigint, docs bigint, ids bigint"
-
+def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: int = END_ID) -> str:
+    """Write the ids of all ``docs`` in doc_id order to token files; returns their folder.
 
-def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: int = END_ID) -> tuple[str, DataFrame, np.ndarray]:
-    """Write the ids of all ``docs`` in doc_id order to token files.
-
-    Returns the folder, its manifest (a row for each block) and the frequency
-    table. Null doc_ids come first; rows with one doc_id are in the order of
-    their ids. Files are whole or absent, so tasks may run again.
+    Null texts are empty; each document ends with ``end_id``, so none has no ids;
+    very long ones go over several blocks. Null doc_ids come first; rows with one
+    doc_id are in the order of their ids, and repeated rows stay. Other columns are
+    not read. An empty table gives a folder without files. Files are whole or
+    absent, so tasks may run again.
     """
     spark = docs.sparkSession
     base = base or scratch(spark, "token-files")
@@ -409,80 +487,79 @@ def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: in
     counts = np.zeros(MOST_IDS, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
-    freq = scale_counts(counts)
-    shared = spark.sparkContext.broadcast(freq)  # bounded by the vocabulary
+    shared = spark.sparkContext.broadcast(scale_counts(counts))  # bounded by the vocabulary
     ordered = ids.repartitionByRange("doc_id", "n_tokens", F.crc32("ids")).sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
-    written = ordered.select("doc_id", "ids").mapInArrow(_writer(shared, base), MANIFEST)
-    manifest = cut(written.repartition(MANIFEST_FILES), "token-manifest")  # narrow rows, few files
-    return base, manifest, freq
+    ordered.select("doc_id", "ids").mapInArrow(_writer(shared, base), "file string").agg(F.count(F.lit(1))).collect()
+    return base
 
 
-def _reader(shared, base: str):
+def _footers(base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value)
         store, root = file_system(base)
         for b in batches:
-            for r in b.to_pylist():
-                with store.open_input_file(f"{root}/{r['file']}") as f:
-                    data = f.read_at(r["stop"] - r["offset"], r["offset"])
-                doc_ids, sizes, ids = unpack_block(coder, data)
-                if len(doc_ids) != r["docs"] or len(ids) != r["ids"]:
-                    raise ValueError(f"block {r['block']} of {r['file']} is not as listed")
-                raw = ids.astype("<u4")
-                ends = np.cumsum(sizes)
-                crc = [zlib.crc32(raw[e - n : e]) for e, n in zip(ends, sizes, strict=True)]
-                packed = [raw[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)] if r["want"] else [None] * len(crc)
+            for name in b.column("file").to_pylist():
+                with store.open_input_file(f"{root}/{name}") as f:
+                    index = read_footer(f)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(index)), pa.array(np.arange(len(index))), pa.array(index[:, 3])], names=["file", "block", "ids"])
+
+    return run
+
+
+def _reader(base: str, with_ids: bool):
+    """Documents that start in a block; one that goes on is read to its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = file_system(base)
+        for b in batches:
+            for name, k, before in zip(*(b.column(c).to_pylist() for c in ("file", "block", "before")), strict=True):
+                with store.open_input_file(f"{root}/{name}") as f:
+                    coder, index = read_coder(f), read_footer(f)
+                    own = unpack_block(coder, f.read_at(int(index[k, 1] - index[k, 0]), int(index[k, 0])))
+                    if len(own.doc_ids) - own.goes_on != index[k, 2] or len(own.ids) != index[k, 3]:
+                        raise ValueError(f"block {k} of {name} is not as listed")
+                    raw = own.ids.astype("<u4")
+                    ends = np.cumsum(own.sizes)
+                    at = list(zip(ends - own.sizes, ends, strict=True))[own.goes_on :]
+                    crc = [zlib.crc32(raw[a:z]) for a, z in at]
+                    data = [[raw[a:z].tobytes()] if with_ids else [] for a, z in at]
+                    sizes = own.sizes[own.goes_on :].copy()
+                    more = k + 1 if own.open_end and at else len(index)
+                    while more < len(index):
+                        rest = unpack_block(coder, f.read_at(int(index[more, 1] - index[more, 0]), int(index[more, 0])), most_ids=int(BLOCK_IDS))
+                        piece = rest.ids[: rest.sizes[0]].astype("<u4")
+                        crc[-1] = zlib.crc32(piece, crc[-1])
+                        sizes[-1] += len(piece)
+                        if with_ids:
+                            data[-1].append(piece.tobytes())
+                        more = more + 1 if rest.open_end and len(rest.sizes) == 1 else len(index)
+                packed = [b"".join(x) if with_ids else None for x in data]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(r["before"] + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(packed, pa.binary())],
+                    [pa.array(own.doc_ids[own.goes_on :], pa.int64()), pa.array([before + int(a) for a, _ in at], pa.int64()), pa.array(sizes), pa.array(crc, pa.int64()), pa.array(packed, pa.binary())],
                     names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                 )
 
     return run
 
 
-def read_tokens(spark: SparkSession, base: str, manifest: DataFrame, freq: np.ndarray, with_ids: bool = True) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of each document, from the files.
+def read_tokens(spark: SparkSession, base: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of each document in the files of a folder.
 
-    A task decodes whole blocks from their checkpoints; ``start`` comes from
-    prefix sums over the manifest, which has a row for each half million ids.
+    Nothing but the files is needed. Executors read the footers; ``start`` comes from
+    prefix sums over them, which have a row for each million ids; then a task decodes
+    whole blocks from their checkpoints. A folder without files gives no rows.
     """
     from pyspark.sql import Window as W
 
-    # Totals of parts first: the one-task window sees a row for each part only.
-    parts = manifest.groupBy("part").agg(F.sum("ids").alias("part_ids"))
-    earlier = parts.select("part", F.coalesce(F.sum("part_ids").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("part_before"))
-    inside = W.partitionBy("part").orderBy("block")
-    plan = manifest.join(F.broadcast(earlier), "part").select(
-        "*",
-        (F.col("part_before") + F.coalesce(F.sum("ids").over(inside.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).alias("before"),
-        F.lead("offset").over(inside).alias("next"),
-        F.lit(with_ids).alias("want"),
-    )
-    plan = plan.withColumn("stop", F.col("next"))
-    shared = spark.sparkContext.broadcast(freq)
     small_batches(spark)
-    blocks = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "block")
-    return blocks.mapInArrow(_with_ends(_reader(shared, base), base), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
-
-
-def _with_ends(read, base: str):
-    """The last block of a file ends where its footer starts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, root = file_system(base)
-
-        def ended():
-            for b in batches:
-                stops = b.column("stop").to_pylist()
-                for i, name in enumerate(b.column("file").to_pylist()):
-                    if stops[i] is None:
-                        with store.open_input_file(f"{root}/{name}") as f:
-                            tail = f.read_at(8 + len(MAGIC), f.size() - 8 - len(MAGIC))
-                        if tail[8:] != MAGIC:
-                            raise ValueError(f"{name} is not whole")
-                        stops[i] = struct.unpack("<Q", tail[:8])[0]
-                yield pa.RecordBatch.from_arrays([pa.array(stops, pa.int64()) if n == "stop" else b.column(n) for n in b.schema.names], names=b.schema.names)
-
-        yield from read(ended())
-
-    return run
+    store, root = file_system(base)
+    listed = [(f.base_name,) for f in store.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".gltok") and not f.base_name.startswith(".")]
+    parts = max(1, min(len(listed), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    files = spark.createDataFrame(sorted(listed), "file string").repartition(parts, "file")
+    blocks = cut(files.mapInArrow(_footers(base), "file string, block long, ids long").coalesce(MANIFEST_FILES), "token-blocks")
+    # Totals of files first: the one-task window sees a row for each file only.
+    totals = blocks.groupBy("file").agg(F.sum("ids").alias("file_ids"))
+    earlier = totals.select("file", F.coalesce(F.sum("file_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("file_before"))
+    inside = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    plan = blocks.join(earlier, "file").select("file", "block", (F.col("file_before") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("before"))
+    plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "block")
+    return plan.mapInArrow(_reader(base, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -3,7 +3,9 @@
 import itertools
 import os
 import re
+import struct
 import time
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -229,13 +231,16 @@ def test_coder_round_trip():
     for n, kinds in ((0, 1), (1, 1), (5, 3), (1023, 50), (1024, 1), (70_000, 40_000)):
         ids = (rng.zipf(1.2, n) % kinds).astype(np.uint16)
         coder = tokens.Coder(tokens.scale_counts(np.bincount(ids, minlength=1 << 16)))
-        block = tokens.pack_block(coder, [7], [n], ids)
-        assert (tokens.unpack_block(coder, block)[2] == ids).all()
-        if n > 5:
-            broken = bytearray(block)
-            broken[-1] ^= 1
-            with pytest.raises(ValueError):
-                tokens.unpack_block(coder, bytes(broken))
+        for lanes, part in ((4096, 1 << 18), (64, 128), (64, 1 << 18)):
+            block = tokens.pack_block(coder, [7], [n], ids, lanes=lanes, part=part)
+            assert (tokens.unpack_block(coder, block).ids == ids).all()
+            some = tokens.unpack_block(coder, block, most_ids=100).ids  # only the parts that hold them
+            assert (some == ids[: len(some)]).all() and len(some) >= min(n, 100) and (n < 1000 or part > n or len(some) <= 128)
+            if n > 5:
+                broken = bytearray(block)
+                broken[-1] ^= 1
+                with pytest.raises(ValueError):
+                    tokens.unpack_block(coder, bytes(broken))
 
 
 def test_scaled_counts_keep_every_id():
@@ -246,19 +251,74 @@ def test_scaled_counts_keep_every_id():
     assert freq.sum() == 1 << tokens.SCALE and (freq[:50_000] > 0).all() and not freq[50_000:].any()
 
 
-def test_token_files_hold_the_ids(spark, odd_dir, monkeypatch):
+def read_by_hand(folder):
+    """(doc_id, ids) of token files by what the module says of them, with no help from it but the coder."""
+    out = []
+    for name in sorted(x for x in os.listdir(folder) if x.endswith(".gltok") and x[0] != "."):
+        data = open(f"{folder}/{name}", "rb").read()
+        size, crc = struct.unpack_from("<II", data, 8)
+        assert data[:8] == data[-8:] == tokens.MAGIC and zlib.crc32(data[16 : 16 + size]) == crc
+        coder = tokens.Coder(np.frombuffer(zlib.decompress(data[16 : 16 + size]), "<u4").astype(np.int64))
+        n, at = struct.unpack_from("<QQ", data, len(data) - 24)
+        offsets = [*np.frombuffer(data, "<u8", 3 * n, at)[::3].tolist(), at]
+        for a, z in zip(offsets, offsets[1:], strict=False):
+            own = tokens.unpack_block(coder, data[a:z])
+            ends = np.cumsum(own.sizes)
+            for k, (d, e, m) in enumerate(zip(own.doc_ids, ends, own.sizes, strict=True)):
+                ids = own.ids[e - m : e].tolist()
+                if k == 0 and own.goes_on:
+                    out[-1][1].extend(ids)
+                else:
+                    out.append((d, ids))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 20, 1000])
+def test_token_files_hold_the_ids(spark, odd_dir, monkeypatch, block):
+    """In a folder that another session could read, and with documents over many blocks."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
-    base, manifest, freq = tokens.write_tokens(docs, path)
-    got = {}
-    for d, ids in tokens.read_tokens(spark, base, manifest, freq).select("doc_id", "ids").collect():
+    if block == 1000:
+        # Workers import the module themselves: the limits reach them in the function.
+        monkeypatch.setattr(tokens, "_writer", with_limits(tokens._writer, block))
+        monkeypatch.setattr(tokens, "_reader", with_limits(tokens._reader, block))
+    base = tokens.write_tokens(docs, path)
+    got, at = {}, 0
+    rows = sorted((tuple(r) for r in tokens.read_tokens(spark, base).collect()), key=lambda r: r[1])
+    for d, start, n, crc, ids in rows:
+        assert start == at and n == len(ids) // 4 and crc == zlib.crc32(ids)
+        at += n
         got.setdefault(d, []).append(np.frombuffer(ids, "<u4").tolist())
+    assert [(r[0], np.frombuffer(r[4], "<u4").tolist()) for r in rows] == read_by_hand(base.removeprefix("file://"))
     plain = Tokenizer.from_file(path)
     for d, t in docs.select("doc_id", "text").collect():
         assert [*plain.encode(t or "", add_special_tokens=False).ids, 1] in got[d]
+    assert sum(map(len, got.values())) == docs.count()
+
+
+def with_limits(make, block):
+    def made(*args):
+        run = make(*args)
+
+        def limited(batches):
+            tokens.BLOCK_IDS = block
+            try:
+                yield from run(batches)
+            finally:
+                tokens.BLOCK_IDS = 1 << 20
+
+        return limited
+
+    return made
+
+
+def test_damaged_token_files_are_refused(spark, tmp_path):
+    (tmp_path / "part-000000.gltok").write_bytes(tokens.MAGIC + b"\0" * 50)
+    with pytest.raises(Exception, match="not whole"):
+        tokens.read_tokens(spark, f"file://{tmp_path}").collect()
 
 
 def test_chunked_encoding_is_exact():
