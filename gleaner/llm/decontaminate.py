@@ -28,7 +28,7 @@ from gleaner.llm.common import file_system, publish, scratch, slices, small_batc
 WINDOW = 10
 #: Text bytes of one automaton, about; bytes of automata that a worker keeps; and of
 #: the texts whose words it holds at once.
-BLOCK_BYTES, CACHE_BYTES, PART_BYTES = 1 << 20, 128 << 20, 8 << 20
+BLOCK_BYTES, CACHE_BYTES, PART_BYTES = 1 << 20, 128 << 20, 2 << 20
 #: Fixed value of the contract: bytes that separate words, and A-Z in lower case.
 _SEPARATORS = [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]
 _TABLE = bytearray(range(256))

@@ -32,7 +32,7 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Words of one vectorised pass; a longer text makes a pass of its own.
 CHUNK_WORDS = 1 << 20
 #: Bytes of text whose words are held at once, and texts drawn from a sampled partition.
-PART_BYTES, SAMPLE_ROWS = 4 << 20, 64
+PART_BYTES, SAMPLE_ROWS = 2 << 20, 64
 
 #: Limits of the rules beside the base, chosen on labelled rows: over half of
 #: the words repeat or a third as many symbols as words mark junk, while rows

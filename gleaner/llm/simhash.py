@@ -44,6 +44,8 @@ LEAF, LEVELS, SAMPLE = 64, 10, 32
 SHRINK = 0.6
 #: Min-wise shingles of a band, bands, and texts that a task compares at once.
 MINS, BANDS, MOST_TEXTS = 3, 6, 1024
+#: Names of rows to fetch or keep that go to every task at most.
+MOST_BROADCAST = 1_000_000
 #: Smallest shingle hashes kept of a text that is compared: similarities are exact up
 #: to so many distinct shingles, beyond with a standard error of 0.002 at 0.8.
 SKETCH = 1 << 15
@@ -420,6 +422,16 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
+def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with the doc_id and text of a row of ``wanted`` (__d, __t), which
+    goes to every task up to MOST_BROADCAST rows; texts move only beyond."""
+    wanted = cut(wanted.withColumn("__k", F.xxhash64("__d", "__t")), "simhash-wanted")
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    own = docs["doc_id"].cast("long")
+    same = (F.xxhash64(own, text) == wanted["__k"]) & own.eqNullSafe(wanted["__d"]) & (text == wanted["__t"])
+    return docs.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, same, "left_semi")
+
+
 def sketch_of(h: np.ndarray) -> np.ndarray:
     """The SKETCH smallest distinct shingle hashes, as 32 bits each, sorted."""
     return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
@@ -514,9 +526,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity:
     for more in found[1:]:
         members = members.unionAll(more)
     members = cut(members, "simhash-meet")
-    wanted = members.select(F.col("text_hash").alias("__t"), F.col("least").alias("__d")).distinct()
-    texts = _texts(docs)
-    texts = texts.join(wanted, (texts["text_hash"] == wanted["__t"]) & texts["doc_id"].eqNullSafe(wanted["__d"]), "left_semi").select("text_hash", "text")
+    texts = _rows_of(_texts(docs), members.select(F.col("least").alias("__d"), F.col("text_hash").alias("__t")).distinct()).select("text_hash", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -556,11 +566,11 @@ def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, si
     rooted = classes.join(roots, classes["text_hash"] == roots["node"], "left").select("least", "copies", F.coalesce("root", "text_hash").alias("root"))
     best = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.max("copies").alias("copies")), "simhash-kept")
     first = best.select(F.col("least.doc_id").alias("__d"), F.col("least.text_hash").alias("__t"))
-    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
-    kept = docs.join(first, docs["doc_id"].cast("long").eqNullSafe(first["__d"]) & (text == first["__t"]), "left_semi")
+    kept = _rows_of(docs, first)
     twice = rows.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     alone = twice.isEmpty()
-    remove(spark, [p for p in made() if p not in began and "simhash-kept" not in p])
+    remove(spark, [p for p in made() if p not in began and p != made()[-1]])  # the last is the list of rows to keep
     if alone:
         return kept
+    text = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     return kept.withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")

@@ -40,6 +40,8 @@ LOW = 1 << 31
 LANES = 4096
 BLOCK_IDS, PART_IDS = 1 << 20, 1 << 18
 MANIFEST_FILES = 8
+#: Bytes of text that are split into words at once.
+PART_BYTES = 4 << 20
 #: Ids are held as uint16 between the stages.
 MOST_IDS = 1 << 16
 
@@ -221,7 +223,7 @@ class Tokens:
     one call, and the vocabulary's word-end mark tells their ids apart.
     """
 
-    MOST = 800_000
+    MOST = 300_000
     STOPS = ".,;:!?"
     #: Letters that NFC leaves alone and that have one lower case wherever they stand.
     LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
@@ -380,7 +382,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
         for b in batches:
-            for part in slices(b, "text", 8 << 20):
+            for part in slices(b, "text", PART_BYTES):
                 ids, sizes = own.encode(part.column("text"))
                 ends = np.cumsum(sizes)
                 data = np.insert(ids, ends, end_id).astype("<u2")
@@ -402,7 +404,7 @@ def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
         for b in batches:
-            for part in slices(b, "text", 8 << 20):
+            for part in slices(b, "text", PART_BYTES):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
