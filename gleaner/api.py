@@ -7,6 +7,7 @@ import hashlib
 import io
 import json
 import re
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict
@@ -14,7 +15,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.model import ColumnProfile, Event, Insight, Query, QueryResult, SemanticModel
+from gleaner.model import ColumnProfile, Event, Insight, Query, QueryResult, SemanticModel, revive
 from gleaner.operators.dataset import Dataset
 from gleaner.plans import agent, query, semantic
 from gleaner.sources import samples, text
@@ -35,6 +36,7 @@ class Engine:
         self.spark, self.home, self.planner, self.narrator = spark, home.rstrip("/") if home else None, planner, narrator
         self.datasets: dict[str, Dataset] = {}
         self.insights: dict[str, list[Insight]] = {}
+        self._saved: dict[str, float] = {}
 
     # Ingest
 
@@ -100,17 +102,21 @@ class Engine:
         if not self.home:
             return
         ds = self.datasets[key]
-        meta = {"name": ds.name, "source": ds.source, "kinds": ds.kinds, "warnings": ds.warnings, "rows": ds.rows, "model": ds.model.to_dict(), "insights": [asdict(x) for x in self.insights.get(key, [])]}
+        meta = {"name": ds.name, "source": ds.source, "kinds": ds.kinds, "warnings": ds.warnings, "rows": ds.rows, "model": ds.model.to_dict(), "insights": [asdict(x) for x in self.insights.get(key, [])], "profiles": [asdict(x) for x in ds.profiles], "saved": self._saved.setdefault(key, time.time())}
         self._write(f"{self.home}/{key}.json", json.dumps(meta, ensure_ascii=False).encode())
 
     def reload(self) -> list[str]:
-        """Datasets saved under ``home``, with their models."""
+        """Datasets saved under ``home``, oldest first, with models, profiles and findings."""
         root, store = self._store(self.home)
         keys = [s.getPath().getName()[:-5] for s in store.listStatus(root) if s.getPath().getName().endswith(".json")] if store.exists(root) else []
+        metas = {key: json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.home}/{key}.json").collect())) for key in keys}
+        keys = sorted(keys, key=lambda k: (metas[k].get("saved", 0.0), k))
         for key in keys:
-            meta = json.loads("\n".join(r["value"] for r in self.spark.read.text(f"{self.home}/{key}.json").collect()))
+            meta = metas[key]
             df = self.spark.read.parquet(f"{self.home}/{key}.parquet")
-            self.datasets[key] = Dataset(meta["name"], df, meta["kinds"], {}, SemanticModel.from_dict(meta["model"]), [], meta["warnings"], meta["rows"], meta["source"])
+            self.datasets[key] = Dataset(meta["name"], df, meta["kinds"], {}, SemanticModel.from_dict(meta["model"]), [revive(ColumnProfile, x) for x in meta.get("profiles", [])], meta["warnings"], meta["rows"], meta["source"])
+            self.insights[key] = [revive(Insight, x) for x in meta.get("insights", [])]
+            self._saved[key] = meta.get("saved", 0.0)
         return keys
 
     def delete_dataset(self, key: str) -> bool:
@@ -157,6 +163,7 @@ class Engine:
             from gleaner.operators.profile import profile
 
             d.profiles = profile(d)
+            self._save(key)
         return [p for p in d.profiles if columns is None or p.name in columns]
 
     # Questions
@@ -165,8 +172,8 @@ class Engine:
         return query.run(self.dataset(key), q)
 
     def query_frame(self, key: str, q: Query) -> DataFrame:
-        """The query as a lazy DataFrame."""
-        return query.Plan(self.dataset(key), q).limited()
+        """The query as a lazy DataFrame, with no limit but the query's own."""
+        return query.Plan(self.dataset(key), q).whole()
 
     def ask(self, key: str, question: str) -> QueryResult:
         """A question in words, by the planner that the engine was given."""

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.columns import let
+
 #: What counts as missing, and as true or false.
 NULL_TOKENS = ["", "null", "NULL", "Null", "na", "NA", "n/a", "N/A", "nan", "NaN", "none", "None", "nil", "-", "--", "undefined"]
 TRUE_TOKENS = ["true", "yes", "y", "1", "да", "t"]
@@ -16,6 +18,7 @@ CURRENCY = "$€£¥₽₴₸"
 #: Java's \s leaves out the no-break spaces.
 BLANKS = r"\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 
+#: The forms of numbers, dates and names of keys that are read.
 NUMBER = r"^\d*\.?\d+(?:[eE][+-]?\d+)?$"
 ISO = r"^(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2})(?::(\d{2})(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?$"
 SLASH = r"^(\d{1,2})[./](\d{1,2})[./](\d{4})(?:[T ](\d{1,2}):(\d{2})(?::(\d{2}))?)?$"
@@ -40,10 +43,21 @@ def number_of(raw: Column, ready: bool = False) -> Column:
     currency signs and blanks go, and of comma and point the last is decimal.
     Commas alone separate thousands if all groups have three digits. ``ready``
     text is trimmed already."""
-    s = raw if ready else trimmed(raw)
-    body = trimmed(F.regexp_replace(s, r"(?s)^\((.*)\)$", "$1"))
+    return let(raw if ready else trimmed(raw), lambda s: let(trimmed(F.regexp_replace(s, r"(?s)^\((.*)\)$", "$1")), lambda body: _signed(s, body)))
+
+
+def _signed(s: Column, body: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(body, r"%$", ""), f"[{re.escape(CURRENCY)}{BLANKS}]", "")
-    digits = F.regexp_replace(plain, r"^[+-]", "")
+    scale = F.when(body.endswith("%"), F.lit(0.01)).otherwise(F.lit(1.0))
+
+    def value(p: Column) -> Column:
+        negative = s.rlike(r"(?s)^\(.*\)$").cast("int") + p.startswith("-").cast("int") == 1
+        return let(let(F.regexp_replace(p, r"^[+-]", ""), _digits), lambda v: F.when(negative, -v).otherwise(v) * scale)
+
+    return let(let(plain, value), lambda x: F.when(F.abs(x) < float("inf"), x))
+
+
+def _digits(digits: Column) -> Column:
     comma, point = F.contains(digits, F.lit(",")), F.contains(digits, F.lit("."))
     text = (
         F.when(comma & point & digits.rlike(r",[^.]*$"), F.regexp_replace(F.regexp_replace(digits, r"\.", ""), r"^([^,]*),", "$1."))
@@ -52,10 +66,7 @@ def number_of(raw: Column, ready: bool = False) -> Column:
         .when(comma, F.regexp_replace(digits, r"^([^,]*),", "$1."))
         .otherwise(digits)
     )
-    value = F.when(text.rlike(NUMBER), text.try_cast("double"))
-    negative = s.rlike(r"(?s)^\(.*\)$").cast("int") + plain.startswith("-").cast("int") == 1
-    signed = F.when(negative, -value).otherwise(value) * F.when(body.endswith("%"), F.lit(0.01)).otherwise(F.lit(1.0))
-    return F.when(F.abs(value) < float("inf"), signed)
+    return let(text, lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")))
 
 
 def _group(s: Column, pattern: str, k: int) -> Column:

@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from gleaner.functions.stats import ERF
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value taken once, not written out at every use: long
+    expressions stay short in plans and in generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def erf(x: Column) -> Column:
     """Within 1.5e-7."""
     p, *a = ERF

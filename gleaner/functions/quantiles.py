@@ -23,7 +23,7 @@ def quantiles(long: DataFrame, qs: list[float]) -> DataFrame:
     order = W.partitionBy("c").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     earlier = per_part.select("c", "part", F.coalesce(F.sum("s").over(order), F.lit(0)).alias("earlier"), F.sum("s").over(W.partitionBy("c")).alias("total"))
     inside = W.partitionBy("part", "c").orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    placed = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(earlier), ["c", "part"])
+    placed = parts.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(earlier, ["c", "part"])  # a row for each group and partition
     first = F.col("earlier") + F.col("inside")  # rank of the value's first row
     wanted = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(q)).alias("q"), side.alias("at")) for k, q in enumerate(qs) for side in (F.floor((F.col("total") - 1) * q), F.ceil((F.col("total") - 1) * q))])
     hits = placed.select("c", "x", "n", "total", first.alias("first"), F.explode(wanted).alias("w"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.functions.quantiles import quantiles
+
 #: Median gap in hours below which an axis has the grain.
 GAP_HOURS = (("hour", 2), ("day", 48), ("week", 240), ("month", 1080), ("quarter", 3120), ("year", 12000))
 COARSER = {"hour": "day", "day": "week", "week": "month", "month": "quarter", "quarter": "year"}
@@ -104,7 +106,8 @@ def grain_frame(df: DataFrame, ts: Column) -> DataFrame:
     days = moments.groupBy("day").agg(F.min("us").alias("a"), F.max("us").alias("z"))
     across = days.select((F.col("a") - F.lag("z").over(W.orderBy("day"))).alias("gap"))
     gaps = inside.unionAll(across).where(F.col("gap").isNotNull())
-    return gaps.agg((F.count("gap") + 1).alias("n"), F.percentile("gap", F.lit(0.5)).alias("median_gap_us"))
+    median = quantiles(gaps.select(F.lit(0).alias("c"), F.col("gap").alias("x")), [0.5]).select(F.col("q0").alias("median_gap_us"))
+    return gaps.agg((F.count("gap") + 1).alias("n")).join(F.broadcast(median), F.lit(True), "left")  # one row each
 
 
 def detect_grain(df: DataFrame, ts: Column) -> str:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass, field
-from typing import Any
+from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from types import UnionType
+from typing import Any, Union, get_args, get_origin, get_type_hints
 
 NUMERIC = ("number", "integer", "boolean")
 TEMPORAL = ("date", "datetime")
@@ -227,3 +228,20 @@ class Event:
     message: str
     progress: float
     payload: Any = None
+
+
+def revive(kind, data):
+    """A value of a dataclass, or of a type made of such, from what ``asdict`` and JSON left."""
+    if data is None:
+        return None
+    if is_dataclass(kind):
+        hints = get_type_hints(kind)
+        return kind(**{f.name: revive(hints[f.name], data[f.name]) for f in fields(kind) if f.name in data})
+    args = get_args(kind)
+    if isinstance(kind, UnionType) or get_origin(kind) is Union:
+        return revive(next(a for a in args if a is not type(None)), data)
+    if get_origin(kind) is list:
+        return [revive(args[0], x) for x in data]
+    if get_origin(kind) is tuple:
+        return tuple(revive(a, x) for a, x in zip(args, data, strict=True))
+    return data

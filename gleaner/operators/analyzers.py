@@ -12,6 +12,7 @@ from gleaner.model import Chart, Dimension, Evidence, Insight, Measure, Query, M
 from gleaner.operators.segments import Segment
 from gleaner.operators.series import Series
 
+#: Limits of the findings.
 TREND_POINTS, ANOMALY_POINTS = 6, 10
 Z_LIMIT, MOST_OUTLIERS = 3.5, 0.25
 WINDOW_ROWS, SEGMENT_ROWS = 20, 5
@@ -165,16 +166,27 @@ def anomaly(ctx: Context, m: Measure, time: TimeAxis, grain: str, s: Series) ->
     )
 
 
+def _share_p(c0: float, n0: float, c1: float, n1: float) -> float:
+    """Whether a segment's share of all rows is another one than before: chi-square of 2 x 2."""
+    n, own = n0 + n1, c0 + c1
+    if own in (0, n):
+        return 1.0
+    x = sum((got - want) ** 2 / want for got, want in ((c0, n0 * own / n), (c1, n1 * own / n), (n0 - c0, n0 * (n - own) / n), (n1 - c1, n1 * (n - own) / n)))
+    return stats.chi_square_p(x, 1.0)
+
+
 def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: list[Segment]) -> Insight | None:
-    if m.column == "*":  # the split at the middle row leaves as many rows before as after
-        return None
+    rows_only = m.column == "*"  # the split at the middle row leaves as many rows before as after: halves of the calendar count
 
     def part(s: Segment, which: str) -> tuple[float, float]:
         """(rows with a value, their mean)."""
+        if rows_only:
+            return float(s.rows_first if which == "prior" else s.rows_second), 1.0
         x = getattr(s, which)[m.name]
         return float(x.n), x.mean
 
-    if sum(s.rows_prior for s in segments) < WINDOW_ROWS or sum(s.rows_recent for s in segments) < WINDOW_ROWS:
+    old, new = (sum(s.rows_first for s in segments), sum(s.rows_second for s in segments)) if rows_only else (sum(s.rows_prior for s in segments), sum(s.rows_recent for s in segments))
+    if old < WINDOW_ROWS or new < WINDOW_ROWS:
         return None
     n0, n1 = sum(part(s, "prior")[0] for s in segments), sum(part(s, "recent")[0] for s in segments)
     if not n0 or not n1:
@@ -199,7 +211,9 @@ def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: lis
     excess = abs(share) - volume
     if abs(share) < DRIVER_SHARE or excess < DRIVER_EXCESS:
         return None
-    p = stats.welch(s.recent[m.name], s.prior[m.name]).p
+    p = min(1.0, _share_p(c0, n0, c1, n1) * len(usable)) if rows_only else stats.welch(s.recent[m.name], s.prior[m.name]).p
+    if rows_only and p > 0.05:  # the largest of several shifts in counts that chance alone makes
+        return None
     against = [r[0].value for r in usable[1:] if r[7] * total < 0 and abs(r[7]) > OPPOSING * abs(total)]
     change = relative(c1 * m1, c0 * m0) if m.additive else relative(m1, m0)
     weight = abs(c1 * m1) / max(1e-9, abs(after)) if m.additive else volume
@@ -209,7 +223,7 @@ def driver(ctx: Context, m: Measure, d: Dimension, time: TimeAxis, segments: lis
         f"'{m.name}' went from {number(before, m.unit)} to {number(after, m.unit)} between the two halves of {time.name}. '{s.value}' contributes {number(delta, m.unit)}, {share:.0%} of the change, with {volume:.0%} of recent rows; its {how} explains most of it." + (f" Against it move: {', '.join(against[:3])}." if against else ""),
         impact_of(clamp(weight), change, volume), ctx.confidence(p, c0 + c1, SEGMENT_ROWS, (m.column, d.column, time.column), 1.0 if abs(share) > 0.5 else 0.85), [m.name, d.name, s.value],
         Evidence(delta, "Contribution", p, None, share, "Share of the change", int(c0 + c1), [("Before", number(before, m.unit)), ("After", number(after, m.unit)), ("Volume effect", number(mix, m.unit)), ("Level effect", number(rate, m.unit)), ("Rows before, after", f"{c0:.0f}, {c1:.0f}")]),
-        [f"Rows were split at the middle of {time.name}.", f"{len(usable)} segments of '{d.name}' with {SEGMENT_ROWS} rows or more."],
+        [f"Rows were split at the middle of {time.name}{' by the calendar' if rows_only else ''}.", f"{len(usable)} segments of '{d.name}' with {SEGMENT_ROWS} rows or more."],
         ["Contribution is arithmetic, not cause.", "The segment's level itself does not differ significantly." if p > 0.05 else ""],
         [Step("act", f"Look into '{s.value}' first", "It moves the total more than its size explains.", Query([Metric(m.name)], [time.name], None)), Step("monitor", f"Track '{m.name}' for '{s.value}' by itself", "Totals show it late.")],
         Chart("hbar", d.name, "change", [("change", [(r[0].value, r[7]) for r in usable[:10]])]),
@@ -250,30 +264,32 @@ def comparison(ctx: Context, m: Measure, d: Dimension, segments: list[Segment])
     )
 
 
-def concentration(ctx: Context, m: Measure, d: Dimension, segments: list[Segment], cut: bool = False) -> Insight | None:
+def concentration(ctx: Context, m: Measure, d: Dimension, segments: list[Segment], exact: dict | None = None) -> Insight | None:
+    """``exact`` has the figures over all values of a dimension with more of them than
+    ``segments`` lists (``concentration_frame``); the largest are listed in any case."""
     sums = [(s.value, float(s.rows) if m.column == "*" else s.total[m.name].n * s.total[m.name].mean) for s in segments]
     sums = sorted((x for x in sums if x[1] > 0), key=lambda x: (-x[1], x[0]))
     if len(sums) < SEGMENTS:
         return None
-    total, n = sum(v for _, v in sums), len(sums)
+    total, n = (exact["total"], exact["segments"]) if exact else (sum(v for _, v in sums), len(sums))
     shares = [v / total for _, v in sums]
     k = max(1, math.ceil(n * 0.1))
-    top, hhi, g = sum(shares[:k]), stats.herfindahl(shares), stats.gini([v for _, v in sums])
+    top, hhi, g = (exact["top_share"], exact["hhi"], exact["gini"]) if exact else (sum(shares[:k]), stats.herfindahl(shares), stats.gini([v for _, v in sums]))
     if top < CONCENTRATED or g < UNEVEN:
         return None
-    run, to_80 = 0.0, 0
-    for x in shares:
+    run, to_80 = 0.0, exact["to_80"] if exact else 0
+    for x in () if exact else shares:
         run, to_80 = run + x, to_80 + 1
         if run >= 0.8:
             break
     band = "high" if hhi >= 0.25 else "moderate" if hhi >= 0.15 else "low"
-    rows = sum(s.rows for s in segments)
+    rows = ctx.rows if exact else sum(s.rows for s in segments)
     return _insight(
         "concentration", f"{top:.0%} of '{m.name}' comes from {k} of {n} values of '{d.name}'",
         f"'{m.name}' is unevenly spread over '{d.name}': {to_80} of {n} segments give 80%, and the largest, '{sums[0][0]}', has {shares[0]:.0%}. The Gini coefficient is {g:.2f}, the Herfindahl index {hhi:.3f} ({band} concentration).",
-        impact_of(top, g, 1.0), ctx.confidence(0.001, rows, 30, (m.column, d.column), 0.9 if cut else 1.0), [m.name, d.name],
+        impact_of(top, g, 1.0), ctx.confidence(0.001, rows, 30, (m.column, d.column), 1.0), [m.name, d.name],
         Evidence(top, "Share of the top tenth", None, None, g, "Gini", rows, [("Segments", str(n)), ("To reach 80%", str(to_80)), ("HHI", f"{hhi:.4f}"), *((v, f"{x:.1%}") for (v, _), x in zip(sums[:5], shares, strict=False))]),
-        [f"{m.name} was summed for {n} values of {d.name}: {number(total, m.unit)}."], ["Small segments beyond the limit are left out." if cut else "", "Concentration may be natural for this dimension."],
+        [f"{m.name} was summed for {n} values of {d.name}: {number(total, m.unit)}."], ["Concentration may be natural for this dimension."],
         [Step("act", f"Secure '{sums[0][0]}'", "Much depends on it."), Step("monitor", f"Track the share of the top {k}", "A rise means more dependence.")], Chart("hbar", d.name, m.name, [(m.name, sums[:10])]),
     )
 

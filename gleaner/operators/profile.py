@@ -11,10 +11,12 @@ from gleaner.functions import coerce, temporal
 from gleaner.functions.stats import MAD_SCALE
 from gleaner.model import NUMERIC, TEMPORAL, ColumnProfile, NumericStats, TemporalStats
 from gleaner.operators.dataset import Dataset
-from gleaner.operators.quantiles import quantiles
+from gleaner.functions.quantiles import quantiles
 
 THRESHOLD, INTEGRAL = 0.9, 0.99
 TOP_VALUES, SAMPLES = 12, 5
+#: First rows that sample values come from.
+HEAD = 200
 
 
 def _count(c: Column) -> Column:
@@ -44,8 +46,9 @@ def _infer(counts: DataFrame, columns: list[str]) -> dict[str, tuple[str, int, b
         "bool": coerce.boolean_of(raw).isNotNull(), "num": F.col("number").isNotNull(), "int": F.col("number") == F.floor("number"), "m": F.col("m"), "d": F.col("d"),
         "mc": F.col("m") & clock, "dc": F.col("d") & clock, "a": coerce.over_twelve(raw, 1), "b": coerce.over_twelve(raw, 2),
     }
-    sums = [F.sum(F.when(t, n).otherwise(0)).alias(k) for k, t in tests.items()]
-    found = {r["c"]: r.asDict() for r in read.groupBy("c").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("distinct"), *sums).collect()}
+    rated = read.select("c", "n", *[F.coalesce(t, F.lit(False)).alias(k) for k, t in tests.items()])
+    sums = [F.sum(F.when(F.col(k), n).otherwise(0)).alias(k) for k in tests]
+    found = {r["c"]: r.asDict() for r in rated.groupBy("c").agg(F.sum(n).alias("n"), F.count(F.lit(1)).alias("distinct"), *sums).collect()}
     return {c: _decide(c, found.get(i)) for i, c in enumerate(columns)}
 
 
@@ -171,11 +174,13 @@ def profile(ds: Dataset, columns: list[str] | None = None) -> list[ColumnProfile
             d = r.asDict()
             column = numbers[d.pop("c")]
             stats[column] = NumericStats(**d)
+    head = frame.limit(HEAD).collect()
     out = []
     for c in names:
         kind = ds.kind(c)
+        first = list(dict.fromkeys(r[c] for r in head if r[c] is not None))[:SAMPLES] or [v for v, _ in top[c][:SAMPLES]]
         out.append(ColumnProfile(
-            c, kind, ds.rows, ds.rows - known[c], distinct[c], invalid.get(c, 0), ds.day_first.get(c, False), top[c], [v for v, _ in top[c][:SAMPLES]],
+            c, kind, ds.rows, ds.rows - known[c], distinct[c], invalid.get(c, 0), ds.day_first.get(c, False), top[c], first,
             stats.get(c), temporal_stats(ds, c) if kind in TEMPORAL else None,
         ))
     return out

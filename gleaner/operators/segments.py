@@ -24,6 +24,9 @@ class Segment:
     recent: dict[str, Moments] = field(default_factory=dict)
     rows_prior: int = 0
     rows_recent: int = 0
+    #: Rows in the two halves of the calendar.
+    rows_first: int = 0
+    rows_second: int = 0
 
 
 def _number(ds: Dataset, m: Measure) -> Column:
@@ -58,12 +61,18 @@ def moments_frame(ds: Dataset, dimensions: list[Dimension], measures: list[Measu
     return out.withColumns({"d": d, "value": value}).drop(*names, "gid")
 
 
-def collect_segments(ds: Dataset, dimensions: list[Dimension], measures: list[Measure], time: str | None = None, split: datetime | None = None, most: int = 5000) -> dict[str, list[Segment]]:
-    """Segments of each dimension on the driver: the ``most`` with the most rows."""
+def collect_segments(ds: Dataset, dimensions: list[Dimension], measures: list[Measure], time: str | None = None, split: datetime | None = None, most: int = 5000, middle: datetime | None = None) -> dict[str, list[Segment]]:
+    """Segments of each dimension on the driver: those among the first ``most`` by rows
+    or by the absolute sum of some measure, so none that weighs much is left out.
+    With ``middle`` rows before and from that moment are counted, too."""
     if not dimensions:
         return {}
     frame = moments_frame(ds, dimensions, measures, time, split)
-    top = frame.withColumn("place", F.row_number().over(W.partitionBy("d").orderBy(F.col("rows").desc(), "value"))).where(F.col("place") <= most)
+    weights = [F.col("rows").cast("double"), *(F.coalesce(F.abs(F.col(f"tn{i}") * F.col(f"ta{i}")), F.lit(0.0)) for i in range(len(measures)))]
+    place = lambda w: F.row_number().over(W.partitionBy("d").orderBy(w.desc(), "value"))
+    places = frame.withColumns({f"w{k}": w for k, w in enumerate(weights)})
+    places = places.withColumns({f"place{k}": place(F.col(f"w{k}")) for k in range(len(weights))})
+    top = places.where(F.least(*[F.col(f"place{k}") for k in range(len(weights))], F.lit(1 << 30)) <= most)
     out: dict[str, list[Segment]] = {d.name: [] for d in dimensions}
     for r in top.collect():
         s = Segment(r["value"], r["rows"], rows_prior=r["rows_prior"], rows_recent=r["rows_recent"])
@@ -71,25 +80,44 @@ def collect_segments(ds: Dataset, dimensions: list[Dimension], measures: list[Me
             for part, to in (("t", s.total), ("p", s.prior), ("r", s.recent)):
                 to[m.name] = Moments.of(r[f"{part}n{i}"], r[f"{part}a{i}"], r[f"{part}v{i}"])
         out[dimensions[r["d"]].name].append(s)
+    if middle is not None:
+        known = {(dimensions[i].name, s.value): s for i, d in enumerate(dimensions) for s in out[d.name]}
+        halves = moments_frame(ds, dimensions, [], time, middle).select("d", "value", "rows", "rows_prior", "rows_recent")
+        order = W.partitionBy("d").orderBy(F.col("rows").desc(), "value")
+        for r in halves.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).collect():
+            if s := known.get((dimensions[r["d"]].name, r["value"])):
+                s.rows_first, s.rows_second = r["rows_prior"], r["rows_recent"]
     return {k: sorted(v, key=lambda s: s.value) for k, v in out.items()}
 
 
+def middle_moment(ds: Dataset, time: str) -> datetime | None:
+    """The moment half way between the first and the last."""
+    t = ds.moment(time)
+    r = ds.df.agg(F.min(t).alias("a"), F.max(t).alias("z")).first()
+    return None if r["a"] is None else r["a"] + (r["z"] - r["a"]) / 2
+
+
 def split_moment(ds: Dataset, time: str) -> tuple[datetime | None, int]:
     """(the exact element n // 2 of the ordered known moments, n).
 
-    Counts by day narrow the search to one day first; so no task orders all rows.
+    Counts by day narrow the search to one day, then to an hour, a minute and a
+    second of it: no task orders more than the moments of one second.
     """
     ts = ds.df.select(ds.moment(time).alias("t")).where(F.col("t").isNotNull())
-    days = ts.groupBy(F.date_trunc("day", "t").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    total = days.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return None, 0
-    run = days.withColumn("upto", F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, 0)))
-    day = run.where(F.col("upto") > total // 2).orderBy("day").first()
-    at = total // 2 - (day["upto"] - day["n"])
-    moments = ts.where(F.date_trunc("day", "t") == F.lit(day["day"])).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    upto = moments.withColumn("upto", F.sum("n").over(W.orderBy("t").rowsBetween(W.unboundedPreceding, 0)))
-    return upto.where(F.col("upto") > at).orderBy("t").first()["t"], total
+    at = total = None
+    for unit in ("day", "hour", "minute", "second", None):
+        counts = ts.groupBy((F.col("t") if unit is None else F.date_trunc(unit, "t")).alias("u")).agg(F.count(F.lit(1)).alias("n"))
+        if total is None:
+            total = counts.agg(F.sum("n")).first()[0] or 0
+            if not total:
+                return None, 0
+            at = total // 2
+        upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("u").rowsBetween(W.unboundedPreceding, 0)))
+        hit = upto.where(F.col("upto") > at).orderBy("u").first()
+        at -= hit["upto"] - hit["n"]
+        if unit is None:
+            return hit["u"], total
+        ts = ts.where(F.date_trunc(unit, "t") == F.lit(hit["u"]))
 
 
 def contributions(ds: Dataset, measure: Measure, dimension: Dimension, time: str, split: datetime) -> DataFrame:
@@ -159,16 +187,38 @@ def pearson_frame(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def concentration_frame(values: DataFrame) -> DataFrame:
     """One row (segments, total, top_share, hhi, gini, to_80) of ``values``
-    (segment, v) with v > 0: grouped rows, one for each segment."""
-    v = values.where(F.col("v") > 0)
-    up, down, every = W.orderBy("v", "segment"), W.orderBy(F.col("v").desc(), "segment"), W.partitionBy()
-    s = v.select("v", F.row_number().over(up).alias("i"), F.row_number().over(down).alias("place"), F.count(F.lit(1)).over(every).alias("n"), F.sum("v").over(every).alias("total"), F.sum("v").over(down.rowsBetween(W.unboundedPreceding, 0)).alias("run"))
-    share = F.col("v") / F.col("total")
-    return s.agg(
-        F.count(F.lit(1)).alias("segments"), F.max("total").alias("total"), F.sum(F.when(F.col("place") <= F.ceil(F.col("n") * 0.1), share)).alias("top_share"), F.sum(share * share).alias("hhi"),
-        (2 * F.sum(F.col("i") * F.col("v")) / (F.max("n") * F.max("total")) - (F.max("n") + 1) / F.max("n")).alias("gini"),
-        (F.count_if(F.col("run") / F.col("total") < 0.8) + 1).alias("to_80"),
+    (segment, v) with v > 0: a row for each segment, of which there may be very many.
+
+    Equal values are counted, ordered by a range exchange, and placed by prefix
+    counts and sums over partitions and inside each; no task sees all segments.
+    """
+    v, c = F.col("v"), F.col("c")
+    counts = values.where(v > 0).groupBy(v.cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist()
+    per_part = parts.groupBy("part").agg(F.sum("c").alias("pc"), F.sum(v * c).alias("ps"))
+    earlier = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row for each partition
+    every = W.partitionBy()
+    before = per_part.select("part", F.coalesce(F.sum("pc").over(earlier), F.lit(0)).alias("bc"), F.coalesce(F.sum("ps").over(earlier), F.lit(0.0)).alias("bs"), F.sum("pc").over(every).alias("n"), F.sum("ps").over(every).alias("total"))
+    inside = W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    placed = parts.withColumns({"ic": F.coalesce(F.sum("c").over(inside), F.lit(0)), "is": F.coalesce(F.sum(v * c).over(inside), F.lit(0.0))}).join(F.broadcast(before), "part")
+    n, total = F.col("n"), F.col("total")
+    smaller, less = F.col("bc") + F.col("ic"), F.col("bs") + F.col("is")
+    share = v / total
+    top = F.greatest(F.lit(0), F.least(c, smaller + c - (n - F.ceil(n * 0.1))))  # how many of these are among the top tenth
+    larger = (total - less - v * c) / total  # share of all larger values
+    reached = F.when((larger < 0.8) & (larger + share * c >= 0.8), n - smaller - c + F.ceil((0.8 - larger) / share))
+    s = placed.agg(
+        F.max("n").alias("segments"), F.max("total").alias("total"), F.sum(top * share).alias("top_share"), F.sum(c * share * share).alias("hhi"),
+        (2 * F.sum(v * c * (smaller + (c + 1) / 2)) / (F.max("n") * F.max("total")) - (F.max("n") + 1) / F.max("n")).alias("gini"),
+        F.min(reached).cast("long").alias("to_80"),
     )
+    return s.select(F.coalesce("segments", F.lit(0)).alias("segments"), "total", "top_share", "hhi", "gini", "to_80")
+
+
+def sums_by_segment(ds: Dataset, dimension: Dimension, measure: Measure) -> DataFrame:
+    """(segment, v): rows or sums of a measure, for all values of a dimension."""
+    v = F.count(F.lit(1)).cast("double") if measure.column == "*" else F.sum(ds.number(measure.column))
+    return ds.df.groupBy(F.coalesce(ds.raw(dimension.column), F.lit(EMPTY)).alias("segment")).agg(v.alias("v"))
 
 
 def stride_sample(df: DataFrame, order: str, most: int = 400) -> DataFrame:

@@ -70,11 +70,11 @@ def build(points: list[tuple[datetime, int, float | None]], grain: str, additive
     if additive and grain != "irregular" and points:
         known = {b: (n, v) for b, n, v in points}
         out, b = [], points[0][0]
-        while b <= points[-1][0] and len(out) < MAX_STEPS:
+        while b <= points[-1][0] and len(out) < MAX_STEPS:  # beyond, gaps stay gaps
             n, v = known.get(b, (0, 0.0))
             out.append((b, n, 0.0 if v is None else v))
             b = temporal.following(b, grain)
-        points = out
+        points = out + [(t, n, 0.0 if v is None else v) for t, n, v in points if t >= b]
     points = [(b, n, v) for b, n, v in points if v is not None]
     s = Series([b for b, _, _ in points], [temporal.format_label(b, grain) for b, _, _ in points], [float(v) for _, _, v in points], [n for _, n, _ in points])
     return trim(s)

@@ -22,6 +22,7 @@ from gleaner.plans.semantic import build_model
 
 log = logging.getLogger(__name__)
 
+#: Limits and weights of a run.
 MAX_HYPOTHESES, MAX_INSIGHTS = 220, 14
 LEAST_CONFIDENCE, LEAST_SCORE = 0.25, 0.04
 SAME, FAMILIAR, FADE = 0.65, 0.3, 0.8
@@ -94,6 +95,7 @@ class Collected:
     series: dict[tuple[str, str], dict[str, series.Series]] = field(default_factory=dict)
     segments: dict[str, list[segments.Segment]] = field(default_factory=dict)
     pairs: dict[tuple[str, str], tuple[int, float | None, float | None, list]] = field(default_factory=dict)
+    shares: dict[tuple[str, str], dict] = field(default_factory=dict)
     jobs: int = 0
 
 
@@ -115,8 +117,15 @@ def collect(ds: Dataset, chosen: list[Hypothesis]) -> Collected:
         used = [m for m in model.measures if any(h.params.get("measure") == m.name and "dimension" in h.params for h in chosen)]
         axis = model.times[0].column if model.times and any(h.kind == "driver" for h in chosen) else None
         split = segments.split_moment(ds, axis)[0] if axis else None
-        out.segments = segments.collect_segments(ds, wanted, used, axis, split)
-        out.jobs += 2
+        counted = axis is not None and any(h.kind == "driver" and measures[h.params["measure"]].column == "*" for h in chosen)
+        out.segments = segments.collect_segments(ds, wanted, used, axis, split, middle=segments.middle_moment(ds, axis) if counted else None)
+        out.jobs += 2 + counted
+        for h in chosen:  # dimensions with more values than are listed: exact figures over all
+            if h.kind == "concentration":
+                m, d = measures[h.params["measure"]], next(d for d in wanted if d.name == h.params["dimension"])
+                if d.cardinality > len(out.segments[d.name]):
+                    out.shares[m.name, d.name] = segments.concentration_frame(segments.sums_by_segment(ds, d, m)).first().asDict()
+                    out.jobs += 1
     pairs = [(h.params["a"], h.params["b"]) for h in chosen if h.kind == "correlation"]
     if pairs:
         names = list(dict.fromkeys(n for p in pairs for n in p))
@@ -135,10 +144,10 @@ def collect(ds: Dataset, chosen: list[Hypothesis]) -> Collected:
 
 
 def scatter(ds: Dataset, a: str, b: str, most: int = 400) -> list[tuple[float, float]]:
-    """A bounded sample of the pairs of two measures: those with the least hashes."""
+    """A bounded sample of the pairs of two measures, at equal strides along the first."""
     columns = {m.name: m.column for m in ds.model.measures}
     pairs = ds.df.select(ds.number(columns[a]).alias("a"), ds.number(columns[b]).alias("b")).dropna()
-    return [tuple(r) for r in pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(most).collect()]
+    return [tuple(r) for r in segments.stride_sample(pairs, "a", most).orderBy("a", "b").collect()]
 
 
 def test(ds: Dataset, h: Hypothesis, c: Collected, ctx: analyzers.Context) -> Insight | None:
@@ -156,7 +165,7 @@ def test(ds: Dataset, h: Hypothesis, c: Collected, ctx: analyzers.Context) -> In
         case "comparison":
             return analyzers.comparison(ctx, m, dimension, c.segments[dimension.name])
         case "concentration":
-            return analyzers.concentration(ctx, m, dimension, c.segments[dimension.name], dimension.cardinality > len(c.segments[dimension.name]))
+            return analyzers.concentration(ctx, m, dimension, c.segments[dimension.name], c.shares.get((m.name, dimension.name)))
         case "correlation":
             n, r, rho, points = c.pairs[h.params["a"], h.params["b"]]
             return analyzers.correlation(ctx, measures[h.params["a"]], measures[h.params["b"]], n, r, rho, points)

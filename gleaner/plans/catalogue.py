@@ -217,13 +217,23 @@ def profile_temporal_grain(spark, sf_dir):
     return out.select("n", F.floor("median_gap_us").cast("double").alias("median_gap_us"), grain.alias("grain"))
 
 
-@query("infer_types")
+def _infer_sql(name: str, columns: list[str]) -> str:
+    """The rules for plain texts: ISO dates, booleans, then numbers with a point."""
+    one = """SELECT '{c}' AS "column", CASE WHEN dates >= greatest(2, 0.9 * n) THEN 'date' WHEN bools >= 0.9 * n THEN 'boolean' WHEN nums >= 0.9 * n AND ints >= 0.99 * greatest(1, nums) THEN 'integer' WHEN nums >= 0.9 * n THEN 'number' WHEN d <= greatest(50, 0.5 * n) THEN 'category' ELSE 'text' END AS logical_type,
+    rows, rows - n AS nulls, d AS distinct_values, CASE WHEN dates >= greatest(2, 0.9 * n) THEN n - dates WHEN bools >= 0.9 * n THEN n - bools WHEN nums >= 0.9 * n THEN n - nums ELSE 0 END AS invalid, CAST((rows - n) / rows AS DOUBLE) AS null_rate, d / n::DOUBLE AS cardinality_ratio
+    FROM (SELECT count(*) AS rows, count(v) AS n, count(DISTINCT v) AS d, count_if(lower(v) IN ('true', 'yes', 'y', '1', 't', 'false', 'no', 'n', '0', 'f')) AS bools, count_if(regexp_full_match(v, '-?[0-9]*[.]?[0-9]+')) AS nums,
+    count_if(regexp_full_match(v, '-?[0-9]+([.]0+)?')) AS ints, count_if(regexp_full_match(v, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) AS dates FROM (SELECT CAST({c} AS VARCHAR) AS v FROM {t}))"""
+    return " UNION ALL ".join(one.format(c=c, t=name) for c in columns)
+
+
+@query("infer_types", _infer_sql("customer", ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]))
 def infer_types(spark, sf_dir):
     df = table(spark, sf_dir, "customer")
     ds = Dataset("customer", df.select(*[F.col(c).cast("string").alias(c) for c in df.columns]))
     return profile.profile_frame(spark, profile.profile(ds))
 
 
+#: Texts and what they must be read as.
 _NUMBERS = ["1 234,56", "1,234.56", "1.234,56", "$1,200", "(500)", "12,5%", "1,234", "1,23", "text", "", "-7", "+7", "1e3", "0,125", "1.234.567", "5.", ".5", "(-3)", "NaN", "1d"]
 _NUMBER_VALUES = [1234.56, 1234.56, 1234.56, 1200, -500, 0.125, 1234, 1.23, None, None, -7, 7, 1000, 125, None, None, 0.5, 3, None, None]
 
@@ -249,7 +259,14 @@ def coerce_date_suite(spark, sf_dir):
     return df.select("raw", F.date_format(coerce.date_of(F.col("raw"), True), "yyyy-MM-dd HH:mm:ss").alias("value"))
 
 
-@query("semantic_model_df")
+@query(
+    "semantic_model_df",
+    """WITH s AS (SELECT 'o_orderkey' AS c, 'n' AS k, count(DISTINCT o_orderkey) AS d, count(*) AS n FROM orders UNION ALL SELECT 'o_custkey', 'n', count(DISTINCT o_custkey), count(*) FROM orders UNION ALL SELECT 'o_totalprice', 'n', count(DISTINCT o_totalprice), count(*) FROM orders
+    UNION ALL SELECT 'o_orderstatus', 't', count(DISTINCT o_orderstatus), count(*) FROM orders UNION ALL SELECT 'o_orderpriority', 't', count(DISTINCT o_orderpriority), count(*) FROM orders),
+    g AS (SELECT quantile_cont(gap, 0.5) / 3.6e9 AS hours FROM (SELECT us - lag(us) OVER (ORDER BY us) AS gap FROM (SELECT DISTINCT epoch_us(o_orderdate) AS us FROM orders)))
+    SELECT 'measure' AS role, 'row_count' AS name, '*' AS "column", 'count' AS detail, true AS additive UNION ALL SELECT 'measure', c, c, 'sum', true FROM s WHERE k = 'n' AND d > 12
+    UNION ALL SELECT 'dimension', c, c, NULL, NULL FROM s WHERE k = 't' AND d <= greatest(50, 0.5 * n) UNION ALL SELECT 'time', 'o_orderdate', 'o_orderdate', CASE WHEN hours < 2 THEN 'hour' WHEN hours < 48 THEN 'day' WHEN hours < 240 THEN 'week' WHEN hours < 1080 THEN 'month' WHEN hours < 3120 THEN 'quarter' WHEN hours < 12000 THEN 'year' ELSE 'irregular' END, NULL FROM g""",
+)
 def semantic_model_df(spark, sf_dir):
     from gleaner.plans.semantic import build_model
 
@@ -438,14 +455,31 @@ def pair_sample_stride(spark, sf_dir):
 _TS = [(2.228, 10.0), (1.96, 1e6), (0.0, 5.0), (-3.5, 30.0), (12.0, 3.0)]
 
 
-@query("student_t_pvalue")
+#: Integrals of the densities by Simpson's rule, from the value to infinity.
+_SIMPSON = "sum(y * CASE WHEN i % 2 = 1 THEN 4 ELSE 2 END) / 3 / 20000"
+
+
+@query(
+    "student_t_pvalue",
+    f"""WITH v AS (SELECT CAST(t AS DOUBLE) AS t, CAST(df AS DOUBLE) AS df FROM {_values_sql(_TS, 't, df')}), g AS (SELECT t, df, i, abs(t) + u / (1 - u) AS x, u, exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) AS c FROM (SELECT t, df, i, i / 20000::DOUBLE AS u FROM v, range(1, 20000) r(i))),
+    f AS (SELECT t, df, i, c * exp(-(df + 1) / 2 * ln(1 + x * x / df)) / ((1 - u) * (1 - u)) AS y, c FROM g)
+    SELECT t, df, round(2 * ({_SIMPSON} + max(c) * exp(-(df + 1) / 2 * ln(1 + t * t / df)) / 3 / 20000), 6) AS p FROM f GROUP BY t, df""",
+)
 def student_t_pvalue(spark, sf_dir):
-    return spark.createDataFrame([(t, df, round(stats.t_two_sided(t, df), 9)) for t, df in _TS], "t double, df double, p double")
+    return spark.createDataFrame([(t, df, round(stats.t_two_sided(t, df), 6)) for t, df in _TS], "t double, df double, p double")
+
+
+_CHI = [(3.841, 1.0), (5.991, 2.0), (0.0, 3.0), (30.0, 10.0)]
 
 
-@query("chi_square_pvalue")
+@query(
+    "chi_square_pvalue",
+    f"""WITH v AS (SELECT CAST(x AS DOUBLE) AS x0, CAST(df AS DOUBLE) AS df FROM {_values_sql(_CHI, 'x, df')}), g AS (SELECT x0, df, i, x0 + u / (1 - u) AS x, u, -lgamma(df / 2) - df / 2 * ln(2) AS c FROM (SELECT x0, df, i, i / 20000::DOUBLE AS u FROM v, range(1, 20000) r(i))),
+    f AS (SELECT x0, df, i, exp(c + (df / 2 - 1) * ln(x) - x / 2) / ((1 - u) * (1 - u)) AS y, c FROM g)
+    SELECT x0 AS x, df, round({_SIMPSON} + CASE WHEN x0 > 0 THEN exp(max(c) + (df / 2 - 1) * ln(greatest(x0, 1e-300)) - x0 / 2) / 3 / 20000 ELSE 0 END, 6) AS p FROM f GROUP BY x0, df""",
+)
 def chi_square_pvalue(spark, sf_dir):
-    rows = [(x, df, round(stats.chi_square_p(x, df), 9)) for x, df in ((3.841, 1.0), (5.991, 2.0), (0.0, 3.0), (30.0, 10.0))]
+    rows = [(x, df, round(stats.chi_square_p(x, df), 6)) for x, df in _CHI]
     return spark.createDataFrame(rows, "x double, df double, p double")
 
 
@@ -463,27 +497,48 @@ def quality_nulls_dups(spark, sf_dir):
     return quality.duplicates(dirty).join(F.broadcast(counts)).select("rows", "nulls", "duplicate_rows")
 
 
-@query("jaccard_dedupe")
+_SETS = [["revenue", "region"], ["revenue", "region", "EMEA"], ["seats"], ["revenue"], []]
+
+
+@query(
+    "jaccard_dedupe",
+    f"""WITH m AS (SELECT i, w FROM {_values_sql([(i, w) for i, s in enumerate(_SETS) for w in s], 'i, w')}), n AS (SELECT i, (SELECT count(*) FROM m WHERE m.i = r.i) AS k FROM range({len(_SETS)}) r(i))
+    SELECT CAST(x.i AS INTEGER) AS a, CAST(y.i AS INTEGER) AS b, round(CASE WHEN x.k = 0 OR y.k = 0 THEN 0.0 ELSE c / (x.k + y.k - c)::DOUBLE END, 6) AS similarity
+    FROM (SELECT x.i, x.k, y.i AS j, y.k AS l, (SELECT count(*) FROM m p JOIN m q ON p.w = q.w WHERE p.i = x.i AND q.i = y.i) AS c FROM n x JOIN n y ON x.i < y.i) z JOIN n x ON x.i = z.i JOIN n y ON y.i = z.j""",
+)
 def jaccard_dedupe(spark, sf_dir):
-    sets = [["revenue", "region"], ["revenue", "region", "EMEA"], ["seats"], ["revenue"], []]
+    sets = _SETS
     rows = [(i, j, round(agent.jaccard(set(a), set(b)), 6)) for i, a in enumerate(sets) for j, b in enumerate(sets) if i < j]
     return spark.createDataFrame(rows, "a int, b int, similarity double")
 
 
-@query("json_flatten_props", "SELECT event_id, " + ", ".join(f"json_extract_string(props, '$.{k}') AS \"props.{k}\"" for k in ("page",)) + " FROM events")
+@query("json_flatten_props", "SELECT event_id, " + ", ".join(f"json_extract_string(props, '$.{k}') AS \"props.{k}\"" for k in ("k",)) + " FROM events")
 def json_flatten_props(spark, sf_dir):
     from gleaner.sources.text import flatten_json
 
-    return flatten_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", "page string")
+    return flatten_json(table(spark, sf_dir, "events").select("event_id", "props"), "props", "k string")
 
 
 # Runs
 
 
-@query("hypotheses")
+_ORDERS_SQL = """m AS (SELECT * FROM (VALUES (1, 'row_count', false, true, 0.65), (2, 'revenue', true, false, 0.8), (3, 'customers', false, false, 0.5)) AS t(i, name, additive, counts, p)),
+    d AS (SELECT * FROM (VALUES (1, 'priority', 5, true), (2, 'status', 3, true), (3, 'customer', 1500, false)) AS t(j, name, n, groupable)), g AS (SELECT * FROM (VALUES (1, 'day'), (2, 'week')) AS t(k, grain))"""
+
+
+@query(
+    "hypotheses",
+    f"""WITH {_ORDERS_SQL}, h AS (SELECT 1 AS s, i, k, 0 AS b, 'trend' AS kind, concat('Does ''', name, ''' change steadily along ''order_date'' by ', grain, '?') AS question, p * 0.9 AS priority FROM m, g
+    UNION ALL SELECT 1, i, k, 1, 'anomaly', concat('Are there odd periods of ''', name, ''' by ', grain, ' of ''order_date''?'), p * 0.9 * 0.85 FROM m, g
+    UNION ALL SELECT 2, i, j, 0, 'driver', concat('Which values of ''', d.name, ''' move ''', m.name, '''?'), p FROM m, d WHERE groupable AND n BETWEEN 2 AND 20
+    UNION ALL SELECT 3, i, j, 0, 'comparison', concat('Does ''', m.name, ''' differ between values of ''', d.name, '''?'), p * 0.8 FROM m, d WHERE NOT counts AND groupable AND n BETWEEN 2 AND 20
+    UNION ALL SELECT 4, i, j, 0, 'concentration', concat('Does ''', m.name, ''' rest on few values of ''', d.name, '''?'), p * 0.7 FROM m, d WHERE (additive OR counts) AND n >= 5
+    UNION ALL SELECT 5, a.i, b.i, 0, 'correlation', concat('Do ''', a.name, ''' and ''', b.name, ''' vary together?'), (a.p + b.p) / 2 * 0.55 FROM m a, m b WHERE a.i < b.i AND NOT a.counts AND NOT b.counts)
+    SELECT concat(kind, '-', row_number() OVER (ORDER BY s, i, k, b)) AS id, kind, question, round(priority, 9) AS priority FROM h""",
+)
 def hypotheses(spark, sf_dir):
     found = agent.hypotheses(dataset(spark, sf_dir, "orders"))
-    return spark.createDataFrame([(h.id, h.kind, h.question, float(h.priority)) for h in found], "id string, kind string, question string, priority double")
+    return spark.createDataFrame([(h.id, h.kind, h.question, round(float(h.priority), 9)) for h in found], "id string, kind string, question string, priority double")
 
 
 @query("insights_run")

@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import temporal
+from gleaner.functions.quantiles import quantiles
 from gleaner.model import AGGREGATIONS, EMPTY, FILTERS, GRAINS, NUMERIC, TEMPORAL, Filter, Query, QueryResult, TimeAxis
 from gleaner.operators.dataset import Dataset
 from gleaner.plans import semantic
 
-DEFAULT_LIMIT, MAX_LIMIT = 500, 5000
+DEFAULT_LIMIT, MAX_LIMIT = 500, 5000  # of rendered answers
 BROADCAST_IN = 1000
 
 
@@ -106,12 +107,12 @@ def predicate(ds: Dataset, f: Filter) -> Column:
         case "not_null":
             return ds.native(column).isNotNull()
         case "eq":
-            return raw == F.lit(str(f.value))
+            return _implied(ds, column, [f.value]) & (raw == F.lit(str(f.value)))
         case "neq":
             return ~raw.eqNullSafe(F.lit(str(f.value)))
         case "in":
             values = f.value if isinstance(f.value, (list, tuple, set)) else [f.value]
-            return raw.isin([str(v) for v in values])
+            return _implied(ds, column, values) & raw.isin([str(v) for v in values])
         case "contains":
             return F.contains(F.lower(raw), F.lower(F.lit(str(f.value))))
         case "between":
@@ -126,6 +127,23 @@ def predicate(ds: Dataset, f: Filter) -> Column:
     return {"gt": x > bound, "gte": x >= bound, "lt": x < bound, "lte": x <= bound}[f.op]
 
 
+def _implied(ds: Dataset, column: str, values) -> Column:
+    """A test on the native column that equality of texts implies, for the scan: a number
+    whose text is ``v`` equals the number that ``v`` reads as."""
+    if ds.is_text(column) or ds.kind(column) not in NUMERIC:
+        return F.lit(True)
+    try:
+        numbers = [float(str(v)) for v in values]
+    except ValueError:
+        return F.lit(True)
+    if not numbers or any(not abs(x) < 2**53 for x in numbers):
+        return F.lit(True)
+    whole = all(x == int(x) for x in numbers)
+    if ds.kind(column) == "integer" and not whole:
+        return F.lit(False)
+    return ds.native(column).isin([int(x) for x in numbers] if ds.kind(column) == "integer" else numbers)
+
+
 def apply_filters(ds: Dataset, filters: list[Filter]) -> DataFrame:
     df = ds.df
     for f in filters:
@@ -146,13 +164,18 @@ class Plan:
         if query.time_grain and query.time_grain not in GRAINS:
             raise semantic.QueryError(f"There is no grain '{query.time_grain}'.", list(GRAINS))
         self.metrics: list[tuple[str, Column]] = []
+        medians: dict[int, str] = {}
         for m in query.metrics:
             found = semantic.measure(ds.model, m.measure)
             how, note = semantic.guarded(found, m.aggregation)
             if note:
                 self.notes.append(note)
             label = f"{m.aggregation or found.aggregation if found.column == '*' else how}({found.name})"
-            self.metrics.append((label, rounded(aggregate(ds, found.column, how))))
+            if how == "median" and found.column != "*":  # by prefix counts, below
+                medians[len(self.metrics)] = found.column
+                self.metrics.append((label, F.first(F.lit(None).cast("double"))))
+            else:
+                self.metrics.append((label, rounded(aggregate(ds, found.column, how))))
         self.groups: list[tuple[str, Column, bool]] = []
         for g in query.group_by:
             found = semantic.grouping(ds.model, g)
@@ -177,9 +200,15 @@ class Plan:
             for k in times:  # rows without a moment are in no period
                 found = semantic.grouping(ds.model, self.groups[k][0])
                 out = out.where(ds.moment(found.column).isNotNull())
-            out = out.groupBy(*keys).agg(*values)
+            rows, out = out, out.groupBy(*keys).agg(*values)
         else:
-            out = out.agg(F.count(F.lit(1)).alias("n"), *values).where("n > 0").drop("n")
+            rows, out = out, out.agg(F.count(F.lit(1)).alias("n"), *values).where("n > 0").drop("n")
+        for k, column in medians.items():
+            # The built-in median holds a group's values in one reducer.
+            group = F.struct(*keys) if keys else F.lit(0)
+            found = quantiles(rows.select(group.alias("c"), ds.number(column).alias("x")), [0.5]).select(F.col("c").alias("__c"), rounded(F.col("q0")).alias("__median"))
+            own = F.struct(*[F.col(f"g{i}") for i in range(len(keys))]) if keys else F.lit(0)
+            out = out.join(found, own == F.col("__c"), "left").withColumn(f"m{k}", F.col("__median")).drop("__c", "__median")
         self.frame = self._ordered(out, lenient).toDF(*labels)
 
     def _ordered(self, df: DataFrame, lenient: bool) -> DataFrame:
@@ -205,6 +234,10 @@ class Plan:
     def limited(self) -> DataFrame:
         return self.frame.limit(self.limit)
 
+    def whole(self) -> DataFrame:
+        """All rows, or as many as the query asks for itself."""
+        return self.frame.limit(self.query.limit) if self.query.limit else self.frame
+
     def explain(self, scanned: int, total: int) -> str:
         q = self.query
         parts = [", ".join(n for n, _ in self.metrics)]

@@ -11,15 +11,23 @@ MAX_GROUPABLE = 200
 DISCRETE_VALUES, DISCRETE_ROWS = 12, 50
 
 #: Substrings of column names, in either language.
-ADDITIVE = """amount revenue sales cost price total sum qty quantity count volume spend profit margin value gmv units
-orders сумма выручка продажи стоимость цена итог количество объем объём прибыль маржа заказы расход доход""".split()
-RATIO = """rate ratio percent pct share avg average mean score index conversion ctr cpc cpm roi roas nps churn
-utilization utilisation temperature age balance level days duration latency elapsed lead_time age_days доля процент
-средн коэффициент индекс конверсия рейтинг возраст баланс уровень дней длительность срок""".split()
-LOWER_IS_BETTER = """cost churn error defect latency delay complaint refund cancel bounce downtime incident loss debt
-wait failure расход затрат отток ошибк дефект задержк жалоб возврат отмен простой инцидент убыт потер ожидан сбо""".split()
-HIGHER_IS_BETTER = """revenue profit sales margin conversion retention satisfaction nps growth roi roas uptime score
-rating engagement выручка прибыль продажи маржа конверсия удержан удовлетвор рост рейтинг вовлеч""".split()
+ADDITIVE = (
+    "amount", "revenue", "sales", "cost", "price", "total", "sum", "qty", "quantity", "count", "volume", "spend", "profit", "margin", "value", "gmv", "units",
+    "orders", "сумма", "выручка", "продажи", "стоимость", "цена", "итог", "количество", "объем", "объём", "прибыль", "маржа", "заказы", "расход", "доход",
+)
+RATIO = (
+    "rate", "ratio", "percent", "pct", "share", "avg", "average", "mean", "score", "index", "conversion", "ctr", "cpc", "cpm", "roi", "roas", "nps", "churn",
+    "utilization", "utilisation", "temperature", "age", "balance", "level", "days", "duration", "latency", "elapsed", "lead_time", "age_days", "доля", "процент",
+    "средн", "коэффициент", "индекс", "конверсия", "рейтинг", "возраст", "баланс", "уровень", "дней", "длительность", "срок",
+)
+LOWER_IS_BETTER = (
+    "cost", "churn", "error", "defect", "latency", "delay", "complaint", "refund", "cancel", "bounce", "downtime", "incident", "loss", "debt",
+    "wait", "failure", "расход", "затрат", "отток", "ошибк", "дефект", "задержк", "жалоб", "возврат", "отмен", "простой", "инцидент", "убыт", "потер", "ожидан", "сбо",
+)
+HIGHER_IS_BETTER = (
+    "revenue", "profit", "sales", "margin", "conversion", "retention", "satisfaction", "nps", "growth", "roi", "roas", "uptime", "score",
+    "rating", "engagement", "выручка", "прибыль", "продажи", "маржа", "конверсия", "удержан", "удовлетвор", "рост", "рейтинг", "вовлеч",
+)
 UNITS = (
     ("USD", ("usd", "$", "dollar")), ("EUR", ("eur", "€")), ("RUB", ("rub", "₽", "руб")),
     ("%", ("percent", "pct", "%", "rate", "ratio", "доля", "процент")), ("s", ("sec", "second", "секунд")),
@@ -35,7 +43,7 @@ class QueryError(ValueError):
         self.suggestions = suggestions
 
 
-def _hinted(name: str, hints: list[str]) -> bool:
+def _hinted(name: str, hints: tuple[str, ...]) -> bool:
     return any(h in name for h in hints)
 
 
