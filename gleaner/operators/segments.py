@@ -44,21 +44,41 @@ def moments_frame(ds: Dataset, dimensions: list[Dimension], measures: list[Measu
     xs = [_number(ds, m).alias(f"x{i}") for i, m in enumerate(measures)]
     after = F.lit(None).cast("boolean") if time is None or split is None else ds.moment(time) >= F.lit(split)
     base = ds.df.select(*keys, *xs, after.alias("after"))
-    aggs = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("after")).alias("rows_prior"), F.count_if("after").alias("rows_recent")]
+    # The side of the split is one more key, so each measure has three aggregates and not nine.
+    aggs = [F.count(F.lit(1)).alias("rows")]
     for i in range(len(measures)):
         x = F.col(f"x{i}")
-        for name, value in (("t", x), ("p", F.when(~F.col("after"), x)), ("r", F.when(F.col("after"), x))):
-            aggs += [F.count(value).alias(f"{name}n{i}"), F.avg(value).alias(f"{name}a{i}"), F.var_samp(value).alias(f"{name}v{i}")]
+        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.var_samp(x).alias(f"v{i}")]
     names = [f"k{i}" for i in range(len(dimensions))]
-    out = base.groupingSets([[F.col(n)] for n in names], *[F.col(n) for n in names]).agg(*aggs, F.grouping_id().alias("gid"))
-    # Bit i from the left is 0 for the dimension of the set.
-    full = (1 << len(names)) - 1
+    out = base.groupingSets([[F.col(n), F.col("after")] for n in names], *[F.col(n) for n in names], F.col("after")).agg(*aggs, F.grouping_id().alias("gid"))
+    # Of the bits, the last is the side's; that of a set's own dimension is 0.
+    full = (1 << (len(names) + 1)) - 2
     d = F.lit(None).cast("int")
     value = F.lit(None).cast("string")
     for i, n in enumerate(names):
-        own = F.col("gid") == full ^ (1 << (len(names) - 1 - i))
+        own = F.col("gid") == full ^ (1 << (len(names) - i))
         d, value = F.when(own, F.lit(i)).otherwise(d), F.when(own, F.col(n)).otherwise(value)
-    return out.withColumns({"d": d, "value": value}).drop(*names, "gid")
+    sides = out.withColumns({"d": d, "value": value})
+    prior, recent = ~F.col("after"), F.col("after")
+    merged = [F.sum("rows").alias("rows"), F.sum(F.when(prior, F.col("rows")).otherwise(0)).alias("rows_prior"), F.sum(F.when(recent, F.col("rows")).otherwise(0)).alias("rows_recent")]
+    for i in range(len(measures)):
+        for name, side in (("p", prior), ("r", recent)):
+            merged += [F.coalesce(F.max(F.when(side, F.col(f"n{i}"))), F.lit(0)).alias(f"{name}n{i}"), F.max(F.when(side, F.col(f"a{i}"))).alias(f"{name}a{i}"), F.max(F.when(side, F.col(f"v{i}"))).alias(f"{name}v{i}")]
+        merged.append(F.collect_list(F.struct(F.col(f"n{i}").cast("double").alias("n"), F.coalesce(f"a{i}", F.lit(0.0)).alias("m"), (F.coalesce(f"v{i}", F.lit(0.0)) * (F.col(f"n{i}") - 1)).alias("s"))).alias(f"t{i}"))
+    grouped = sides.groupBy("d", "value").agg(*merged)  # at most three rows for each segment
+    for i in range(len(measures)):
+        t = F.aggregate(f"t{i}", F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s")), _merge)
+        grouped = grouped.withColumn(f"t{i}", t)
+        n = F.col(f"t{i}.n")
+        grouped = grouped.withColumns({f"tn{i}": n.cast("long"), f"ta{i}": F.when(n > 0, F.col(f"t{i}.m")), f"tv{i}": F.when(n > 1, F.col(f"t{i}.s") / (n - 1))})
+    return grouped.drop(*[f"t{i}" for i in range(len(measures))])
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """Count, mean and sum of squared deviations of two groups together."""
+    n, gap = a["n"] + b["n"], b["m"] - a["m"]
+    both = F.struct(n.alias("n"), (a["m"] + gap * b["n"] / n).alias("m"), (a["s"] + b["s"] + gap * gap * a["n"] * b["n"] / n).alias("s"))
+    return F.when(b["n"] == 0, a).when(a["n"] == 0, F.struct(b["n"].alias("n"), b["m"].alias("m"), b["s"].alias("s"))).otherwise(both)
 
 
 def collect_segments(ds: Dataset, dimensions: list[Dimension], measures: list[Measure], time: str | None = None, split: datetime | None = None, most: int = 5000, middle: datetime | None = None) -> dict[str, list[Segment]]:

@@ -192,11 +192,13 @@ def to_frame(spark: SparkSession, parsed: Parsed) -> DataFrame:
 # Files
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = False) -> tuple[DataFrame, list[str]]:
+def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encoding: str = "UTF-8", multi_line: bool = False, count_ragged: bool = True) -> tuple[DataFrame, list[str]]:
     """(frame of text columns, warnings) of delimited files of any size.
 
     The first lines give the separator and the names; Spark splits and parses
     the rest in parallel. ``multi_line`` reads quoted line ends, a file a task.
+    ``count_ragged`` takes a pass to warn of rows with other numbers of fields. A
+    quote inside a field that does not start with one is a character like any other.
     """
     head = [r["value"] for r in spark.read.text(path).where(F.trim("value") != "").limit(SNIFF_LINES).collect()]
     if not head:
@@ -206,7 +208,15 @@ def read_delimited(spark: SparkSession, path: str, sep: str | None = None, encod
     names, warnings = header(records(head[0], sep)[0])
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))])
     # The schema has the files' width, so short rows are filled with null and long ones cut.
-    df = spark.read.schema(schema).csv(path, sep=sep, header=True, enforceSchema=True, quote='"', escape='"', multiLine=multi_line, encoding=encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    options = dict(sep=sep, header=True, enforceSchema=True, quote='"', escape='"', multiLine=multi_line, encoding=encoding, mode="PERMISSIVE", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = spark.read.schema(schema).csv(path, **options)
+    if count_ragged:
+        marked = T.StructType([*schema.fields, T.StructField("__ragged", T.StringType())])
+        rows = spark.read.schema(marked).csv(path, columnNameOfCorruptRecord="__ragged", **options)
+        # All columns are asked for, so that none is pruned before fields are counted.
+        n = rows.agg(F.count_if(F.col("__ragged").isNotNull()).alias("n"), F.max(F.hash(*[f"c{i}" for i in range(len(names))]))).first()["n"]
+        if n:
+            warnings.append(f"{n} rows have another number of fields than the header.")
     return df.select(*[without_null_tokens(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)]), warnings
 
 

@@ -37,6 +37,11 @@ def test_against_sql(spark, db, name):
     assert mine or name == "global_agg_empty"
 
 
+def test_flattened_values_are_there(spark):
+    rows = catalogue.QUERIES["json_flatten_props"](spark, SF)
+    assert rows.columns == ["event_id", "props.k"] and rows.where("`props.k` is null").count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL)))
 def test_runs(spark, name):
     assert catalogue.QUERIES[name](spark, SF).count() > 0

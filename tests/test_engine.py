@@ -98,6 +98,22 @@ def test_persistence(spark, tmp_path):
     assert again.delete_dataset(key) and not Engine(spark, home).reload()
 
 
+def test_findings_and_profiles_survive_a_reload(spark, tmp_path):
+    from gleaner.api import render_report
+
+    home = f"file://{tmp_path}"
+    engine = Engine(spark, home)
+    first = engine.add_frame(samples.SAMPLES["retail"](spark), "retail")
+    second = engine.add_frame(spark.range(5).toDF("x"), "later")
+    profiles = engine.profile_dataset(first)
+    summary = engine.analyze_dataset(first)
+    again = Engine(spark, home)
+    assert again.reload() == [first, second] and [x["id"] for x in again.list_datasets()] == [second, first]
+    assert len(summary.insights) > 3 and again.get_insights(first) == engine.get_insights(first)
+    assert again.dataset(first).profiles == profiles and again.profile_dataset(first) == profiles
+    assert render_report(summary)
+
+
 def test_quality(spark):
     dirty = Engine(spark)
     d = dirty.datasets[dirty.upload_dataset("id,value,category\n1,10,a\n2,,b\n3,,a\n4,40,b\n4,,a\n4,,a\n")]
@@ -217,7 +233,7 @@ def test_quantiles_match_percentile(spark):
     import random
 
     from gleaner.functions import stats
-    from gleaner.operators.quantiles import quantiles
+    from gleaner.functions.quantiles import quantiles
 
     rng = random.Random(4)
     values = {0: [rng.choice([1.0, 2.0, 2.0, 7.5]) for _ in range(301)], 1: [rng.random() for _ in range(1000)], 2: [5.0], 3: [1.0, 2.0]}
@@ -229,6 +245,80 @@ def test_quantiles_match_percentile(spark):
         assert got[c] == pytest.approx([stats.percentile(xs, q) for q in qs])
 
 
+def test_large_sums_are_kept_and_shares_are_of_all(spark):
+    """Values with few rows and a large sum stay; concentration is exact beyond what is listed."""
+    import random
+
+    from gleaner.functions import stats
+    from gleaner.model import Dimension, Measure
+
+    rng = random.Random(3)
+    rows = [(f"k{i:03d}", round(rng.paretovariate(1.1), 3)) for i in range(300) for _ in range(2)] + [("rare", 9000.0)] + [(f"k{i:03d}", 1.0) for i in range(5) for _ in range(9)]
+    ds = Dataset("t", spark.createDataFrame(rows, "k string, v double"))
+    d, m = Dimension("k", "k", 301), Measure("v", "v", "sum", True)
+    kept = {x.value for x in segments.collect_segments(ds, [d], [m], most=5)["k"]}
+    assert "rare" in kept and {f"k{i:03d}" for i in range(5)} <= kept and len(kept) <= 10
+    sums: dict[str, float] = {}
+    for k, v in rows:
+        sums[k] = sums.get(k, 0.0) + v
+    values = sorted(sums.values(), reverse=True)
+    total, n, run = sum(values), len(values), 0.0
+    got = segments.concentration_frame(segments.sums_by_segment(ds, d, m)).first().asDict()
+    to_80 = next(i + 1 for i in range(n) if (run := run + values[i]) >= 0.8 * total)
+    want = {"segments": n, "total": total, "top_share": sum(values[: -(-n // 10)]) / total, "hhi": sum((v / total) ** 2 for v in values), "gini": stats.gini(values), "to_80": to_80}
+    assert got == {k: pytest.approx(v) for k, v in want.items()}
+    same = spark.createDataFrame([(str(i), 2.0) for i in range(40)], "segment string, v double")
+    even = segments.concentration_frame(same).first()
+    assert (even["segments"], even["top_share"], even["to_80"]) == (40, pytest.approx(0.1), 32) and even["gini"] == pytest.approx(0)
+    assert segments.concentration_frame(same.where("v > 5")).first()["segments"] == 0
+
+
+def test_medians_and_equality(spark, tmp_path):
+    """Grouped medians without a reducer that holds a group; equality on numbers reaches the scan."""
+    import statistics
+
+    from gleaner.model import Dimension, Filter, Measure, Metric, Query, SemanticModel
+    from gleaner.plans.query import Plan
+
+    rows = [(i % 3 if i % 7 else None, i * 37 % 101 / 4, i % 5) for i in range(400)] + [(9, None, 1)]
+    spark.createDataFrame(rows, "g int, x double, k int").write.parquet(f"{tmp_path}/t")
+    model = SemanticModel([Measure("x", "x", "avg", False), Measure("row_count", "*", "count")], [Dimension("g", "g", 4), Dimension("k", "k", 5)])
+    ds = Dataset("t", spark.read.parquet(f"{tmp_path}/t"), model=model)
+    plan = Plan(ds, Query([Metric("x", "median"), Metric("row_count")], ["g"]))
+    got = {r[0]: (r[1], r[2]) for r in plan.frame.collect()}
+    for g in (0, 1, 2, None):
+        own = [x for a, x, _ in rows if a == g]
+        assert got[str(g) if g is not None else "(empty)"] == (pytest.approx(statistics.median(own)), len(own))
+    assert got["9"][0] is None and "percentile" not in plan.frame._jdf.queryExecution().toString()
+    assert Plan(ds, Query([Metric("x", "median")])).frame.first()[0] == pytest.approx(statistics.median([x for _, x, _ in rows if x is not None]))
+    for f, where in ((Filter("k", "eq", 3), "k = 3"), (Filter("k", "in", [1, "2"]), "k in (1, 2)"), (Filter("x", "eq", "2.5"), "x = 2.5"), (Filter("k", "eq", "3.0"), "false"), (Filter("k", "eq", "x"), "false")):
+        plan = Plan(ds, Query([Metric("row_count")], [], None, [f]))
+        assert sum(r[0] for r in plan.frame.collect()) == ds.df.where(where).count()
+        if where not in ("false",):
+            assert "PushedFilters: [" in (text := plan.frame._jdf.queryExecution().executedPlan().toString()) and "(k," in text + "(k," and ("EqualTo" in text or "In(" in text)
+
+
+def test_lazy_queries_have_no_limit(spark):
+    from gleaner.model import Metric, Query
+
+    engine = Engine(spark)
+    key = engine.add_frame(spark.range(6000).selectExpr("cast(id as string) as name", "1.5 as v"), "wide")
+    model = engine.get_semantic_model(key)
+    from gleaner.model import Dimension
+
+    model.dimensions = [Dimension("name", "name", 6000)]
+    assert engine.query_frame(key, Query([Metric("row_count")], ["name"])).count() == 6000
+    assert engine.query_frame(key, Query([Metric("row_count")], ["name"], limit=7)).count() == 7 and engine.query_data(key, Query([Metric("row_count")], ["name"])).truncated
+
+
+def test_rows_have_drivers(spark):
+    """A segment that grows between the halves of the calendar moves the count of rows."""
+    rows = [(f"2025-{1 + d // 28:02d}-{1 + d % 28:02d}", seg, 1.0 + (d * 7 + k) % 5) for d in range(112) for seg in ("a", "b", "c") for k in range(12 if seg == "a" and d >= 56 else 3)]
+    ds, s = analysed(spark, spark.createDataFrame(rows, "day string, segment string, value double").selectExpr("to_date(day) as day", "segment", "value"))
+    found = [x for x in s.insights if x.kind == "driver" and x.subjects[0] == "row_count"]
+    assert found and found[0].subjects[2] == "a" and found[0].evidence.p_value < 0.01
+
+
 def test_stride_sample(spark):
     df = spark.range(1000)
     assert segments.stride_sample(df, "id", 400).count() == 400 and segments.stride_sample(spark.range(10), "id", 400).count() == 10

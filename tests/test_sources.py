@@ -4,6 +4,7 @@ from gleaner.sources import text
 from pyspark.sql import functions as F
 
 
+#: Fixed values, here and below: texts and what they must be read as.
 def test_quoted_text():
     p = text.parse_delimited('name,note\n"a, b","line 1\nline ""2"""\r\nc,d\r\n\n')
     assert p.columns == ["name", "note"] and p.rows == [["a, b", 'line 1\nline "2"'], ["c", "d"]]
@@ -69,7 +70,7 @@ def test_booleans_and_names(spark):
 def test_files(spark, tmp_path):
     (tmp_path / "a.csv").write_text('﻿id;amount;id\n1;"1 000,5";x\n2;-\n3;7;y;z\n', encoding="utf-8")
     df, warnings = text.read_delimited(spark, str(tmp_path / "a.csv"))
-    assert df.columns == ["id", "amount", "id_2"] and len(warnings) == 1
+    assert df.columns == ["id", "amount", "id_2"] and len(warnings) == 2 and warnings[1].startswith("2 rows")
     assert sorted(map(tuple, df.collect())) == [("1", "1 000,5", "x"), ("2", None, None), ("3", "7", "y")]
     (tmp_path / "b.json").write_text('{"u": {"id": 1}, "t": ["a", "b"]}\n{"u": {"id": 2}, "v": true}\n')
     back = text.read_json(spark, str(tmp_path / "b.json"))
@@ -84,3 +85,11 @@ def test_driver_and_column_calendar_agree(spark, grain):
     for r in df.select("t", start.alias("b"), temporal.label(start, grain).alias("l")).collect():
         assert temporal.truncate(r["t"], grain) == r["b"] and temporal.format_label(r["b"], grain) == r["l"]
         assert temporal.truncate(temporal.following(r["b"], grain), grain) == temporal.following(r["b"], grain) > r["t"]
+
+
+def test_ragged_rows_of_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c\n1,2,3\n1,2\n1,2,3,4\n"x, y",2,3\n')
+    df, warnings = text.read_delimited(spark, str(tmp_path / "t.csv"))
+    assert [tuple(r) for r in df.collect()] == [("1", "2", "3"), ("1", "2", None), ("1", "2", "3"), ("x, y", "2", "3")]
+    assert warnings == ["2 rows have another number of fields than the header."]
+    assert text.read_delimited(spark, str(tmp_path / "t.csv"), count_ragged=False)[1] == []
