@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words in the contracts.
 SPACES = " \t\n\x0b\x0c\r"
-#: Bytes of text that a worker takes at once, and of an Arrow batch.
-SLICE_BYTES = 16 << 20
-BATCH_BYTES = 32 << 20
-BATCH_ROWS = 4000
+#: Bytes and rows of an Arrow batch between Spark and a worker. The JVM holds batches
+#: outside its heap, in buffers that it keeps and that double as they grow.
+BATCH_BYTES = 4 << 20
+BATCH_ROWS = 1000
 #: Names that Spark and Arrow give to the same kinds of stores.
 SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 WORD = r"[^\x20\x09-\x0D]+"
@@ -31,8 +32,8 @@ SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
 SPAN_BLOCK, CHUNK = 128, 512
 
 
-#: Folders that this driver has made, oldest first.
-_made: list[str] = []
+#: Folders that this thread of the driver has made, oldest first.
+_own = threading.local()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -48,13 +49,13 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = "file://" + tempfile.mkdtemp(prefix="gleaner-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _made.append(path)
+    _own.made = [*made(), path]
     return path
 
 
 def made() -> list[str]:
-    """Folders made so far and not removed, oldest first."""
-    return list(_made)
+    """Folders that this thread made so far and did not remove, oldest first."""
+    return list(getattr(_own, "made", []))
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -64,8 +65,7 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
     for path in paths:
         own = jvm.org.apache.hadoop.fs.Path(path)
         own.getFileSystem(conf).delete(own, True)
-        if path in _made:
-            _made.remove(path)
+    _own.made = [p for p in made() if p not in paths]
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -104,7 +104,27 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+def tidy(run):
+    """``run`` for ``mapInArrow``, after which the worker gives freed memory back: it
+    waits for its next task beside a JVM that needs it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` with about ``most`` bytes of text each, a row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     groups = np.cumsum(sizes) // most
@@ -114,6 +134,24 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
             yield batch.slice(a, b - a)
 
 
+def parts(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """``batches`` put together and taken apart to about ``most`` bytes of text each."""
+    held, size = [], 0
+    for b in batches:
+        for own in slices(b, column, most):
+            held.append(own)
+            size += own.nbytes
+            if size >= most:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
     """A store that the executors share, with the path in it, by the URI that Spark uses."""
     uri = uri if "://" in uri else "file://" + uri.removeprefix("file:")

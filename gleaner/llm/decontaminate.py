@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import file_system, publish, scratch, slices, small_batches
+from gleaner.llm.common import file_system, parts, publish, scratch, small_batches, tidy
 
 WINDOW = 10
 #: Text bytes of one automaton, about; bytes of automata that a worker keeps; and of
@@ -313,7 +313,7 @@ def _build_blocks(benchmark: DataFrame, item_column: str, window: int, most: int
         yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
     blocks = max(1, -(-total // most))
-    found = rows.repartition(blocks, F.xxhash64("t")).mapInArrow(run, "name string").collect()
+    found = rows.repartition(blocks, F.xxhash64("t")).mapInArrow(tidy(run), "name string").collect()
     return folder, sorted({r["name"] for r in found})
 
 
@@ -343,7 +343,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, item_column: str = "item_i
     docs = docs.drop(*added)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     schema = f"{fields}, `{added[0]}` bigint, `{added[1]}` array<int>, `{added[2]}` array<string>"
-    return docs.mapInArrow(_finder(folder, files, added), schema)
+    return docs.mapInArrow(tidy(_finder(folder, files, added)), schema)
 
 
 #: The matcher that this worker used last, for its next task.
@@ -360,20 +360,19 @@ def _matcher(folder: str, files: list[str]) -> Matcher:
 def _finder(folder: str, files: list[str], added: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = _matcher(folder, files)
-        for whole in batches:
-            for batch in slices(whole, "text", PART_BYTES):
-                texts = batch.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()
-                words: list[bytes] = []
-                sizes = []
-                for t in texts:
-                    own = words_of(t)
-                    words += own
-                    sizes.append(len(own))
-                hit, items = matcher.match(words, sizes)
-                bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-                runs = [_runs(hit[a:b]) if hit[a:b].any() else [] for a, b in zip(bounds, bounds[1:], strict=False)]
-                extra = [pa.array(np.array(sizes, np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(batch.columns + extra, names=[*batch.schema.names, *added])
+        for batch in parts(batches, "text", PART_BYTES):
+            texts = batch.column("text").cast(pa.string()).cast(pa.binary()).to_pylist()
+            words: list[bytes] = []
+            sizes = []
+            for t in texts:
+                own = words_of(t)
+                words += own
+                sizes.append(len(own))
+            hit, items = matcher.match(words, sizes)
+            bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+            runs = [_runs(hit[a:b]) if hit[a:b].any() else [] for a, b in zip(bounds, bounds[1:], strict=False)]
+            extra = [pa.array(np.array(sizes, np.int64)), pa.array(runs, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(batch.columns + extra, names=[*batch.schema.names, *added])
 
     return run
 
@@ -421,7 +420,7 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, most_share: float = 0.3,
     """
     columns = docs.columns
     out = find_leaks(docs, benchmark, prefix="__leak_", **options)
-    out = out.mapInArrow(_cutter(columns, most_share), docs.schema)
+    out = out.mapInArrow(tidy(_cutter(columns, most_share)), docs.schema)
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

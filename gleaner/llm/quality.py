@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gleaner.llm.common import slices, small_batches
+from gleaner.llm.common import parts, small_batches, tidy
 
 #: Fixed values of the contract.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -220,7 +220,7 @@ def sample_rules(docs: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray,
         hits = [rule.rejects(counts, list(range(len(held)))) for rule in RULES.values()]
         yield pa.RecordBatch.from_arrays([pa.array([len(t) for t in held], pa.int64()), pa.array([[bool(h[i]) for h in hits] for i in range(len(held))], pa.list_(pa.bool_()))], names=["size", "rejected"])
 
-    got = docs.select(docs["text"].cast("string").alias("text")).where("text is not null").mapInArrow(run, "size long, rejected array<boolean>").collect()
+    got = docs.select(docs["text"].cast("string").alias("text")).where("text is not null").mapInArrow(tidy(run), "size long, rejected array<boolean>").collect()
     return np.array([r["size"] for r in got], float), np.array([r["rejected"] for r in got], bool).reshape(-1, len(RULES))
 
 
@@ -247,18 +247,17 @@ def rate(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, prefix: str = "") -> D
     schema = fields + "".join(f", `{c}` {kind}" for c, kind in zip(added, kinds, strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                counts = Counts(_texts(part))
-                why = cascade(counts, order)
-                every = list(range(len(why)))
-                own = {c: counts.of(c, every) for c in COUNTS}
-                failed = RULES["few_words"].rejects(counts, every) | RULES["repeats"].rejects(counts, every)
-                kept = np.array([w is None for w in why], bool) & ~failed
-                extra = [pa.array(own[c]) for c in COUNTS] + [pa.array(failed), pa.array(kept), pa.array(why, pa.string())]
-                yield pa.RecordBatch.from_arrays(part.columns + extra, names=part.schema.names + added)
+        for part in parts(batches, "text", PART_BYTES):
+            counts = Counts(_texts(part))
+            why = cascade(counts, order)
+            every = list(range(len(why)))
+            own = {c: counts.of(c, every) for c in COUNTS}
+            failed = RULES["few_words"].rejects(counts, every) | RULES["repeats"].rejects(counts, every)
+            kept = np.array([w is None for w in why], bool) & ~failed
+            extra = [pa.array(own[c]) for c in COUNTS] + [pa.array(failed), pa.array(kept), pa.array(why, pa.string())]
+            yield pa.RecordBatch.from_arrays(part.columns + extra, names=part.schema.names + added)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def keep(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -270,9 +269,8 @@ def keep(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     order = order_rules(*sample_rules(docs, sample_rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", PART_BYTES):
-                why = cascade(Counts(_texts(part)), order)
-                yield part.filter(pa.array([w is None for w in why], pa.bool_()))
+        for part in parts(batches, "text", PART_BYTES):
+            why = cascade(Counts(_texts(part)), order)
+            yield part.filter(pa.array([w is None for w in why], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

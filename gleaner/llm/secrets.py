@@ -101,7 +101,8 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``k`` indexes KINDS. Base spans are those of the fixed patterns, leftmost
     non-overlapping for each kind; ``hits`` adds the entropy spans that touch no
-    base span. Null texts are empty. Every row gives one row, repeated ones too;
+    base span. Null texts are empty; very long ones, and those with very many
+    matches, take time in proportion. Every row gives one row, repeated ones too;
     an empty table gives none; other columns are not read.
     """
     base, more = secret_spans(text_of(docs))
@@ -112,8 +113,10 @@ def scan(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret in ``text`` replaced by ``mark``.
 
-    Overlapping spans are replaced as one. All columns stay; n_chars, if there,
-    follows the new text; texts without secrets, null ones too, stay as they are.
+    Overlapping spans are replaced as one. All columns stay, whatever their names;
+    n_chars, if there, follows the new text; texts without secrets, null and empty
+    ones too, stay as they are, and so do repeated rows. Time grows with the text,
+    however many spans it has. An empty table gives an empty one.
     """
     base, more = secret_spans(text_of(docs))
     out = docs.withColumn("__hits", F.array_sort(F.concat(base, more)))

@@ -23,7 +23,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, partitions: int | None = No
     of its bytes lies: shards differ from the equal share by one row's size at
     most. ``slot`` counts from 0 within a shard. Null ids come first; rows with
     one id are ordered by checksum and size, and repeated rows each keep a slot.
-    An empty table gives no rows. Other columns are not read.
+    A text longer than a shard's share has a shard of its own, and shards next to
+    it may be empty. An empty table gives no rows. Other columns are not read.
     """
     spark = docs.sparkSession
     text = text_of(docs)

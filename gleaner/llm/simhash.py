@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, made, remove, small_batches
+from gleaner.llm.common import cut, made, remove, small_batches, tidy
 
 BITS, SEED = 64, 42
 SHINGLE, RADIUS = 3, 2
@@ -97,7 +97,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fp = np.array([fingerprint(t or b"", shingle) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def best_cut(d: np.ndarray, radius: int) -> tuple[int, float]:
@@ -277,9 +277,9 @@ def deal(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> Data
         share = spark.createDataFrame([(k, SAMPLE * 2 ** _levels(m, shard) / m, _levels(m, shard)) for k, m in large.items()], "shard long, share double, levels int")
         seed = F.pmod(F.xxhash64("fp", "shard"), F.lit(1 << 30)) / float(1 << 30)
         sample = rows.join(F.broadcast(share), "shard").where(seed < F.col("share")).groupBy("shard", "levels").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
-        trees = {r["shard"]: (np.array(r["vantages"], np.int64).view(np.uint64), np.array(r["cuts"], np.int64)) for r in sample.mapInArrow(_builder(radius), "shard long, vantages array<long>, cuts array<long>").collect()}
+        trees = {r["shard"]: (np.array(r["vantages"], np.int64).view(np.uint64), np.array(r["cuts"], np.int64)) for r in sample.mapInArrow(tidy(_builder(radius)), "shard long, vantages array<long>, cuts array<long>").collect()}
         shared = spark.sparkContext.broadcast(trees)  # at most 2 ** LEVELS nodes for each large shard
-        dealt = cut(rows.mapInArrow(_dealer(shared, radius), "parent long, shard long, fp long"), "simhash-shards")
+        dealt = cut(rows.mapInArrow(tidy(_dealer(shared, radius)), "parent long, shard long, fp long"), "simhash-shards")
         sizes = dealt.groupBy("parent", "shard").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * shard).collect()  # a row for each shard still too large
         large = {r["shard"]: r["n"] for r in sizes if r["n"] < 0.9 * large.get(r["parent"], 0)}
         rows = dealt.select("shard", "fp")
@@ -324,7 +324,7 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> Dat
     no link lost. Fingerprints must be distinct.
     """
     rows = deal(fps, radius, shard)
-    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_searcher(radius, False), "a long, b long")
+    found = rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_searcher(radius, False)), "a long, b long")
     return cut(found.distinct(), "simhash-links")
 
 
@@ -332,7 +332,7 @@ def report(fps: DataFrame, radius: int = RADIUS, shard: int | None = None) -> Da
     """What the search of each shard takes: its points, the nodes split, the branches
     that the triangle bound pruned, pairs compared, and links of its forest."""
     rows = deal(fps, radius, shard)
-    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(_searcher(radius, True), ", ".join(f"{c} long" for c in _REPORT))
+    return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(tidy(_searcher(radius, True)), ", ".join(f"{c} long" for c in _REPORT))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -414,7 +414,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             keys = pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp), keys], names=["doc_id", "text_hash", "fp", "keys"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, text_hash long, fp long, keys array<long>")
+    return _texts(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, fp long, keys array<long>")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -533,9 +533,9 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity:
             data = [sketch_of(shingle_hashes(t, shingle)).astype("<u4").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(data, pa.binary())], names=["text_hash", "sketch"])
 
-    sketches = cut(texts.mapInArrow(run, "text_hash long, sketch binary"), "simhash-sketches")
+    sketches = cut(texts.mapInArrow(tidy(run), "text_hash long, sketch binary"), "simhash-sketches")
     met = members.select("key", "text_hash").join(sketches, "text_hash").select("key", F.struct("text_hash", "sketch").alias("x"))
-    return cut(met.repartition("key").sortWithinPartitions("key").mapInArrow(_confirmer(similarity), "a long, b long").distinct(), "simhash-similar")
+    return cut(met.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_confirmer(similarity)), "a long, b long").distinct(), "simhash-similar")
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:

@@ -29,7 +29,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut, file_system, publish, scratch, slices, small_batches
+from gleaner.llm.common import cut, file_system, parts, publish, scratch, small_batches, tidy
 
 MAGIC = b"GLTOK2\0\0"
 END_ID = 1
@@ -41,7 +41,10 @@ LANES = 4096
 BLOCK_IDS, PART_IDS = 1 << 20, 1 << 18
 MANIFEST_FILES = 8
 #: Bytes of text that are split into words at once.
-PART_BYTES = 4 << 20
+PART_BYTES = 8 << 20
+#: The same where tokens are only counted, and the words in the table: counting goes
+#: on beside other stages, whose JVM has grown.
+COUNT_BYTES, COUNT_MOST = 2 << 20, 150_000
 #: Ids are held as uint16 between the stages.
 MOST_IDS = 1 << 16
 
@@ -223,7 +226,7 @@ class Tokens:
     one call, and the vocabulary's word-end mark tells their ids apart.
     """
 
-    MOST = 300_000
+    MOST = 600_000
     STOPS = ".,;:!?"
     #: Letters that NFC leaves alone and that have one lower case wherever they stand.
     LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+$"
@@ -381,16 +384,16 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
-        for b in batches:
-            for part in slices(b, "text", PART_BYTES):
-                ids, sizes = own.encode(part.column("text"))
-                ends = np.cumsum(sizes)
-                data = np.insert(ids, ends, end_id).astype("<u2")
-                offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(ends) + 1))]).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1), packed], names=["doc_id", "n_tokens", "ids"])
+        own.MOST = Tokens.MOST
+        for part in parts(batches, "text", PART_BYTES):
+            ids, sizes = own.encode(part.column("text"))
+            ends = np.cumsum(sizes)
+            data = np.insert(ids, ends, end_id).astype("<u2")
+            offsets = np.concatenate([[0], 2 * (ends + np.arange(1, len(ends) + 1))]).astype(np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes + 1), packed], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
 def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
@@ -403,11 +406,12 @@ def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
-        for b in batches:
-            for part in slices(b, "text", PART_BYTES):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
+        own.MOST = COUNT_MOST
+        for part in parts(batches, "text", COUNT_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
+        own.clear()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long")
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,13 +489,13 @@ def write_tokens(docs: DataFrame, path: str, base: str | None = None, end_id: in
     store, root = file_system(base)
     store.create_dir(root, recursive=True)
     ids = cut(tokenize(docs, path, end_id), "token-ids")
-    rows = ids.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
+    rows = ids.select("ids").mapInArrow(tidy(_count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # at most the vocabulary
     counts = np.zeros(MOST_IDS, np.int64)
     for r in rows:
         counts[r["id"]] = r["n"]
     shared = spark.sparkContext.broadcast(scale_counts(counts))  # bounded by the vocabulary
     ordered = ids.repartitionByRange("doc_id", "n_tokens", F.crc32("ids")).sortWithinPartitions("doc_id", "n_tokens", F.crc32("ids"))
-    ordered.select("doc_id", "ids").mapInArrow(_writer(shared, base), "file string").agg(F.count(F.lit(1))).collect()
+    ordered.select("doc_id", "ids").mapInArrow(tidy(_writer(shared, base)), "file string").agg(F.count(F.lit(1))).collect()
     return base
 
 
@@ -557,11 +561,11 @@ def read_tokens(spark: SparkSession, base: str, with_ids: bool = True) -> DataFr
     listed = [(f.base_name,) for f in store.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".gltok") and not f.base_name.startswith(".")]
     parts = max(1, min(len(listed), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     files = spark.createDataFrame(sorted(listed), "file string").repartition(parts, "file")
-    blocks = cut(files.mapInArrow(_footers(base), "file string, block long, ids long").coalesce(MANIFEST_FILES), "token-blocks")
+    blocks = cut(files.mapInArrow(tidy(_footers(base)), "file string, block long, ids long").coalesce(MANIFEST_FILES), "token-blocks")
     # Totals of files first: the one-task window sees a row for each file only.
     totals = blocks.groupBy("file").agg(F.sum("ids").alias("file_ids"))
     earlier = totals.select("file", F.coalesce(F.sum("file_ids").over(W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("file_before"))
     inside = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
     plan = blocks.join(earlier, "file").select("file", "block", (F.col("file_before") + F.coalesce(F.sum("ids").over(inside), F.lit(0))).alias("before"))
     plan = plan.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file", "block")
-    return plan.mapInArrow(_reader(base, with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return plan.mapInArrow(tidy(_reader(base, with_ids)), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from gleaner.llm.common import cut, file_system, publish, scratch, ship, small_batches
+from gleaner.llm.common import cut, file_system, publish, scratch, ship, small_batches, tidy
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 #: Bytes of files that one partition reads; of one read of a file; and inflated at
@@ -151,7 +151,7 @@ def write_warc(pages: DataFrame, path: str | None = None, least_bytes: int = 0,
     store, root = file_system(path)
     store.create_dir(root, recursive=True)
     stamp = (date or datetime.datetime.now(datetime.UTC)).strftime("%Y-%m-%dT%H:%M:%SZ")
-    rated(pages, least_bytes, most_repeated).mapInArrow(_writer(path, stamp, uuid.uuid4().hex), "records long").agg(F.sum("records")).collect()
+    rated(pages, least_bytes, most_repeated).mapInArrow(tidy(_writer(path, stamp, uuid.uuid4().hex)), "records long").agg(F.sum("records")).collect()
     return path
 
 
