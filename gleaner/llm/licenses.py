@@ -160,12 +160,13 @@ class Tables:
         templates = [[grams_of(t) for t in TEMPLATES[f]] for f in model.families[:-1]]
         grams = list(dict.fromkeys([*model.grams, *(g for family in templates for t in family for g in t)]))
         words = sorted({w for g in grams for w in g.split()})
-        self.seed = next(s for s in range(10_000) if len({xxh64_intdigest(w.encode() + b"/%d" % s, 42) % SLOTS for w in words}) == len(words))
-        slot = np.zeros(SLOTS, np.int64)
+        hashes = [xxh64_intdigest(w.encode(), 42) for w in words]
+        signed = [h - (1 << 64) if h >> 63 else h for h in hashes]
+        self.slots = next(m for m in range(SLOTS, 2 * SLOTS) if len({h % m for h in signed}) == len(words))
+        slot = np.zeros(self.slots, np.int64)
         number: dict[str, int] = {}
-        for i, w in enumerate(words):
-            at = xxh64_intdigest(w.encode() + b"/%d" % self.seed, 42) % SLOTS
-            slot[at], number[w] = i + 1, i + 1
+        for i, (w, h) in enumerate(zip(words, signed, strict=True)):
+            slot[h % self.slots], number[w] = i + 1, i + 1
         pairs = sorted({(number[a], number[b]) for g in grams if " " in g for a, b in [g.split()]})
         number |= {f"{words[a - 1]} {words[b - 1]}": len(words) + k + 1 for k, (a, b) in enumerate(pairs)}
         starts = np.searchsorted([a for a, _ in pairs], np.arange(1, len(words) + 2)) + 1
@@ -180,10 +181,10 @@ class Tables:
         self.bias = _constant([f"{v:g}" for v in model.bias], "double")
         self.templates = [[_constant([number[g] for g in t], "int") for t in family] for family in templates]
 
-    def word(self, w: Column) -> Column:
-        """The number of a word, 0 if it is not known."""
-        at = F.pmod(F.xxhash64(F.concat(w, F.lit(f"/{self.seed}"))), F.lit(SLOTS)).cast("int") + 1
-        return let(F.element_at(self.slot, at), lambda k: F.when((k > 0) & (F.get(self.names, k - 1) == w), k).otherwise(0))
+    def codes(self, words: Column) -> Column:
+        """The number of each word, 0 if it is not known."""
+        found = F.transform(words, lambda w: F.element_at(self.slot, F.pmod(F.xxhash64(w), F.lit(self.slots)).cast("int") + 1))
+        return F.zip_with(words, found, lambda w, k: F.when((k > 0) & (F.get(self.names, k - 1) == w), k).otherwise(0))
 
     def pair(self, a: Column, b: Column) -> Column:
         """The number of a pair of known words, 0 if it is not known."""
@@ -197,7 +198,7 @@ def _classify(text: Column, model: Model, t: Tables) -> Column:
     similarity is taken for predictions over the limit only, else 0."""
 
     def read(words: Column) -> Column:
-        return let(F.transform(words, t.word), lambda codes: let(known(codes), lambda grams: scored(grams, F.size(codes))))
+        return let(t.codes(words), lambda codes: let(known(codes), lambda grams: scored(grams, F.size(codes))))
 
     def known(codes: Column) -> Column:
         pairs = F.zip_with(codes, F.slice(codes, 2, F.greatest(F.size(codes) - 1, F.lit(0))), lambda a, b: F.when(F.coalesce(b, F.lit(0)) > 0, t.pair(a, b)).otherwise(0))
