@@ -42,9 +42,8 @@ BLOCK_IDS, PART_IDS = 1 << 20, 1 << 18
 MANIFEST_FILES = 8
 #: Bytes of text that are split into words at once.
 PART_BYTES = 8 << 20
-#: The same where tokens are only counted, and the words in the table: counting goes
-#: on beside other stages, whose JVM has grown.
-COUNT_BYTES, COUNT_MOST = 2 << 20, 150_000
+#: The same where tokens are only counted, and words in the table of each worker.
+COUNT_BYTES, COUNT_MOST = 4 << 20, 400_000
 #: Ids are held as uint16 between the stages.
 MOST_IDS = 1 << 16
 
@@ -396,9 +395,10 @@ def tokenize(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids binary")
 
 
-def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, end_ids: int = 1, most: int = COUNT_MOST, keep: bool = True) -> DataFrame:
     """(doc_id, n_tokens) of each row: the ids of its text and ``end_ids`` more. Null
-    texts are empty; repeated rows stay."""
+    texts are empty; repeated rows stay. A worker remembers ``most`` words, for later
+    tasks too if ``keep``; without, it holds less beside other stages and learns more."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -406,10 +406,11 @@ def count_tokens(docs: DataFrame, path: str, end_ids: int = 1) -> DataFrame:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         own = tokens(path)
-        own.MOST = COUNT_MOST
-        for part in parts(batches, "text", COUNT_BYTES):
+        own.MOST = most
+        for part in parts(batches, "text", COUNT_BYTES if keep else COUNT_BYTES // 2):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
-        own.clear()
+        if not keep:
+            own.clear()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long")
 
