@@ -9,8 +9,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from gleaner.functions import stats
 from gleaner.functions.temporal import COARSER
 from gleaner.model import Event, Hypothesis, Insight, Measure, QualityReport, Step
