@@ -236,7 +236,7 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > MOST_IDS:
             raise ValueError("ids do not fit 16 bits")
-        self.letters = Tokenizer.from_file(path)
+        self.letters = Tokenizer(self.tokenizer.model)  # one vocabulary in memory
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(MOST_IDS, bool)
@@ -411,6 +411,7 @@ def count_tokens(docs: DataFrame, path: str, end_ids: int = 1, most: int = COUNT
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own.count(part.column("text")) + end_ids, pa.int64())], names=["doc_id", "n_tokens"])
         if not keep:
             own.clear()
+            _tokens.clear()
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(tidy(run), "doc_id long, n_tokens long")
 
