@@ -29,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spans of a text, with the index of their kind and the match.
 SPANS = "array<struct<s:int,k:int,e:int,m:string>>"
 #: Elements of a block of prefix sums, and code points of a chunk of text.
-SPAN_BLOCK, CHUNK = 128, 512
+SPAN_BLOCK, CHUNK = 32, 512
 
 
 #: Folders that this thread of the driver has made, oldest first.
