@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words in the contracts.
 SPACES = " \t\n\x0b\x0c\r"
-#: Bytes and rows of an Arrow batch between Spark and a worker. The JVM holds batches
-#: outside its heap, in buffers that it keeps and that double as they grow.
+#: Bytes and rows of an Arrow batch between Spark and a worker.
 BATCH_BYTES = 4 << 20
 BATCH_ROWS = 1000
 #: Names that Spark and Arrow give to the same kinds of stores.
