@@ -12,8 +12,9 @@ to shards that overlap at their boundaries; inside a shard the tree goes on
 down to leaves, which are compared directly.
 
 Distances to a vantage point lie near 32 of 64 bits with a deviation of 4, so a
-level copies about a fifth of the fingerprints for a radius of 2, and halves the
-rest: shards of 1/64 of all take eight levels and four copies of each.
+level copies about a quarter of the fingerprints for a radius of 2, and halves the
+rest: shards of 1/64 take nine levels, and 235,850 fingerprints of the check data
+became 1,750,431 rows.
 
 Fingerprints of texts that share four fifths of their shingles differ in some 4
 to 14 bits, where no tree can prune. ``keep_first`` with a ``similarity`` thus
