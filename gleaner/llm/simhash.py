@@ -18,12 +18,13 @@ became 1,750,431 rows.
 
 Fingerprints of texts that share four fifths of their shingles differ in some 4
 to 14 bits, where no tree can prune. ``keep_first`` with a ``similarity`` thus
-adds links between texts that share three min-wise shingles, confirmed on the
-shingle sets themselves.
+adds links between texts that share a shingle of their prefixes, which similar ones
+do without exception, confirmed on the whole shingle sets.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -43,13 +44,18 @@ SHARD, MOST_SHARD = 2048, 1 << 20
 LEAF, LEVELS, SAMPLE = 64, 10, 32
 #: What is left of a shard on one side of a balanced cut, about.
 SHRINK = 0.6
-#: Min-wise shingles of a band, bands, and texts that a task compares at once.
-MINS, BANDS, MOST_TEXTS = 3, 6, 1024
+#: Words of parity bits of a text; texts that share a shingle and are compared at once
+#: without more ado; texts that one of many is compared with, by their common shingles;
+#: texts of a task that compares the others.
+WORDS, FEW, HEADS, MOST_TEXTS = 16, 32, 8, 1024
+#: Texts of the sample that tells frequent shingles, and such shingles that tasks are told.
+TEXTS_SAMPLED, MOST_FREQUENT = 10_000, 100_000
 #: Names of rows to fetch or keep that go to every task at most.
 MOST_BROADCAST = 1_000_000
-#: Smallest shingle hashes kept of a text that is compared: similarities are exact up
-#: to so many distinct shingles, beyond with a standard error of 0.002 at 0.8.
+#: Shingles that are looked up at once in those of another text.
 SKETCH = 1 << 15
+#: What rounding may add to a bound, which then lets a pair more through.
+SLACK = 1e-6
 _UPPER = bytes(range(0x41, 0x5B))
 _TABLE = bytes.maketrans(_UPPER, _UPPER.lower())
 
@@ -383,36 +389,23 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 # Links by similarity
 
 
-def _permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(SEED)
-    return rng.integers(0, 1 << 63, (BANDS * MINS, 1), np.uint64), rng.integers(0, 1 << 63, (BANDS * MINS, 1), np.uint64) | np.uint64(1)
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band, of the MINS shingles that are least in its own orders; texts
-    of similarity J share one with a chance of about J ** MINS."""
-    from xxhash import xxh64_intdigest
-
-    if not len(h):
-        return np.zeros(BANDS, np.int64)
-    flip, by = _permutations()
-    least = np.full(BANDS * MINS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 1 << 14):
-        x = (h[None, k : k + (1 << 14)] ^ flip) * by
-        x ^= x >> np.uint64(29)
-        least = np.minimum(least, (x * by).min(1))
-    return np.array([xxh64_intdigest(least[MINS * g : MINS * (g + 1)].tobytes(), g) for g in range(BANDS)], np.uint64).view(np.int64)
+def parity_bits(h: np.ndarray) -> np.ndarray:
+    """The number of distinct shingles ``h``, then WORDS * 64 bits: how many of them fall
+    on each, modulo 2. Two texts differ in at least as many shingles as in bits."""
+    counts = np.bincount((h % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64)
+    bits = np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
+    return np.concatenate([np.array([len(h)], np.int64), bits])
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, fp, keys) of each row: its fingerprint and band keys."""
+    """(doc_id, text_hash, fp, keys) of each row: its fingerprint and parity bits."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = [shingle_hashes(t or b"", shingle) for t in b.column("text").cast(pa.binary()).to_pylist()]
             fp = np.array([majority(h) for h in hashes], np.uint64).view(np.int64)
-            keys = pa.array([band_keys(h) for h in hashes], pa.list_(pa.int64()))
+            keys = pa.array([parity_bits(np.unique(h)) for h in hashes], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(fp), keys], names=["doc_id", "text_hash", "fp", "keys"])
 
     return _texts(docs).mapInArrow(tidy(run), "doc_id long, text_hash long, fp long, keys array<long>")
@@ -433,122 +426,260 @@ def _rows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted, same, "left_semi")
 
 
-def sketch_of(h: np.ndarray) -> np.ndarray:
-    """The SKETCH smallest distinct shingle hashes, as 32 bits each, sorted."""
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-
-
-def similar_pairs(sketches: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs whose shingle sets have a Jaccard similarity of ``similarity`` or more."""
-    sizes = np.array([len(x) for x in sketches])
-    own = np.repeat(np.arange(len(sketches)), sizes)
-    values, column, df = np.unique(np.concatenate(sketches), return_inverse=True, return_counts=True)
-    shared = df[column] > 1
-    rank = np.cumsum(df > 1) - 1
-    own, column = own[shared], rank[column[shared]]
-    common = np.zeros((len(sketches), len(sketches)), np.float32)
-    order = np.argsort(column, kind="stable")
-    own, column = own[order], column[order]
-    width = 4096
-    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        a, z = np.searchsorted(column, [k, k + width])
-        part = np.zeros((len(sketches), width), np.float32)
-        part[own[a:z], column[a:z] - k] = 1
-        common += part @ part.T
-    most = np.minimum(sizes[:, None], sizes[None, :])
+def similar_pairs(sets: list[np.ndarray], similarity: float, pairs: list[tuple[int, int]] | None = None) -> list[tuple[int, int]]:
+    """Of ``pairs``, all by default, those whose sorted sets have a Jaccard similarity of
+    ``similarity`` or more."""
     out = []
-    for i, j in zip(*map(np.ndarray.tolist, np.nonzero(np.triu((common >= 0.4 * similarity * most) & (common > 0), 1))), strict=True):
-        ends = [int(sketches[x][-1]) for x in (i, j) if sizes[x] == SKETCH]  # beyond, a kept hash says nothing of the other text
-        n = sum(int(np.searchsorted(sketches[x], min(ends), "right")) if ends else int(sizes[x]) for x in (i, j))
-        if common[i, j] >= similarity * (n - common[i, j]):
+    for i, j in itertools.combinations(range(len(sets)), 2) if pairs is None else pairs:
+        x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        if not len(x) or len(x) < similarity * len(y) - SLACK:
+            continue
+        common = 0
+        for k in range(0, len(x), SKETCH):
+            part = x[k : k + SKETCH]
+            at = np.minimum(np.searchsorted(y, part), len(y) - 1)
+            common += int((y[at] == part).sum())
+        if common >= similarity * (len(x) + len(y) - common):
             out.append((i, j))
     return out
 
 
-def _confirmer(similarity: float):
-    """Of texts with one key, a spanning forest of those that are similar."""
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """(probed, indexed): two sets share one of their first elements in any common order,
+    one of the probed of the larger with one of the indexed of the other."""
+    return n - math.ceil(similarity * n - SLACK) + 1, n - math.ceil(2 * similarity / (1 + similarity) * n - SLACK) + 1
+
+
+def _frequent(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles found three times or more in a sample of the ``n`` texts, with their
+    counts. They only order shingles: any order gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = [np.unique(shingle_hashes(t, shingle)) for b in batches for t in b.column("text").cast(pa.binary()).to_pylist()]
+        if hashes:
+            h, counts = np.unique(np.concatenate(hashes), return_counts=True)
+            for k in range(0, len(h), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(h[k : k + (1 << 16)].view(np.int64)), pa.array(counts[k : k + (1 << 16)])], names=["h", "n"])
+
+    part = F.pmod(F.xxhash64("text_hash"), F.lit(1 << 30)) / float(1 << 30)
+    sample = texts.where(part < min(1.0, TEXTS_SAMPLED / max(1, n))).mapInArrow(tidy(run), "h long, n long")
+    rows = sample.groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).collect()
+    h, counts = np.array([r["h"] for r in rows], np.int64).view(np.uint64), np.array([r["n"] for r in rows], np.int64)
+    order = np.argsort(h)
+    return h[order], counts[order]
+
+
+def _prefixes(shared, shingle: int, similarity: float):
+    """The prefix of each text, rarest shingles first; copies within a task once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, counts = shared.value
+        seen: set[int] = set()
+        for b in batches:
+            keys, names, sizes, indexed = [], [], [], []
+            for name, text in zip(b.column("text_hash").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                if name in seen:
+                    continue
+                if len(seen) > 1 << 18:
+                    seen.clear()
+                seen.add(name)
+                h = np.unique(shingle_hashes(text, shingle))
+                if not len(h):
+                    continue
+                probe, index = prefix_sizes(len(h), similarity)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1)
+                    h = h[np.argsort(np.where(frequent[at] == h, counts[at], 0), kind="stable")]
+                keys.append(h[:probe].view(np.int64))
+                names.append(np.full(probe, name))
+                sizes.append(np.full(probe, len(h)))
+                indexed.append(np.arange(probe) < index)
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, names, sizes, indexed)], names=["key", "text_hash", "n", "indexed"])
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """``batches``, sorted by the key, without rows whose key is seen to be alone."""
+    for b in batches:
+        keys = b.column(key).to_numpy(zero_copy_only=False)
+        same, keep = keys[1:] == keys[:-1], np.ones(len(keys), bool)
+        keep[1:-1] = same[:-1] | same[1:]
+        yield b.filter(pa.array(keep))
+
+
+def _may_link(n: np.ndarray, indexed: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the pairs (a, b) with a shared shingle their sizes and prefixes allow."""
+    low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+    return (low >= similarity * high - SLACK) & ((n[a] <= n[b]) & indexed[a] | (n[b] <= n[a]) & indexed[b])
+
+
+def _meeting(similarity: float, few: int):
+    """Pairs (a, b) of texts that share a shingle of their prefixes: all where no more than
+    ``few`` share it; else those with one of the texts, and a row for each text."""
+    names = ["a", "b", "key", "n", "indexed", "size"]
+
+    def batch(held: list[tuple]) -> pa.RecordBatch:
+        a, b, key, n, indexed, size = (np.concatenate(x) for x in zip(*held, strict=True))
+        lone = n > 0  # a text, not a pair
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=lone), pa.array(key), pa.array(n), pa.array(indexed), pa.array(size)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _groups(batches, "key", "x"):
-            names = rows.field("text_hash").to_numpy(zero_copy_only=False)
-            names, first = np.unique(names, return_index=True)
-            if len(names) < 2:
+        held, rows = [], 0
+        for key, own in _groups(_repeated(batches, "key"), "key", "x"):
+            texts, first = np.unique(own.field("text_hash").to_numpy(zero_copy_only=False), return_index=True)
+            m = len(texts)
+            if m < 2:
                 continue
-            data = rows.field("sketch")
-            sketches = [np.frombuffer(data[int(i)].as_buffer(), "<u4") for i in first]
-            root, edges = list(range(len(names))), []
-
-            def find(i: int, root: list[int] = root) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for i, j in similar_pairs(sketches, similarity):
-                a, b = find(i), find(j)
-                if a != b:
-                    root[max(a, b)] = min(a, b)
-                    edges.append((int(names[i]), int(names[j])))
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
+            n, indexed = (own.field(x).to_numpy(zero_copy_only=False)[first] for x in ("n", "indexed"))
+            if m <= few:
+                a, b = np.triu_indices(m, 1)
+                ok = _may_link(n, indexed, a, b, similarity)
+            else:
+                # Keys of the same texts take a few heads between them.
+                mixed = (texts.view(np.uint64) ^ np.uint64(int(key) % HEADS)) * np.uint64(0x9E3779B97F4A7C15)
+                b = np.arange(m)
+                a = np.full(m, int((mixed ^ (mixed >> np.uint64(29))).argmin()))
+                ok = (a != b) & (np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - SLACK)
+                held.append((texts, texts, np.full(m, key), n, indexed, np.full(m, m)))
+                rows += m
+            a, b = texts[a[ok]], texts[b[ok]]
+            none = np.zeros(len(a), np.int64)
+            held.append((np.minimum(a, b), np.maximum(a, b), none, none, none > 0, none))
+            rows += len(a)
+            if rows > 1 << 15:
+                yield batch(held)
+                held, rows = [], 0
+        if held:
+            yield batch(held)
 
     return run
 
 
-def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, most: int = MOST_TEXTS) -> DataFrame:
-    """Edges (a, b) of text_hash between different texts of ``similarity`` or more.
+def _most_bits(n: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles that texts of ``n`` shingles between them may differ in."""
+    return n * ((1 - similarity) / (1 + similarity)) + SLACK
 
-    ``classes`` has a row (text_hash, keys, least) for each distinct text, ``least`` a
-    doc_id that has it. Texts that share a band's key meet in one task, which
-    compares all of them. The texts of a key that more than ``most`` share meet in
-    runs of that many, each with the key's first text, which joins groups of like
-    texts; and once more by the key extended by the next bands' keys, one after the
-    other, which brings like texts together that only share a frequent passage with
-    the others.
-    """
-    spark = docs.sparkSession
-    rows = classes.select("text_hash", "least", "keys", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"))
-    found = []
-    for depth in range(1, BANDS + 1):
-        key = F.xxhash64("band", *[F.element_at("keys", F.pmod(F.col("band") + F.lit(k), F.lit(BANDS)) + 1) for k in range(depth)])
-        keyed = rows.select("text_hash", "least", "keys", "band", key.alias("key"))
-        sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("head")).where("n > 1")
-        members = cut(keyed.join(sizes, "key"), "simhash-members")
-        found.append(members.where(F.col("n") <= most).select("key", "text_hash", "least"))
-        alike = members.where(F.col("n") > most)
-        rows = alike.drop("key", "n", "head")
-        if rows.isEmpty():
-            break
-        runs = F.ceil(F.col("n") / most)
-        found.append(alike.select(F.xxhash64("key", F.pmod(F.xxhash64("text_hash", "key"), runs)).alias("key"), "text_hash", "least"))
-        heads = alike.where(F.col("text_hash") == F.col("head")).select(F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), "key", "text_hash", "least")
-        found.append(heads.select(F.xxhash64("key", "run").alias("key"), "text_hash", "least"))
-    members = found[0]
-    for more in found[1:]:
-        members = members.unionAll(more)
-    members = cut(members, "simhash-meet")
-    texts = _rows_of(_texts(docs), members.select(F.col("least").alias("__d"), F.col("text_hash").alias("__t")).distinct()).select("text_hash", "text")
+
+def _bits_of(column: pa.Array) -> np.ndarray:
+    # Unsigned: bitwise_count takes the absolute value of negative numbers.
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS + 1)
+
+
+def _sifter(similarity: float):
+    """The pairs that parity bits allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = _bits_of(b.column("x")), _bits_of(b.column("y"))
+            differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
+            ok = pa.array(differ <= _most_bits((x[:, 0] + y[:, 0]).astype(np.int64), similarity))
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def _crosser(similarity: float):
+    """Of two blocks of texts with a common shingle, all pairs that are not joined yet and
+    that sizes, prefixes and parity bits allow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _groups(batches, "task", "x"):
+            texts, n, indexed, root, block = (own.field(c).to_numpy(zero_copy_only=False) for c in ("a", "n", "indexed", "root", "block"))
+            bits = _bits_of(own.field("keys"))[:, 1:]
+            roots, at, sizes = np.unique(root, return_inverse=True, return_counts=True)
+            if len(roots) < 2:
+                continue
+            two = block.min() != block.max()
+            # Those of the largest component need not meet each other.
+            rest, everyone = np.flatnonzero(at != sizes.argmax()), np.arange(len(texts))
+            largest = at == sizes.argmax()
+            step = max(1, (1 << 16) // len(texts))
+            for k in range(0, len(rest), step):
+                i = np.repeat(rest[k : k + step], len(texts))
+                j = np.tile(everyone, len(i) // len(texts))
+                ok = (root[i] != root[j]) & (largest[j] | (i < j)) & _may_link(n, indexed, i, j, similarity)
+                if two:
+                    ok &= block[i] != block[j]
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64) <= _most_bits(n[i] + n[j], similarity)
+                a, b = texts[i[ok]], texts[j[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return run
+
+
+def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The ``pairs`` (a, b) of text_hash whose whole shingle sets are similar."""
+    ends = pairs.select(F.col("a").alias("text_hash")).unionAll(pairs.select("b")).distinct()
+    names = classes.join(ends, "text_hash", "left_semi").select(F.col("least").alias("__d"), F.col("text_hash").alias("__t"))
+    texts = _rows_of(_texts(docs), names).select("text_hash", "text")
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(data, pa.binary())], names=["text_hash", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data = [sketch_of(shingle_hashes(t, shingle)).astype("<u4").tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("text_hash"), pa.array(data, pa.binary())], names=["text_hash", "sketch"])
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for c in ("x", "y") for x in b.column(c)]
+            n = b.num_rows
+            at = pa.array([i for i, _ in similar_pairs(sets, similarity, [(i, n + i) for i in range(n)])], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(c).take(at) for c in ("a", "b")], names=["a", "b"])
 
-    sketches = cut(texts.mapInArrow(tidy(run), "text_hash long, sketch binary"), "simhash-sketches")
-    met = members.select("key", "text_hash").join(sketches, "text_hash").select("key", F.struct("text_hash", "sketch").alias("x"))
-    return cut(met.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(_confirmer(similarity)), "a long, b long").distinct(), "simhash-similar")
+    # Repeated rows of one id and text give the same set.
+    sets = cut(texts.mapInArrow(tidy(whole), "text_hash long, shingles binary").groupBy("text_hash").agg(F.first("shingles").alias("shingles")), "simhash-shingles")
+    x, y = sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y"))
+    return cut(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long"), "simhash-similar")
+
+
+def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity: float, most: int = MOST_TEXTS) -> DataFrame:
+    """Edges (a, b) of text_hash that join all different texts of ``similarity`` or more.
+
+    ``classes`` has a row (text_hash, keys, least) for each distinct text, ``least`` a
+    doc_id that has it. Similar texts share a shingle of their prefixes, whatever the
+    order of shingles (``prefix_sizes``); rarest first, few others do. Where more than
+    FEW texts share one, each first meets one of them. Texts that this leaves in
+    different components then meet all others, in tasks of two blocks of about
+    ``most`` / 2 texts: no pair is left out but those that are joined already or that sizes,
+    prefixes or parity bits rule out.
+    """
+    spark, few = docs.sparkSession, min(FEW, most)
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(_frequent(_texts(docs), classes.count(), shingle))
+    postings = _texts(docs).select("text_hash", "text").mapInArrow(tidy(_prefixes(shared, shingle, similarity)), "key long, text_hash long, n long, indexed boolean")
+    grouped = postings.select("key", F.struct("text_hash", "n", "indexed").alias("x")).repartition("key").sortWithinPartitions("key")
+    met = cut(grouped.mapInArrow(tidy(_meeting(similarity, few)), "a long, b long, key long, n long, indexed boolean, size long"), "simhash-met")
+    x, y = classes.select(F.col("text_hash").alias("a"), F.col("keys").alias("x")), classes.select(F.col("text_hash").alias("b"), F.col("keys").alias("y"))
+    pairs = met.where("b is not null").select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    found = _confirmed(docs, classes, cut(pairs.mapInArrow(tidy(_sifter(similarity)), "a long, b long"), "simhash-pairs"), shingle, similarity)
+    large = met.where("b is null")
+    if large.isEmpty():
+        return found
+    rows = large.join(components(found), F.col("a") == F.col("node"), "left").select("key", "a", "n", "indexed", "size", F.coalesce("root", "a").alias("root"))
+    rows = cut(rows, "simhash-large")
+    parted = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    blocks = F.ceil(F.col("size") * 2 / most)
+    rows = rows.join(parted, "key", "left_semi").withColumn("block", F.pmod(F.xxhash64("a", "key"), blocks))
+    # Each block meets each, itself included.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    rows = rows.withColumn("task", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
+    rows = rows.join(classes.select(F.col("text_hash").alias("a"), "keys"), "a").select("task", F.struct("a", "n", "indexed", "root", "block", "keys").alias("x"))
+    crossed = rows.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(_crosser(similarity)), "a long, b long")
+    return found.unionAll(_confirmed(docs, classes, cut(crossed.distinct(), "simhash-crossed"), shingle, similarity))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:
     """``docs`` with one row of each component: that with the least doc_id.
 
     Rows are linked if their fingerprints are within ``radius`` bits or, with
-    ``similarity``, if their shingle sets have that Jaccard similarity or more (found
-    with a chance of 1 - (1 - J ** MINS) ** BANDS, 0.986 at J = 0.8). Among rows
-    with the least doc_id, that with the least hash of its text stays; of rows that
-    repeat id and text, one. A null id counts as largest. Null and empty texts are
-    copies of each other; very long ones are taken whole. All columns stay, whatever
-    their names; an empty table gives an empty one.
+    ``similarity``, if their shingle sets have that Jaccard similarity or more; no such
+    link is lost. Among rows with the least doc_id, that with the least hash of its text
+    stays; of rows that repeat id and text, one. A null id counts as largest. Null and
+    empty texts are copies of each other; very long ones are taken whole. All columns
+    stay, whatever their names; an empty table gives an empty one.
     """
     spark, began = docs.sparkSession, made()
     rows = cut(signatures(docs, shingle), "simhash-signatures")

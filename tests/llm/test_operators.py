@@ -641,6 +641,54 @@ def test_groups_too_large_for_a_task(spark):
     assert simhash.keep_first(docs, 5, similarity=0.8).count() == 21
 
 
+@pytest.mark.parametrize("most", [4, 50, 1024])
+def test_no_similar_text_is_lost_in_a_large_group(spark, most):
+    """All texts share a passage, and most are similar to one other only: each such pair is
+    joined, however few texts a task compares, as by brute force over all pairs."""
+    rng = np.random.default_rng(9)
+    passage, texts = [f"w{i}" for i in range(60)], []
+    for i in range(120):
+        own = [f"v{i}_{j}" for j in range(40)]
+        for k in (0, 1):
+            cut = passage[: int(rng.integers(45, 61))] + own
+            texts.append(" ".join(cut[: len(cut) - 5] + [f"z{i}_{k}_{j}" for j in range(5)]))
+    for i in range(60):  # short ones are similar by the passage alone, some by way of others
+        texts.append(" ".join(passage[int(rng.integers(0, 12)) : int(rng.integers(48, 61))] + [f"u{i}"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = simhash.signatures(docs, 5).collect()
+    names = {r["text_hash"]: r["doc_id"] for r in sig}
+    classes = spark.createDataFrame([(r["text_hash"], r["doc_id"], r["keys"]) for r in sig], "text_hash long, least long, keys array<long>")
+    edges = {tuple(sorted((names[a], names[b]))) for a, b in simhash.similar_links(docs, classes, 5, 0.8, most).collect()}
+    sets = [shingle_set(t) for t in texts]
+    want = {p for p in itertools.combinations(range(len(texts)), 2) if len(sets[p[0]] & sets[p[1]]) >= 0.8 * len(sets[p[0]] | sets[p[1]])}
+    assert edges <= want and len(want) > 100
+
+    def parts(links):
+        root = list(range(len(texts)))
+        for a, b in links:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = [new if r == old else r for r in root]
+        return root
+
+    assert parts(edges) == parts(want) and len(set(parts(want))) > 30
+
+
+def test_prefixes_and_bits_keep_similar_sets():
+    """At a similarity of just 0.8: a common shingle of the prefixes, and no more bits than shingles that differ."""
+    rng = np.random.default_rng(10)
+    for n in (1, 4, 5, 9, 45, 90, 900):
+        for _ in range(30):
+            common = rng.integers(0, 1 << 63, n, np.uint64)
+            apart = n // 4
+            a = int(rng.integers(0, apart + 1))
+            x, y = (np.unique(np.concatenate([common, rng.integers(0, 1 << 63, k, np.uint64)])) for k in (a, apart - a))
+            assert simhash.similar_pairs([x, y], 0.8) == [(0, 1)]
+            small, large = sorted((x, y), key=len)
+            assert np.intersect1d(large[: simhash.prefix_sizes(len(large), 0.8)[0]], small[: simhash.prefix_sizes(len(small), 0.8)[1]]).size
+            p, q = simhash._bits_of(pa.array([simhash.parity_bits(x), simhash.parity_bits(y)], pa.list_(pa.int64())))
+            assert np.bitwise_count(p[1:] ^ q[1:]).sum() <= apart <= simhash._most_bits(int(p[0] + q[0]), 0.8)
+
+
 def test_keep_first_keeps_a_row_of_each_group(spark):
     rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 3), (3, "q r s t u v", 4), (None, "a b c d e f", 5), (None, "only null", 6), (None, "only null", 7), (9, None, 8), (8, "", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, root long")
