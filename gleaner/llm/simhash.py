@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ SHARD, MOST_SHARD = 2048, 1 << 20
 LEAF, LEVELS, SAMPLE = 64, 10, 32
 #: What is left of a shard on one side of a balanced cut, about.
 SHRINK = 0.6
-#: Words of parity bits of a text; texts that share a shingle and are compared at once
+#: Least words of parity bits of a text; texts that share a shingle and are compared at once
 #: without more ado; texts that one of many is compared with, by their common shingles;
 #: texts of a task that compares the others.
 WORDS, FEW, HEADS, MOST_TEXTS = 16, 32, 8, 1024
@@ -390,11 +391,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 def parity_bits(h: np.ndarray) -> np.ndarray:
-    """The number of distinct shingles ``h``, then WORDS * 64 bits: how many of them fall
-    on each, modulo 2. Two texts differ in at least as many shingles as in bits."""
-    counts = np.bincount((h % np.uint64(WORDS * 64)).astype(np.int64), minlength=WORDS * 64)
-    bits = np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8")
-    return np.concatenate([np.array([len(h)], np.int64), bits])
+    """The number of distinct shingles ``h``, then bits: how many of them fall on each,
+    modulo 2. Two texts differ in at least as many shingles as in bits.
+
+    There are no fewer bits than shingles, as about half of the bits of texts with many
+    more differ, whatever the texts. The upper half follows the two halves' XOR, which is
+    the list of half as many bits, in the same form: a prefix is as good as a short list."""
+    words = WORDS
+    while words * 64 < len(h):
+        words *= 2
+    counts = np.bincount((h % np.uint64(words * 64)).astype(np.int64), minlength=words * 64)
+    bits, upper = np.packbits((counts & 1).astype(np.uint8), bitorder="little").view("<i8"), []
+    while len(bits) > WORDS:
+        low, high = np.split(bits, 2)
+        bits = low ^ high
+        upper.append(high)
+    return np.concatenate([np.array([len(h)], np.int64), bits, *upper[::-1]])
 
 
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
@@ -562,9 +574,30 @@ def _most_bits(n: np.ndarray, similarity: float) -> np.ndarray:
     return n * ((1 - similarity) / (1 + similarity)) + SLACK
 
 
-def _bits_of(column: pa.Array) -> np.ndarray:
+def _sizes(column: pa.Array) -> np.ndarray:
+    return pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _bits_of(column: pa.Array, words: int = WORDS) -> np.ndarray:
+    """Of each text the number of shingles and ``words`` words of parity bits."""
+    ends = np.cumsum(sizes := _sizes(column))
     # Unsigned: bitwise_count takes the absolute value of negative numbers.
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS + 1)
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)[(ends - sizes)[:, None] + np.arange(words + 1)]
+
+
+def _differ(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair, the shingles of both and the bits that differ of as many as both have."""
+    n, bits = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+    words = np.minimum(_sizes(x), _sizes(y)) - 1
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        p, q = (_bits_of(z.take(pa.array(at)), w) for z in (x, y))
+        apart, k = p[:, 1:] ^ q[:, 1:], WORDS
+        while k < w:
+            apart[:, :k] ^= apart[:, k : 2 * k]  # the lower half from the XOR of both
+            k *= 2
+        n[at], bits[at] = p[:, 0] + q[:, 0], np.bitwise_count(apart).sum(1, dtype=np.int64)
+    return n, bits
 
 
 def _sifter(similarity: float):
@@ -572,9 +605,8 @@ def _sifter(similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x, y = _bits_of(b.column("x")), _bits_of(b.column("y"))
-            differ = np.bitwise_count(x[:, 1:] ^ y[:, 1:]).sum(1, dtype=np.int64)
-            ok = pa.array(differ <= _most_bits((x[:, 0] + y[:, 0]).astype(np.int64), similarity))
+            n, bits = _differ(b.column("x"), b.column("y"))
+            ok = pa.array(bits <= _most_bits(n, similarity))
             yield pa.RecordBatch.from_arrays([b.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
 
     return run
@@ -611,6 +643,13 @@ def _crosser(similarity: float):
     return run
 
 
+def _sifted(classes: DataFrame, pairs: DataFrame, similarity: float, name: str) -> DataFrame:
+    """The distinct ``pairs`` (a, b) of text_hash that the parity bits in ``classes`` allow."""
+    x, y = classes.select(F.col("text_hash").alias("a"), F.col("keys").alias("x")), classes.select(F.col("text_hash").alias("b"), F.col("keys").alias("y"))
+    both = pairs.select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return cut(both.mapInArrow(tidy(_sifter(similarity)), "a long, b long"), name)
+
+
 def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """The ``pairs`` (a, b) of text_hash whose whole shingle sets are similar."""
     ends = pairs.select(F.col("a").alias("text_hash")).unionAll(pairs.select("b")).distinct()
@@ -652,9 +691,7 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity:
     postings = _texts(docs).select("text_hash", "text").mapInArrow(tidy(_prefixes(shared, shingle, similarity)), "key long, text_hash long, n long, indexed boolean")
     grouped = postings.select("key", F.struct("text_hash", "n", "indexed").alias("x")).repartition("key").sortWithinPartitions("key")
     met = cut(grouped.mapInArrow(tidy(_meeting(similarity, few)), "a long, b long, key long, n long, indexed boolean, size long"), "simhash-met")
-    x, y = classes.select(F.col("text_hash").alias("a"), F.col("keys").alias("x")), classes.select(F.col("text_hash").alias("b"), F.col("keys").alias("y"))
-    pairs = met.where("b is not null").select("a", "b").distinct().join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    found = _confirmed(docs, classes, cut(pairs.mapInArrow(tidy(_sifter(similarity)), "a long, b long"), "simhash-pairs"), shingle, similarity)
+    found = _confirmed(docs, classes, _sifted(classes, met.where("b is not null"), similarity, "simhash-pairs"), shingle, similarity)
     large = met.where("b is null")
     if large.isEmpty():
         return found
@@ -666,9 +703,10 @@ def similar_links(docs: DataFrame, classes: DataFrame, shingle: int, similarity:
     # Each block meets each, itself included.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     rows = rows.withColumn("task", F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")))
-    rows = rows.join(classes.select(F.col("text_hash").alias("a"), "keys"), "a").select("task", F.struct("a", "n", "indexed", "root", "block", "keys").alias("x"))
+    # Tasks get the least words of bits; the pairs that these allow are sifted by all.
+    rows = rows.join(classes.select(F.col("text_hash").alias("a"), F.slice("keys", 1, WORDS + 1).alias("keys")), "a").select("task", F.struct("a", "n", "indexed", "root", "block", "keys").alias("x"))
     crossed = rows.repartition("task").sortWithinPartitions("task").mapInArrow(tidy(_crosser(similarity)), "a long, b long")
-    return found.unionAll(_confirmed(docs, classes, cut(crossed.distinct(), "simhash-crossed"), shingle, similarity))
+    return found.unionAll(_confirmed(docs, classes, _sifted(classes, crossed, similarity, "simhash-crossed"), shingle, similarity))
 
 
 def keep_first(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, similarity: float | None = None) -> DataFrame:

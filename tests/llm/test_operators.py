@@ -689,6 +689,49 @@ def test_prefixes_and_bits_keep_similar_sets():
             assert np.bitwise_count(p[1:] ^ q[1:]).sum() <= apart <= simhash._most_bits(int(p[0] + q[0]), 0.8)
 
 
+def test_bits_tell_long_texts_apart():
+    """Of long texts too, pairs that share a half are ruled out without their whole sets,
+    and no similar pair is; a text with twice as many bits meets one with half of them."""
+    rng = np.random.default_rng(11)
+    pairs = []
+    for n in (500, 1020, 3000, 16_000, 66_000):
+        fresh = lambda k: rng.integers(0, 1 << 63, k, np.uint64)
+        base = fresh(n)
+        half, like = (np.unique(np.concatenate([base[k:], fresh(k)])) for k in (n // 2, n // 9))
+        more = np.unique(np.concatenate([base, fresh(n // 4)]))
+        pairs += [(np.unique(base), x, i) for i, x in enumerate((half, like, more))]
+    column = lambda i: pa.array([simhash.parity_bits(p[i]) for p in pairs], pa.list_(pa.int64()))
+    x, y, names = column(0), column(1), pa.array(range(len(pairs)))
+    n, bits = simhash._differ(x, y)
+    assert n.tolist() == [len(a) + len(b) for a, b, _ in pairs]
+    for (a, b, _), own in zip(pairs, bits.tolist(), strict=True):
+        size = max(1024, 1 << (min(len(a), len(b)) - 1).bit_length())
+        own_bits = (np.bincount((h % np.uint64(size)).astype(np.int64), minlength=size) & 1 for h in (a, b))
+        assert own == int((next(own_bits) != next(own_bits)).sum()) <= len(np.setxor1d(a, b))
+    batch = pa.RecordBatch.from_arrays([names, names, x, y], names=["a", "b", "x", "y"])
+    got = next(simhash._sifter(0.8)(iter([batch]))).column("a").to_pylist()
+    assert got == [k for k, (_, _, i) in enumerate(pairs) if i]
+
+
+def test_only_similar_long_texts_are_compared_whole(spark, monkeypatch):
+    """Long texts that share a passage: pairs that are compared on whole sets are the similar ones."""
+    rng = np.random.default_rng(12)
+    passage, texts = [f"w{i}" for i in range(1500)], []
+    for i in range(12):
+        own = [f"v{i}_{j}" for j in range(1500)]
+        texts += [" ".join([*passage, *own]), " ".join([*passage, *own[: int(rng.integers(1300, 1450))], f"z{i}"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    classes = simhash.signatures(docs, 5).select("text_hash", F.col("doc_id").alias("least"), "keys")
+    monkeypatch.setattr(simhash, "MOST_FREQUENT", 0)  # else the passage comes last, in no prefix
+    compared, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda d, c, pairs, *more: compared.extend(pairs.collect()) or confirmed(d, c, pairs, *more))
+    for most in (4, 1024):
+        compared.clear()
+        names = {r["text_hash"]: r["least"] for r in classes.collect()}
+        edges = {tuple(sorted((names[a], names[b]))) for a, b in simhash.similar_links(docs, classes, 5, 0.8, most).collect()}
+        assert edges == {(2 * i, 2 * i + 1) for i in range(12)} and len(compared) == 12
+
+
 def test_keep_first_keeps_a_row_of_each_group(spark):
     rows = [(5, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 3), (3, "q r s t u v", 4), (None, "a b c d e f", 5), (None, "only null", 6), (None, "only null", 7), (9, None, 8), (8, "", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, root long")
